@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import durable, kind, map_batches, table, texts
 from .components import connected_components
 
@@ -103,6 +104,7 @@ def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(fps: DataFrame, cell_size: int = CELL) -> DataFrame:
     """(a, b): links between the distinct longs ``fp`` of ``fps`` at most MOST_BITS apart, a forest within each cell."""
+    ship(fps.sparkSession)
     keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks())))
     keyed = fps.select("fp", F.explode(keys).alias("key")).select("fp", F.xxhash64("key.k", "key.bits").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / cell_size).cast("int").alias("n"))

@@ -84,6 +84,8 @@ AUDIT_BITS = {
 BENIGN = AUDIT_BITS["plain_ok"] | AUDIT_BITS["mapped_ok"] | AUDIT_BITS["interpretive_candidate"] | AUDIT_BITS["non_speakable"]
 
 TOKEN = r"[A-Z0-9_]*[A-Z][A-Z0-9_]*"
+#: An article at the end of a text.
+ARTICLE = r"(?<![\p{L}\p{N}'])([Aa])n? $"
 MARKS = r"\*[^*]*\*|\[[^\]]*\]"
 
 
@@ -166,29 +168,24 @@ def tidy_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(collapse(c), r" ([.,!?;:])", "$1"))
 
 
-def _with_article(text: Column, token: str, word: str) -> Column:
-    """Replace a token, and make an article before it agree with the word that takes its place."""
-    vowel = word[:1].lower() in "aeiou"
-    for article, right in (("a", "an" if vowel else "a"), ("an", "an" if vowel else "a"), ("A", "An" if vowel else "A"), ("An", "An" if vowel else "A")):
-        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}]){article} <(?i:{token})>", f"{right} {word}" if word else f"{article} ")
-    return F.regexp_replace(text, f"<(?i:{token})>", word)
-
-
 def resolve_tokens(c: Column, profile: str = "neutral", name: str = "Hero", vocative: str = "friend", other: str = "friend") -> Column:
-    """Tokens as words that can be spoken; texts without a token stay as they are.
+    """Tokens as words that can be spoken; texts without a token stay as they are.
 
     The hero's name is a vocative after ``, `` or before ``,``; an empty vocative takes the comma before it along.
-    Tokens of no known family become ``other``.
+    Tokens of no known family become ``other``. An article before a token agrees with the word that takes its place.
     """
-    hero = "<(?i:CHARNAME)>"
-    text = F.regexp_replace(c, f", {hero}", f", {vocative}" if vocative else "")
-    text = F.regexp_replace(text, f"{hero}(?=,)", vocative)
-    text = _with_article(text, "CHARNAME", name)
-    words = COMMON_TOKENS | PROFILES[profile]
-    for token, word in words.items():
-        text = F.when(text.contains("<"), _with_article(text, token, word)).otherwise(text)
-    text = _with_article(text, TOKEN.replace("A-Z", "A-Z"), other) if other else F.regexp_replace(text, f"<{TOKEN}>", "")
-    return F.when(has_token(c), tidy_spaces(text)).otherwise(c)
+    hero = "<CHARNAME>"
+    text = F.regexp_replace(F.regexp_replace(c, f", {hero}", f", {vocative}" if vocative else ""), f"{hero}(?=,)", vocative)
+    words = COMMON_TOKENS | PROFILES[profile] | {"CHARNAME": name}
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    between, found = F.split(text, f"<{TOKEN}>"), F.regexp_extract_all(text, F.lit(f"<({TOKEN})>"), F.lit(1))
+
+    def joined(part: Column, token: Column) -> Column:
+        word = F.coalesce(F.try_element_at(known, token), F.lit(other))
+        article = F.when(word.rlike("^[AEIOUaeiou]"), F.regexp_replace(part, ARTICLE, "$1n ")).otherwise(F.regexp_replace(part, ARTICLE, "$1 "))
+        return F.when(token.isNull(), part).when(word == "", part).otherwise(F.concat(article, word))
+
+    return F.when(has_token(c), tidy_spaces(F.array_join(F.zip_with(between, found, joined), ""))).otherwise(c)
 
 
 def effective_spoken_text(original: Column, stored: Column, **words) -> Column:

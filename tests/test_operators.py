@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from voxloom.functions import signal
-from voxloom.operators import aggregates, graph, ordering, predicates, ranking, state
+from voxloom.operators import aggregates, bindings, graph, ordering, predicates, ranking, state
 from voxloom.plans import pipelines
 from voxloom.sources import binary, tables
 from voxloom.streaming import incremental
@@ -102,7 +102,46 @@ def test_pools_are_stable_and_spread(spark):
     assert one == rows(pipelines.assign_pools(speakers.repartition(7), pools, donors))
     counts = [sum(v == m for _, v, _ in one) for m in (7, 8, 9)]
     assert min(counts) > 100 and sum(counts) == 600
-    assert {r[1:] for r in rows(pipelines.assign_pools(speakers, pools.limit(0), donors))} == {(51, "fallback")}
+    assert {r[1:] for r in rows(pipelines.assign_pools(speakers, pools.limit(0), donors))} == {(50, "fallback")}
+
+
+# ---- bindings
+
+
+def test_binding_rewrites(spark):
+    b = spark.createDataFrame([(1, "override", None, 10, "ready"), (2, "generic", None, 11, "ready"), (3, "follow", 1, None, "ready"), (4, "override", None, 12, "ready")], "speaker int, source string, follows int, profile int, status string")
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "speaker int, identity string")
+    profiles = spark.createDataFrame([(10, "harvested", 4), (12, "imported", 9), (13, "harvested", 1)], "profile int, origin string, owner int")
+    samples = spark.createDataFrame([(2, "pending")], "speaker int, decision string")
+    stale = bindings.stale_personal(b, profiles, samples, members)
+    assert rows(stale) == [(1, "a")]
+    assert [r[0] for r in rows(bindings.clear_stale(b, stale, members).select("speaker"))] == [3, 4]
+    assert {r.speaker: r.profile for r in bindings.repair_mismatched(b, profiles).collect()} == {1: 13, 2: 11, 3: None, 4: 12}
+    assert {r.speaker: r.profile for r in bindings.sync_pool_voice(b, 11, 99).collect()}[2] == 99
+    followed = bindings.follow(b, spark.createDataFrame([(1, 3), (2, 1), (4, 77)], "speaker int, target int"))
+    assert {r.speaker: (r.source, r.follows) for r in followed.collect()} == {1: ("override", None), 2: ("follow", 1), 3: ("follow", 1), 4: ("override", None)}
+    counts, left, pools = bindings.delete_profile(10, b, spark.createDataFrame([(1, [10, 11]), (2, [10])], "key int, members array<int>"))
+    assert counts.first()[:] == (1, 2) and left.count() == 3 and rows(pools) == [(1, [11])]
+    assert rows(bindings.has_personal(members, b)) == [("a",), ("c",)]
+
+
+def test_reviews_and_overrides(spark):
+    cache = spark.createDataFrame([("h1", 1, 1), ("h2", 2, 256), ("h3", 3, 16)], "text_hash string, first_id int, mask int")
+    reviews = spark.createDataFrame([("h1",), ("h3",)], "text_hash string")
+    none = spark.createDataFrame([], "text_hash string")
+    assert rows(bindings.reconcile_reviews(reviews, cache, none, F.col("mask") == 16)) == [("h1",)]
+    assert rows(bindings.review_plain(reviews, cache, F.col("mask") == 256)) == [("h1",), ("h2",), ("h3",)]
+    texts = spark.createDataFrame([(1, "Hello there.", "[sigh] Hello there."), (2, "Hello there.", "Hello you."), (3, "Noooo way", "No way"), (4, "Hi", "--db x")], "first_id int, text string, override string")
+    assert [(r.first_id, r.reason) for r in bindings.suspicious_overrides(texts, 0, 9).collect()] == [(2, "words differ"), (4, "command fragment")]
+
+
+def test_companion_passes(spark):
+    states = spark.createDataFrame([("BJAHEI", 0, 10, "a"), ("BJAHEI", 1, 11, "b"), ("OTHER", 0, 10, "c"), ("NONE", 0, 12, "d")], "dialogue string, state int, strref int, text string")
+    creatures = spark.createDataFrame([("OTHER", "other", True, False), ("other2", "OTHER", True, True)], "name string, dialogue string, named boolean, voiced boolean")
+    cells = spark.createDataFrame([("JAHEIRA", "FILE", "bjahei"), ("KHALID", "25FILE", "bjahei"), ("X", "FILE", "none")], "label string, column string, value string")
+    lines, groups = pipelines.scan_attribution(states, creatures, cells, ["FILE", "25FILE"])
+    assert sorted((r.dialogue, r.state, r.owner, r.confidence, r.origin) for r in lines.collect()) == [("bjahei", 0, "jaheira", 0.4, "companion"), ("bjahei", 1, "jaheira", 0.4, "companion"), ("other", 0, "OTHER", 0.4, "attributed")]
+    assert [(r.strref, r.resolution) for r in groups.collect()] == [(10, "defer_diff_voice")]
 
 
 # ---- signals
@@ -212,7 +251,7 @@ def test_chunks_and_manifest(spark, tmp_path):
     assert tables.read_json_lines(spark, str(tmp_path / "out"), "id bigint, text string").count() == 1200
     assert all(sum(1 for _ in p.open()) <= 500 for p in (tmp_path / "out").glob("part-*"))
     lines = spark.createDataFrame([(1, "a~b\x01", "zab"), (2, "c", None)], "n int, t string, s string")
-    assert [r[0] for r in lines.select(tables.string_lines(lines, "n", "t", "s")).collect()] == ["@1 = ~a'b~ [ZAB]", "@2 = ~c~"]
+    assert [r[0] for r in lines.select(tables.string_lines(lines, "n", "t", "s")).collect()] == ["@1 = ~a%TILDE%b~ [ZAB]", "@2 = ~c~"]
 
 
 # ---- streams

@@ -75,11 +75,13 @@ def test_reference_text(check):
 def test_names(check):
     check(text.stem, {"ABELA01": "abela", "x": "x", "12": ""})
     check(text.clean_name, {" Foo\0bar": "foo", "A ": "a"})
-    check(lambda c: text.parse_identity_key(c)["name_id"], {"12:1": 12, "12": 12, "cre:ab": None, "x": None})
+    check(lambda c: text.parse_identity_key(c)["name_id"], {"12:1": 12, "12": 12, "ungrouped:7": None, "x": None})
+    check(lambda c: text.parse_identity_key(c)["speaker"], {"12:1": None, "ungrouped:7": 7})
+    check(text.escape_quoted, {"a~b\x01\n": "a%TILDE%b\n"})
     check(lambda c: hashing.base36(F.length(c), 2), {"": "00", "x" * 35: "0Z", "x" * 36: "10"})
     check(hashing.is_generated_name, {"ZABCDE00": True, "zabcde00": True, "ABCDEFGH": False, "Z": False})
     check(lambda c: text.excerpt(c, 3), {"abcd": "abc…", "abc": "abc"})
-    check(text.artifact_reason, {"ok then": None, "```x": "code fence", "a\\n": "escape sequence", "/home/x": "file path"})
+    check(text.artifact_reason, {"ok then": None, "tag --batch x": "command fragment", 'a\\"b': "escape sequence", "see C:\\x": "file path", "at 5:00": None})
     assert "é" not in "É"
 
 

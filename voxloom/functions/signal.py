@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .text import ordinary_speech, ramp, text_richness
+from .text import ascii_lower, ordinary_speech, ramp, stem, text_richness
 
 # Weights of the score's components, and of where a clip comes from.
 WEIGHTS = {"provenance": 0.16, "attribution": 0.08, "duration": 0.10, "loudness": 0.08, "cleanliness": 0.06, "naturalness": 0.10, "pitch": 0.08, "speech": 0.10, "text_richness": 0.14, "ordinary_speech": 0.10}
@@ -150,16 +150,17 @@ def bindable(seconds: Column) -> Column:
     return F.coalesce(seconds >= LEAST_SECONDS, F.lit(False))
 
 
-def owner_score(sound_stem: Column, name_stem: Column) -> Column:
-    """100 for an equal stem, 50 for one that starts the other, else 0."""
-    near = sound_stem.startswith(name_stem) | name_stem.startswith(sound_stem)
-    return F.when(sound_stem == name_stem, 100).when(near, 50).otherwise(0)
+def owner_score(sound: Column, name: Column, hits: Column) -> Column:
+    """Hits, and 100 for an equal stem or 50 for a sound that starts with a name's stem of 4 characters or more."""
+    own, low = stem(name), ascii_lower(sound)
+    near = F.when((own != "") & (stem(low) == own), 100).when((F.length(own) >= 4) & low.startswith(own), 50).otherwise(0)
+    return F.greatest(hits, F.lit(0)) + near
 
 
 def demographic_similarity(a: str, b: str) -> Column:
-    """8 for the same sex, 4 for the same race, 2 for the same category, of two struct columns."""
+    """8 for the same sex, 4 for the same category, 2 for the same race, of two struct columns."""
     same = lambda n, w: F.when(F.col(f"{a}.{n}") == F.col(f"{b}.{n}"), w).otherwise(0)
-    return same("sex", 8) + same("race", 4) + same("category", 2)
+    return same("sex", 8) + same("category", 4) + same("race", 2)
 
 
 def composite(clips: DataFrame, group: str, candidate: str = "id", seconds: str = "seconds", rank: str = "rank", gap: float = 0.15) -> DataFrame:
@@ -186,18 +187,18 @@ def build_composite(clips: Column, rate: int, gap: float = 0.15) -> Column:
     return F.aggregate(clips, F.array().cast("array<float>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.concat(a, silence, x)))
 
 
-def diagnostics(expected_secs: Column) -> Column:
-    """Flags of a rendered clip from the columns of M01."""
+def diagnostics() -> Column:
+    """Flags of a rendered clip from the columns of M01 and M03."""
     c = F.col
     return F.array_compact(F.array(
-        F.when(c("peak") < 0.01, "silent"), F.when(c("clipping_fraction") > 0.01, "clipped"), F.when(c("silence_fraction") > 0.8, "mostly_silence"),
-        F.when((c("duration_secs") < expected_secs * 0.3) | (c("duration_secs") > expected_secs * 3), "odd_duration"),
+        F.when(c("duration_secs") < 0.25, "short"), F.when(c("silence_fraction") > 0.65, "mostly_silent"), F.when(c("clipping_fraction") > 0.02, "clipping"),
+        F.when((c("voiced_fraction") >= 0) & (c("voiced_fraction") < 0.15), "low_speech"),
     ))
 
 
 def rejected(rate: Column, seconds: Column, peak: Column) -> Column:
     """Why a decoded clip can't be bound; null if it can."""
-    return F.when(rate < 8000, "sample rate too low").when(~bindable(seconds), "too short").when(peak < 0.01, "silent")
+    return F.when(rate != 22_050, "wrong sample rate").when(seconds <= 0, "no samples").when(~bindable(seconds), "too short").when(peak < 0.02, "silent")
 
 
 @F.pandas_udf(_struct(silence_ratio=T.DoubleType(), clipped_samples=T.LongType(), peak_dbfs=T.DoubleType()))

@@ -341,20 +341,25 @@ def spoken_words(c: Column) -> Column:
     return F.filter(F.transform(words_of(c), lambda w: F.lower(_trim_token(w))), lambda w: w != "")
 
 
-def same_words(a: Column, b: Column) -> Column:
-    """Both texts have the same words in the same order, but for words of ``a`` that are hard to speak."""
-    x, y = spoken_words(a), spoken_words(b)
-    return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda p, q: (p == q) | unfriendly_token(p)), lambda ok: ok)
+def same_words(source: Column, other: Column) -> Column:
+    """Both texts, stripped of cues, have the same words in order; a word that is hard to speak may become one that isn't."""
+    word = lambda w: ascii_lower(F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}']+|[^\p{IsAlphabetic}\p{N}']+$", ""))
+    found = lambda c: F.filter(F.transform(words_of(strip_cues(F.regexp_replace(c, r"\[[^\]]*\]", ""))), word), lambda w: w != "")
+    x, y = found(source), found(other)
+    return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda p, q: (p == q) | (unfriendly_token(p) & ~unfriendly_token(q))), lambda ok: ok)
 
 
-def artifact_reason(c: Column) -> Column:
+#: Options of command lines that don't belong in dialogue.
+COMMAND_MARKERS = ("--db", "--line", "--text", "--project", "--batch", "--limit", "--after")
+
+
+def artifact_reason(c: Column, markers: Sequence[str] = COMMAND_MARKERS) -> Column:
     """Why a text looks like a tool's output and not dialogue; null if it doesn't."""
+    low = ascii_lower(c)
     return (
-        F.when(c.contains("```"), "code fence")
-        .when(c.rlike(r"\\[nrtu\"]"), "escape sequence")
-        .when(c.rlike(r"(?i)[a-z]:\\|(^|\s)/(home|tmp|usr|var|mnt)/"), "file path")
-        .when(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "control character")
-        .when(c.contains("\ufffd"), "replacement character")
+        F.when(reduce(lambda a, b: a | b, [low.contains(m) for m in markers], F.lit(False)), "command fragment")
+        .when(c.contains('\\"') | c.contains("\\\\"), "escape sequence")
+        .when(c.rlike(r"[A-Za-z]:\\") | c.rlike(r"AppData[\\/]Roaming"), "file path")
     )
 
 
@@ -488,7 +493,7 @@ def plausible_duration(c: Column, seconds: Column) -> Column:
 def join_transcripts(parts: Column) -> Column:
     """Trimmed parts that aren't blank, each with a final stop, joined by spaces."""
     kept = F.filter(F.transform(parts, trim), lambda x: x != "")
-    return F.array_join(F.transform(kept, lambda x: F.when(x.rlike("[.!?…]$"), x).otherwise(F.concat(x, F.lit(".")))), " ")
+    return F.array_join(F.transform(kept, lambda x: F.when(x.rlike("[.!?…;:]$"), x).otherwise(F.concat(x, F.lit(".")))), " ")
 
 
 def stem(c: Column) -> Column:
@@ -502,8 +507,8 @@ def clean_name(c: Column) -> Column:
 
 
 def escape_quoted(c: Column) -> Column:
-    """For a ``~``-quoted string table: no control characters, ``~`` as a single quote mark."""
-    return F.regexp_replace(F.regexp_replace(c, r"[\p{Cntrl}&&[^\n\t]]", ""), "~", "'")
+    """For a ``~``-quoted string table: no control characters but line feed and tab, ``~`` as %TILDE%."""
+    return F.regexp_replace(F.regexp_replace(c, r"[\p{Cntrl}&&[^\n\t]]", ""), "~", "%TILDE%")
 
 
 def excerpt(c: Column, most: int = 120) -> Column:
@@ -511,17 +516,17 @@ def excerpt(c: Column, most: int = 120) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 
 
-def identity_key(name_id: Column, name: Column, sex: Column) -> Column:
-    """``name_id:sex``, or the lower-case resource name where there is no name id."""
-    return F.when(name_id.isNotNull(), F.concat_ws(":", name_id, sex)).otherwise(F.concat(F.lit("cre:"), ascii_lower(name)))
+def identity_key(name_id: Column, sex: Column, speaker: Column) -> Column:
+    """``name_id:sex``, or ``ungrouped:speaker`` where there is no name id."""
+    return F.when(name_id.isNotNull(), F.concat_ws(":", name_id, sex)).otherwise(F.concat_ws(":", F.lit("ungrouped"), speaker))
 
 
 def parse_identity_key(key: Column) -> Column:
-    """(name_id, sex, name) of a key in any of its forms: ``id:sex``, ``id`` and ``cre:name``."""
+    """(name_id, sex, speaker) of a key in any of its forms: ``id:sex``, ``id`` and ``ungrouped:speaker``."""
     return F.struct(
-        F.regexp_extract(key, r"^(-?\d+)(?::\d+)?$", 1).try_cast("bigint").alias("name_id"),
-        F.regexp_extract(key, r"^-?\d+:(\d+)$", 1).try_cast("int").alias("sex"),
-        F.nullif(F.regexp_extract(key, r"^cre:(.*)$", 1), F.lit("")).alias("name"),
+        F.regexp_extract(key, r"^(-?\d+)(?::-?\d+)?$", 1).try_cast("bigint").alias("name_id"),
+        F.regexp_extract(key, r"^-?\d+:(-?\d+)$", 1).try_cast("int").alias("sex"),
+        F.regexp_extract(key, r"^ungrouped:(-?\d+)$", 1).try_cast("bigint").alias("speaker"),
     )
 
 

@@ -143,8 +143,9 @@ def without(rows: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def expand_identities(keys: DataFrame, members: DataFrame) -> DataFrame:
-    """member ids of identity keys (column key) in any of their forms: ``id:sex``, ``id`` and ``cre:name``."""
-    forms = F.array(F.concat_ws(":", "name_id", "sex"), F.col("name_id").cast("string"), F.concat(F.lit("cre:"), ascii_lower(F.col("name"))))
+    """member ids of identity keys (column key) in any of their forms: ``id:sex``, ``id`` and ``ungrouped:speaker``."""
+    named = F.when(F.col("name_id").isNotNull(), F.concat_ws(":", "name_id", "sex"))
+    forms = F.array(named, F.col("name_id").cast("string"), F.concat_ws(":", F.lit("ungrouped"), "id"))
     spread = members.select("id", F.explode(F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))).alias("key"))
     return spread.join(keys.select("key").distinct(), "key", "left_semi").select("id").distinct()
 

@@ -1,4 +1,4 @@
-"""Composite pipelines over dialogue corpora."""
+"""Composite pipelines over dialogue corpora."""
 
 from __future__ import annotations
 
@@ -77,7 +77,7 @@ def auto_bind(identities: DataFrame, samples: DataFrame, bindings: DataFrame) ->
 
 def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> DataFrame:
     """A voice for each speaker without one: a member of the pool of its sex, race and category, else the
-    best donor of its sex by race (4), category (2) and quality; sex 0 gets no donor. Explicit voices stay.
+    best donor of its sex by category (4), race (2) and quality; sex 0 gets no donor. Explicit voices stay.
 
     Pools are a row for each (sex, race, category) with an ordered array ``members``. A donor's score depends on the
     speaker's demographics only, so it is found once for each of these and joined back, not for each speaker.
@@ -86,7 +86,7 @@ def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> Da
     kinds = speakers.select(*keys).distinct()
     d = donors.select(F.col("id").alias("_donor"), F.col("sex").alias("_sex"), F.col("race").alias("_race"), F.col("category").alias("_category"), "quality")
     match = kinds.where("sex <> 0").join(d, F.col("sex") == F.col("_sex"))
-    score = (F.col("race") == F.col("_race")).cast("int") * 4 + (F.col("category") == F.col("_category")).cast("int") * 2
+    score = (F.col("race") == F.col("_race")).cast("int") * 2 + (F.col("category") == F.col("_category")).cast("int") * 4
     fallback = match.groupBy(*keys).agg(F.max_by("_donor", F.struct(score.alias("s"), F.col("quality"), (-F.col("_donor")).alias("low"))).alias("_donor"))
     joined = speakers.join(pools.select(*keys, "members"), keys, "left").join(fallback, keys, "left")
     member = F.when(F.size("members") > 0, F.get("members", hashing.stable_index(F.size("members"), F.col("id"), hashing.pool_salt(F.col("members")))))
@@ -168,3 +168,54 @@ def dominant_creature(creatures: DataFrame, labels: DataFrame) -> DataFrame:
     any_exact, least = F.max("_exact").over(Window.partitionBy("label", "long_name")), F.min("name").over(Window.partitionBy("label", "long_name"))
     staged = named.select("label", "name", "_exact", "usable", *(o.alias(f"_o{i}") for i, o in enumerate((size, any_exact, least))))
     return ranking.top(staged, ["label"], [F.col("_o0").desc(), F.col("_o1").desc(), F.col("_o2"), F.col("_exact").desc(), F.col("usable").desc(), F.col("name")]).select("label", "name")
+
+
+def line_of(states: DataFrame) -> DataFrame:
+    """Dialogue states (dialogue, state, strref, text) with token mask, spoken text and provenance."""
+    resolved = text.resolve_tokens(F.col("text"))
+    return states.withColumn("token_mask", text.token_mask(F.col("text"))).withColumn("spoken", resolved).withColumn("provenance", hashing.provenance(origin=F.lit("dialogue_state"), dialogue=F.col("dialogue"), state=F.col("state")))
+
+
+def companion_lines(cells: DataFrame, files: Sequence[str], states: DataFrame, existing: DataFrame) -> DataFrame:
+    """States of the dialogues that a table (label, column, value) lists for each label in the given columns,
+    without states that other passes have; a dialogue listed twice counts for the first column."""
+    rank = F.array_position(F.array(*(F.lit(f.upper()) for f in files)), F.upper("column"))
+    listed = cells.select(F.lower(F.trim("label")).alias("label"), F.lower(F.trim("value")).alias("dialogue"), rank.alias("_rank")).where("_rank > 0 AND dialogue NOT IN ('', '*', '****', 'none')")
+    first = ranking.top(listed, ["dialogue"], [F.col("_rank"), F.col("label")])
+    found = states.withColumn("dialogue", F.lower("dialogue")).join(first.drop("_rank"), "dialogue")
+    return found.join(existing.select(F.lower("dialogue").alias("dialogue"), "state"), ["dialogue", "state"], "left_anti")
+
+
+def scan_attribution(states: DataFrame, creatures: DataFrame, cells: DataFrame, files: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(lines with owner, confidence and origin; groups of shared strings): owned states first, then listed ones."""
+    owned = attribute(states, creatures).where("confidence > 0").select(*states.columns, "owner", "confidence", F.lit("attributed").alias("origin"))
+    extra = companion_lines(cells, files, states, owned).select(*states.columns, F.col("label").alias("owner"), F.lit(0.4).alias("confidence"), F.lit("companion").alias("origin"))
+    lines = owned.withColumn("dialogue", F.lower("dialogue")).unionByName(extra)
+    return lines, aggregates.shared_groups(lines, "strref", "owner")
+
+
+def harvest(candidates: DataFrame, clips: DataFrame) -> DataFrame:
+    """Candidates (sound, origin, confidence, text) joined with decoded clips (sound, samples, rate), measured and scored."""
+    from ..functions import signal
+
+    joined = candidates.withColumn("attribution", F.col("confidence")).join(clips.select(F.lower("sound").alias("sound"), "samples", "rate"), "sound")
+    return signal.score(signal.measure(joined)).drop("samples")
+
+
+def verify_speech(scored: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Scores recomputed where a voice activity ratio (id, ratio) is known."""
+    from ..functions import signal
+
+    joined = scored.join(ratios.select("id", F.col("ratio").alias("_ratio")), "id", "left")
+    fresh = signal.with_vad(joined, "_ratio")
+    old = joined.where("_ratio IS NULL").drop("_ratio")
+    return fresh.where("_ratio IS NOT NULL").drop("_ratio").unionByName(old)
+
+
+def reset_agent_state(overrides: DataFrame, generations: DataFrame, lines: DataFrame, project: int) -> tuple[DataFrame, DataFrame]:
+    """Overrides without those of a project's texts, and generations with the project's lines marked stale."""
+    own = lines.where(F.col("project_id") == project)
+    hashes = own.select(hashing.text_hash(F.col("text")).alias("text_hash")).distinct()
+    stale = own.select(F.col("id").alias("line_id"))
+    marked = generations.join(stale.withColumn("_hit", F.lit(True)), "line_id", "left").withColumn("stale", F.coalesce(F.col("_hit"), F.col("stale"))).drop("_hit")
+    return overrides.join(hashes, "text_hash", "left_anti"), marked

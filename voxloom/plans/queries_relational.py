@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import aggregates, graph, ordering, predicates, ranking, state
+from ..operators import aggregates, bindings, graph, ordering, predicates, ranking, state
 from . import pipelines
 from .registry import query
 
@@ -325,3 +325,67 @@ def voice_matches(t):
 def experiment_matrix(t):
     """P16."""
     return pipelines.matrix(t.nation, [{"steps": 16}, {"steps": 32}, {"guidance": 2.0}]).select("n_nationkey", "experiment")
+
+
+@query(f"WITH RECURSIVE b AS ({FOLLOWS}), w AS (SELECT speaker, speaker AS a, source, follows, 0 AS hops FROM b UNION ALL SELECT w.speaker, b.speaker, b.source, b.follows, w.hops + 1 FROM w JOIN b ON w.follows = b.speaker WHERE w.source = 'follow' AND w.hops < 8), r AS (SELECT speaker, max_by(a, hops) AS donor FROM w GROUP BY 1) SELECT c.c_custkey AS id, b.source, f.c_name AS follow_name, d.c_name AS donor_name FROM customer c LEFT JOIN b ON b.speaker = c.c_custkey LEFT JOIN r ON r.speaker = c.c_custkey LEFT JOIN customer f ON f.c_custkey = b.follows LEFT JOIN customer d ON d.c_custkey = r.donor")
+def effective_bindings(t):
+    """Self-joins for whom a speaker follows and whose voice that is in the end."""
+    speakers = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return bindings.effective_bindings(speakers, follows(t).withColumn("status", F.lit("ready"))).select("id", "source", "follow_name", "donor_name")
+
+
+@query("SELECT s_suppkey AS id, min(c_custkey) AS line FROM supplier JOIN customer ON trim(c_mktsegment) = trim(CASE s_suppkey % 3 WHEN 0 THEN ' BUILDING ' WHEN 1 THEN 'MACHINERY' ELSE 'x' END) GROUP BY 1")
+def text_owners(t):
+    """J09."""
+    sources = t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, " BUILDING ").when(F.col("s_suppkey") % 3 == 1, "MACHINERY").otherwise("x").alias("source_text"))
+    return bindings.text_owners(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("text")), sources)
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'unknown') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
+def lookups(t):
+    """J15, J22."""
+    table = t.nation.where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return bindings.lookup(t.customer, table, "c_nationkey", "n_name", "nation", "unknown").select("c_custkey", "nation")
+
+
+@query("WITH d AS (SELECT s_suppkey AS id, s_suppkey % 3 AS sex, s_nationkey AS race, s_suppkey % 5 AS category, s_acctbal AS quality FROM supplier), g AS (SELECT DISTINCT c_custkey % 3 AS sex, c_nationkey AS race, c_custkey % 5 AS category FROM customer) SELECT g.sex, g.race, g.category, coalesce((SELECT arg_max(id, (quality, -id)) FROM d WHERE d.sex = g.sex AND d.race = g.race AND d.category = g.category), (SELECT arg_max(id, (quality, -id)) FROM d WHERE d.sex = g.sex AND g.sex <> 0)) AS donor FROM g")
+def configured_pools(t):
+    """D23."""
+    groups = t.customer.select((F.col("c_custkey") % 3).alias("sex"), F.col("c_nationkey").alias("race"), (F.col("c_custkey") % 5).alias("category"))
+    donors = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3).alias("sex"), F.col("s_nationkey").alias("race"), (F.col("s_suppkey") % 5).alias("category"), F.col("s_acctbal").alias("quality"))
+    return bindings.configure_pools(groups, donors)
+
+
+@query("SELECT c_nationkey::VARCHAR AS name, list_sort(list_distinct(list(lower(c_mktsegment)))) AS sounds FROM customer GROUP BY 1")
+def sounds_by_name(t):
+    """A22."""
+    return bindings.sounds_by_name(t.customer.select(F.col("c_nationkey").cast("string").alias("name"), F.col("c_mktsegment").alias("sound")))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS speakers, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS ready, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'P') AS marked, (SELECT count(*) FROM customer) - count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS \"left\" FROM orders")
+def binding_progress(t):
+    """A18."""
+    of = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id"))
+    return bindings.progress(t.customer.select(F.col("c_custkey").alias("id")), of("F"), of("P"))
+
+
+@query("SELECT c_nationkey AS identity, count(*) AS generations FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def identity_generations(t):
+    """A30."""
+    lines = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("speaker"))
+    return bindings.generations_of(t.lineitem.select(F.col("l_orderkey").alias("line")), lines, t.customer.select(F.col("c_custkey").alias("speaker"), F.col("c_nationkey").alias("identity")))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey * 10 + l_linenumber IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_partkey % 2 = 0) AND l_quantity / 20 >= 0.6 THEN 'approved' ELSE 'pending' END AS decision FROM lineitem")
+def guarded_decisions(t):
+    """D14."""
+    s = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey", (F.col("l_quantity") / 20).alias("duration_secs"), F.lit("pending").alias("decision"))
+    return bindings.set_decision(s, s.where("l_partkey % 2 = 0").select("id"), "approved").select("id", "decision")
+
+
+@query("SELECT creature, sound, strref FROM (SELECT s_suppkey AS creature, lower(o_orderpriority) AS sound, o_orderkey AS strref, row_number() OVER (PARTITION BY s_suppkey, lower(o_orderpriority) ORDER BY o_orderkey) AS r FROM orders JOIN supplier ON o_custkey % 50 = s_suppkey % 50) WHERE r = 1")
+def companion_sources(t):
+    """B17."""
+    lines = t.orders.select(F.concat(F.lit("D"), (F.col("o_custkey") % 50).cast("string")).alias("dialogue"), F.col("o_orderpriority").alias("sound"), F.col("o_orderkey").alias("strref"))
+    companions = t.supplier.select(F.concat(F.lit("d"), (F.col("s_suppkey") % 50).cast("string")).alias("dialogue"), F.col("s_suppkey").alias("creature"))
+    return bindings.companion_sources(lines, companions).select("creature", "sound", "strref")

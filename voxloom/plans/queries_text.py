@@ -68,10 +68,10 @@ def excerpts(t):
     return t.conversations.select("conv_id", "turn", text.excerpt(F.col("text"), 40).alias("excerpt"), text.search_form(F.col("text")).alias("search_form"))
 
 
-@query(r"SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) AS stem, s_nationkey || ':' || (s_suppkey % 3) AS identity, right(lpad(upper(CASE WHEN s_suppkey < 36 THEN substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s_suppkey::INT + 1, 1) ELSE substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey // 36)::INT + 1, 1) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey % 36)::INT + 1, 1) END), 5, '0'), 5) AS name FROM supplier")
+@query(r"SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) AS stem, CASE WHEN s_nationkey = 0 THEN 'ungrouped:' || s_suppkey ELSE s_nationkey || ':' || (s_suppkey % 3) END AS identity, right(lpad(upper(CASE WHEN s_suppkey < 36 THEN substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s_suppkey::INT + 1, 1) ELSE substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey // 36)::INT + 1, 1) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey % 36)::INT + 1, 1) END), 5, '0'), 5) AS name FROM supplier")
 def names_and_keys(t):
     """T42, T46, H06."""
-    return t.supplier.select("s_suppkey", text.stem(F.col("s_name")).alias("stem"), text.identity_key(F.col("s_nationkey"), F.col("s_name"), F.col("s_suppkey") % 3).alias("identity"), hashing.base36(F.col("s_suppkey"), 5).alias("name"))
+    return t.supplier.select("s_suppkey", text.stem(F.col("s_name")).alias("stem"), text.identity_key(F.when(F.col("s_nationkey") != 0, F.col("s_nationkey")), F.col("s_suppkey") % 3, F.col("s_suppkey")).alias("identity"), hashing.base36(F.col("s_suppkey"), 5).alias("name"))
 
 
 @query(r"SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(json_extract_string(props, '$.eligibility'), 'automatic') = 'automatic' AS automatic, sha256(coalesce(user_id::VARCHAR, '') || '|' || event_type) AS state FROM events")
@@ -154,7 +154,7 @@ def marked_documents(t):
     return state.mark(t.documents.select("doc_id", "lang", "source"), t.labels.where("quality IS NOT NULL"), ["doc_id"], "lang", "marked")
 
 
-@query("SELECT conv_id, string_agg(CASE WHEN regexp_matches(trim(text, E' \\n\\t'), '[.!?…]$') THEN trim(text, E' \\n\\t') ELSE trim(text, E' \\n\\t') || '.' END, ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text, E' \\n\\t') <> '' GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(CASE WHEN regexp_matches(trim(text, E' \\n\\t'), '[.!?…;:]$') THEN trim(text, E' \\n\\t') ELSE trim(text, E' \\n\\t') || '.' END, ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text, E' \\n\\t') <> '' GROUP BY conv_id")
 def transcripts(t):
     """T41."""
     grouped = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns")).where(F.exists("turns", lambda x: text.trim(x["text"]) != ""))

@@ -219,3 +219,10 @@ def reset_agent_state(overrides: DataFrame, generations: DataFrame, lines: DataF
     stale = own.select(F.col("id").alias("line_id"))
     marked = generations.join(stale.withColumn("_hit", F.lit(True)), "line_id", "left").withColumn("stale", F.coalesce(F.col("_hit"), F.col("stale"))).drop("_hit")
     return overrides.join(hashes, "text_hash", "left_anti"), marked
+
+
+def stem_owners(sounds: DataFrame, creatures: DataFrame, least: int = 4) -> DataFrame:
+    """(sound, name) of creatures whose name has the sound's stem, of ``least`` characters or more."""
+    a = sounds.select("sound", text.stem(F.col("sound")).alias("_stem")).where(F.length("_stem") >= least).distinct()
+    b = creatures.select("name", text.stem(F.col("name")).alias("_stem")).distinct()
+    return a.join(b, "_stem").select("sound", "name")

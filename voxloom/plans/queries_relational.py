@@ -389,3 +389,11 @@ def companion_sources(t):
     lines = t.orders.select(F.concat(F.lit("D"), (F.col("o_custkey") % 50).cast("string")).alias("dialogue"), F.col("o_orderpriority").alias("sound"), F.col("o_orderkey").alias("strref"))
     companions = t.supplier.select(F.concat(F.lit("d"), (F.col("s_suppkey") % 50).cast("string")).alias("dialogue"), F.col("s_suppkey").alias("creature"))
     return bindings.companion_sources(lines, companions).select("creature", "sound", "strref")
+
+
+@query("SELECT c.c_mktsegment || c.c_custkey AS sound, n.name FROM customer c JOIN (SELECT DISTINCT lower(c_mktsegment) || (c_nationkey % 3) AS name, lower(c_mktsegment) AS stem FROM customer) n ON lower(c.c_mktsegment) = n.stem WHERE c.c_custkey % 20 = 0")
+def stem_owners(t):
+    """J19."""
+    sounds = t.customer.where("c_custkey % 20 = 0").select(F.concat("c_mktsegment", F.col("c_custkey").cast("string")).alias("sound"))
+    names = t.customer.select(F.concat(F.lower("c_mktsegment"), (F.col("c_nationkey") % 3).cast("string")).alias("name"))
+    return pipelines.stem_owners(sounds, names)

@@ -6,8 +6,8 @@ lines emit hashed keys of all variants with one deletion, lines with an equal ke
 match is verified on the texts, and of matching lines the earliest stays.
 
 Emitting every variant of every line would write as many keys as the corpus has characters. A cheap pigeonhole comes
-first: one edit leaves one half of a line as it is, so a line whose halves no other line of fitting length shares has
-no partner and emits nothing. It loses no match.
+first: one edit leaves the first or the last half of a line as it is, so a line whose halves no other line of about its
+length shares has no partner and emits nothing. It loses no match.
 
 Only hashes, ids and line numbers are shuffled for all lines, texts only to look up and to cut lines. Equal lines are
 one row from their first aggregation on, and of a key that many lines share only the earliest line is joined to the
@@ -19,13 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, kind, map_batches, table, texts
+from .common import kind, map_batches, table, texts, written
 
 #: Characters in the normal form from which lines within one edit match; shorter lines match only if equal.
 NEAR_CHARS = 20
+#: Documents whose lines are looked up by a broadcast; beyond it by a shuffle. About 100 bytes each.
+BROADCAST_DOCS = 100_000
 #: White space within a line.
 SPACES = r"[ \t\r\f\x0B\xA0]"
 
@@ -47,26 +49,27 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 
 def _half_keys() -> Column:
-    """Keys of the halves that one edit leaves as they are: for pairs of this length, and with one shorter by one."""
+    """Keys of the first and last characters, half a line or a little less, that one edit leaves as they are.
+
+    How many characters depends on the class of a line's length, four lengths wide. A line whose length starts a class has
+    the keys of the class below too, so that lines whose lengths differ by one always have a class in common.
+    """
     n, s = F.length("norm"), F.col("norm")
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    end = F.lit(1 << 30)
-    return F.array(
-        F.xxhash64(F.lit("p"), n, F.substring(s, F.lit(1), half)),
-        F.xxhash64(F.lit("s"), n, F.substring(s, half + 1, end)),
-        F.xxhash64(F.lit("p"), n - 1, F.substring(s, F.lit(1), less)),
-        F.xxhash64(F.lit("s"), n - 1, F.substring(s, less + 2, end)),
-    )
+
+    def keys(c: Column) -> list[Column]:
+        return [F.xxhash64(F.lit("first"), c, F.left(s, 2 * c)), F.xxhash64(F.lit("last"), c, F.right(s, 2 * c))]
+
+    c = F.floor(n / 4).cast("int")
+    return F.when(n % 4 == 0, F.array(*keys(c), *keys(c - 1))).otherwise(F.array(*keys(c)))
 
 
 def _variants(batch: pa.RecordBatch):
-    """For each line (h1, h2, first, norm): itself at place -1, and the line without each of its characters, by place."""
-    digest, row, places, keys = xxhash.xxh3_128_digest, [], [], []
+    """Hashes of each line (first, norm): itself at place -1, and without each of its characters, by place."""
+    digest, row, places, keys = xxhash.xxh3_64_intdigest, [], [], []
 
     def out() -> pa.RecordBatch:
-        at, halves = pa.array(row, pa.int32()), np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        columns = [batch.column(c).take(at) for c in ("h1", "h2", "first")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(places, pa.int32())], ["h1", "h2", "first", "v1", "v2", "place"])
+        first = batch.column("first").take(pa.array(row, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(places, pa.int32()), first], ["v", "place", "first"])
 
     for k, norm in enumerate(texts(batch, "norm")):
         keys += [digest(norm.encode()), *(digest((norm[:i] + norm[i + 1 :]).encode()) for i in range(len(norm)))]
@@ -79,6 +82,39 @@ def _variants(batch: pa.RecordBatch):
         yield out()
 
 
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, h2, first, norm of the wanted lines, from the text in which each stands first.
+
+    If few documents are wanted, at most BROADCAST_DOCS, they are broadcast and no text is shuffled; else both sides are
+    shuffled by document.
+    """
+    by_text = written(wanted.groupBy("w_id", "w_hash").agg(F.collect_list(F.struct("w_no", "h1", "h2", "first")).alias("wants")), "wanted-lines")
+    if by_text.count() <= BROADCAST_DOCS:
+        by_text = F.broadcast(by_text)
+    source = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = source.join(by_text, source.doc_id.eqNullSafe(by_text.w_id) & (source.text_hash == by_text.w_hash))
+    parts = found.select(F.split("text", "\n").alias("parts"), F.explode("wants").alias("want"))
+    return parts.select("want.h1", "want.h2", "want.first", normal_form(F.get("parts", F.col("want.w_no"))).alias("norm")).dropDuplicates(["h1", "h2"])
+
+
+def _earlier_neighbours(near: DataFrame) -> DataFrame:
+    """h1, h2, best: for lines (h1, h2, first, norm) within one edit of an earlier one the earliest of these.
+
+    A variant's lines lie together; as lines are distinct there are at most as many as characters can be put back in. All
+    that lack the same place are a substitution apart, and the line that is the variant is an insertion away from each
+    that has it by a deletion; so minima over a variant find each line's earliest neighbour without listing pairs.
+    """
+    emitted = map_batches(near.select("first", "norm"), _variants, f"v long, place int, first {kind(near, 'first')}")
+    every, same_place = Window.partitionBy("v"), Window.partitionBy("v", "place")
+    whole, cut = F.min(F.when(F.col("place") < 0, F.col("first"))), F.min(F.when(F.col("place") >= 0, F.col("first")))
+    seen = emitted.select("first", "place", F.min("first").over(same_place).alias("swap"), whole.over(every).alias("whole"), cut.over(every).alias("cut"))
+    best = F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("swap", "whole"))
+    pairs = seen.select("first", best.alias("best")).where("best < first").distinct()
+    one, other = near.select("h1", "h2", "first", "norm"), near.select(F.col("first").alias("best"), F.col("norm").alias("other"))
+    checked = pairs.join(one, "first").join(other, "best").where(F.levenshtein("norm", "other", 1) >= 0)
+    return checked.groupBy("h1", "h2").agg(F.min("best").alias("best"))
+
+
 def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id, text_hash, line_no and kept_id, kept_line of each line that repeats an earlier one.
 
@@ -89,35 +125,16 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """
     h1, h2 = _two(F.col("norm"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    lines = durable(_positions(docs).select("doc_id", "text_hash", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(F.length("norm") >= near_chars, _half_keys()).alias("halves")))
+    lines = written(_positions(docs).select("doc_id", "text_hash", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(F.length("norm") >= near_chars, _half_keys()).alias("halves")), "lines")
+    forms = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(at.alias("at"), "text_hash")).alias("stands"), F.count("*").alias("n")), "line-forms")
+    forms = forms.select("h1", "h2", "n", F.col("stands.at").alias("first"), F.col("stands.text_hash").alias("w_hash"))
+    halves = lines.select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("half")
+    paired = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    wanted = forms.join(paired, "h1").select("h1", "h2", "first", F.col("first.doc_id").alias("w_id"), "w_hash", F.col("first.line_no").alias("w_no"))
+    earlier = _earlier_neighbours(written(_fetch(docs, wanted), "near-lines"))
+    judged = forms.join(earlier, ["h1", "h2"], "left").where("n > 1 OR best IS NOT NULL").select("h1", "h2", F.least("first", F.coalesce("best", "first")).alias("kept"))
     rows = lines.select("doc_id", "text_hash", "line_no", "h1", "h2", at.alias("at"))
-    forms = durable(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min(F.struct(at.alias("at"), "text_hash")).alias("where"), F.first("halves").alias("halves")))
-    halves = forms.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    paired = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    # the texts of lines that may have a partner, from where they stand first
-    wanted = forms.join(paired, ["h1", "h2"]).select("h1", "h2", "first", F.col("where.at.doc_id").alias("w_id"), F.col("where.text_hash").alias("w_hash"), F.col("where.at.line_no").alias("w_no"))
-    source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").where("text IS NOT NULL")
-    by_text = wanted.groupBy("w_id", "w_hash").agg(F.collect_set(F.struct("w_no", "h1", "h2", "first")).alias("wants"))
-    found = source.join(by_text, source.doc_id.eqNullSafe(by_text.w_id) & (source.text_hash == by_text.w_hash)).select(F.split("text", "\n").alias("parts"), F.explode("wants").alias("want"))
-    found = found.select("want.h1", "want.h2", "want.first", normal_form(F.get("parts", F.col("want.w_no"))).alias("norm"))
-    near = durable(found.dropDuplicates(["h1", "h2"]))
-    emitted = durable(map_batches(near.select("h1", "h2", "first", "norm"), _variants, f"h1 long, h2 long, first {kind(near, 'first')}, v1 long, v2 long, place int"))
-    who = F.struct("first", "h1", "h2")
-    # lines that lack the same place: one substitution apart
-    swapped = emitted.where("place >= 0").groupBy("v1", "v2", "place").agg(F.min(who).alias("best"), F.count("*").alias("n")).where("n > 1").select("v1", "v2", "place", "best")
-    by_swap = emitted.join(swapped, ["v1", "v2", "place"]).select("h1", "h2", "first", "best")
-    # a whole line that equals a line with one place less: one insertion apart
-    whole = emitted.where("place = -1").select("v1", "v2", who.alias("best"))
-    by_cut = emitted.where("place >= 0").join(whole, ["v1", "v2"]).select("h1", "h2", "first", "best")
-    longer = emitted.where("place >= 0").groupBy("v1", "v2").agg(F.min(who).alias("best"))
-    by_gap = emitted.where("place = -1").join(longer, ["v1", "v2"]).select("h1", "h2", "first", "best")
-    matches = by_swap.union(by_cut).union(by_gap).where("best.first < first").select("h1", "h2", F.col("best.h1").alias("b1"), F.col("best.h2").alias("b2"), F.col("best.first").alias("best")).distinct()
-    form, other = near.select("h1", "h2", "norm"), near.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("other"))
-    checked = matches.join(form, ["h1", "h2"]).join(other, ["b1", "b2"]).where(F.levenshtein("norm", "other", 1) >= 0)
-    earlier = checked.groupBy("h1", "h2").agg(F.min("best").alias("best"))
-    # forms of which some line goes: those met again, and those near an earlier form
-    judged = forms.join(earlier, ["h1", "h2"], "left").where("n > 1 OR best IS NOT NULL").select("h1", "h2", "first", F.least("first", F.coalesce("best", "first")).alias("kept"))
     return rows.join(judged, ["h1", "h2"]).where("kept < at").select("doc_id", "text_hash", "line_no", F.col("kept.doc_id").alias("kept_id"), F.col("kept.line_no").alias("kept_line"))
 
 

@@ -257,7 +257,7 @@ def resolved_voices(t):
     return graph.resolved_voices(follows(t))
 
 
-@query()
+@query(f"WITH RECURSIVE b AS ({FOLLOWS}), w AS (SELECT speaker, source, follows, 0 AS hops FROM b UNION ALL SELECT w.speaker, b.source, b.follows, w.hops + 1 FROM w JOIN b ON w.follows = b.speaker WHERE w.source = 'follow' AND w.hops < 16), e AS (SELECT speaker, max(hops) AS last, max_by(source, hops) AS ends FROM w GROUP BY 1) SELECT CASE WHEN last <= 8 AND ends <> 'follow' THEN 'own' WHEN last < 8 THEN 'missing' WHEN last = 16 AND ends = 'follow' THEN 'cycle' WHEN last = 8 THEN 'missing' ELSE 'depth' END AS status, count(*) AS count FROM e GROUP BY 1")
 def follow_status(t):
     """Own, missing, depth or cycle."""
     return graph.effective(follows(t)).groupBy("status").count()

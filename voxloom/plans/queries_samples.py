@@ -102,7 +102,7 @@ def auto_bindings(t):
     return pipelines.auto_bind(t.customer.select(F.col("c_custkey").alias("identity")), found, bound)
 
 
-@query()
+@query(r"WITH RECURSIVE j AS (SELECT role AS voice, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line, min(conv_id * 1000 + turn) AS id, count(*) AS jobs FROM conversations GROUP BY 1, 2), k AS (SELECT *, length(line)::INT AS chars, row_number() OVER (PARTITION BY voice ORDER BY length(line), id) AS i FROM j), w AS (SELECT id, voice, jobs, chars, i, 0 AS batch, 1 AS held, chars AS total FROM k WHERE i = 1 UNION ALL SELECT k.id, k.voice, k.jobs, k.chars, k.i, CASE WHEN w.held >= 8 OR w.total + k.chars > 800 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.held >= 8 OR w.total + k.chars > 800 THEN 1 ELSE w.held + 1 END, CASE WHEN w.held >= 8 OR w.total + k.chars > 800 THEN k.chars ELSE w.total + k.chars END FROM w JOIN k ON k.voice = w.voice AND k.i = w.i + 1) SELECT id, voice, jobs, chars, batch FROM w")
 def generation_plan(t):
     """Deduplicated jobs of each voice, packed in order of length."""
     jobs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("voice"), "text", F.lit("{}").alias("settings"))

@@ -3,7 +3,8 @@
 Every edge points from the larger node to the smaller one. A large-star round hangs the larger neighbours of a node
 on the least node that it knows; a small-star round does so for the smaller neighbours. The edges become stars around
 the least node of each component after about log(n) rounds. Minima are aggregated before they are shuffled and no
-round gathers a node's neighbours, so a hub with very many edges costs no more than as many edges elsewhere.
+round gathers a node's neighbours; edges meet minima in joins of two plain shuffles, so that Spark can split a hub with
+very many edges over tasks.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+def _meet(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
+    """Edges with the minimum m of their node at one end. Dealing the minima out first keeps the join's shuffle apart from
+    that of their aggregation."""
+    return edges.join(least.repartition("n", "m"), F.col(end) == F.col("n"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.col("n"), F.min("v")).alias("m"))
-    return edges.join(least, edges.v == least.n).select("u", F.col("m").alias("v")).where("u <> v")
+    return _meet(edges, "v", least).select("u", F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    moved = edges.join(least, edges.u == least.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = _meet(edges, "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
 
 

@@ -71,7 +71,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     n = rows.count()
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = max(1, n // BUCKET_ROWS)
-    groups = rows.groupBy("group").count().where("count > 1")
+    # cut here, so that the join below is between two plain shuffles, whose hot group Spark can split
+    groups = durable(rows.groupBy("group").count().where("count > 1"))
     block_rows = max(2, n // shards // 8)
     # copies of one text and id are told apart by nothing; they share a hash and may be ranked in either order
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / block_rows))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory however long the texts are.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ match is verified on the texts, and of matching lines the earliest stays.
 
 Emitting every variant of every line would write as many keys as the corpus has characters. A cheap pigeonhole comes
 first: one edit leaves the first or the last half of a line as it is, so a line whose halves no other line of about its
-length shares has no partner and emits nothing. It loses no match.
+length shares has no partner and emits nothing; nor does one that differs from all others in more than one of eight
+blocks. Neither step loses a match.
 
 Only hashes, ids and line numbers are shuffled for all lines, texts only to look up and to cut lines. Equal lines are
 one row from their first aggregation on, and of a key that many lines share only the earliest line is joined to the
@@ -26,8 +27,8 @@ from .common import kind, map_batches, table, texts, written
 
 #: Characters in the normal form from which lines within one edit match; shorter lines match only if equal.
 NEAR_CHARS = 20
-#: Documents whose lines are looked up by a broadcast; beyond it by a shuffle. About 100 bytes each.
-BROADCAST_DOCS = 100_000
+#: Lines that are looked up by a broadcast; beyond it by a shuffle. About 100 bytes each.
+BROADCAST_LINES = 200_000
 #: White space within a line.
 SPACES = r"[ \t\r\f\x0B\xA0]"
 
@@ -85,11 +86,11 @@ def _variants(batch: pa.RecordBatch):
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, h2, first, norm of the wanted lines, from the text in which each stands first.
 
-    If few documents are wanted, at most BROADCAST_DOCS, they are broadcast and no text is shuffled; else both sides are
+    If few lines are wanted, at most BROADCAST_LINES, they are broadcast and no text is shuffled; else both sides are
     shuffled by document.
     """
     by_text = written(wanted.groupBy("w_id", "w_hash").agg(F.collect_list(F.struct("w_no", "h1", "h2", "first")).alias("wants")), "wanted-lines")
-    if by_text.count() <= BROADCAST_DOCS:
+    if (by_text.agg(F.sum(F.size("wants"))).first()[0] or 0) <= BROADCAST_LINES:
         by_text = F.broadcast(by_text)
     source = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = source.join(by_text, source.doc_id.eqNullSafe(by_text.w_id) & (source.text_hash == by_text.w_hash))
@@ -97,6 +98,29 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.select("want.h1", "want.h2", "want.first", normal_form(F.get("parts", F.col("want.w_no"))).alias("norm")).dropDuplicates(["h1", "h2"])
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """h1 of the rows (h1, key) whose key another h1 has too."""
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
+
+
+def _close(near: DataFrame, blocks: int = 8) -> DataFrame:
+    """The lines (h1, norm, ...) that agree with another one outside of one of ``blocks`` blocks, at lengths that fit.
+
+    The same pigeonhole, finer, for the few lines whose texts are at hand: an edit lies in one block of the shorter line,
+    and leaves what comes before and after it.
+    """
+
+    def keys(length: Column) -> list[Column]:
+        q = F.floor(length / blocks).cast("int")
+        ends = [F.lit(0) if b == blocks - 1 else length - (b + 1) * q for b in range(blocks)]
+        return [F.xxhash64(F.lit(b), length, F.left("norm", b * q), F.right("norm", ends[b])) for b in range(blocks)]
+
+    n = F.length("norm")
+    keyed = near.select("h1", F.explode(F.array(*keys(n), *keys(n - 1))).alias("key"))
+    return near.join(_shared(keyed), "h1", "left_semi")
+
+
 def _earlier_neighbours(near: DataFrame) -> DataFrame:
     """h1, h2, best: for lines (h1, h2, first, norm) within one edit of an earlier one the earliest of these.
 
@@ -128,12 +152,12 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     lines = written(_positions(docs).select("doc_id", "text_hash", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(F.length("norm") >= near_chars, _half_keys()).alias("halves")), "lines")
     forms = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(at.alias("at"), "text_hash")).alias("stands"), F.count("*").alias("n")), "line-forms")
     forms = forms.select("h1", "h2", "n", F.col("stands.at").alias("first"), F.col("stands.text_hash").alias("w_hash"))
-    halves = lines.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("half")
-    paired = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    paired = _shared(lines.select("h1", F.explode("halves").alias("key")))
     wanted = forms.join(paired, "h1").select("h1", "h2", "first", F.col("first.doc_id").alias("w_id"), "w_hash", F.col("first.line_no").alias("w_no"))
-    earlier = _earlier_neighbours(written(_fetch(docs, wanted), "near-lines"))
+    near = written(_close(written(_fetch(docs, wanted), "near-lines")), "close-lines")
+    earlier = _earlier_neighbours(near)
     judged = forms.join(earlier, ["h1", "h2"], "left").where("n > 1 OR best IS NOT NULL").select("h1", "h2", F.least("first", F.coalesce("best", "first")).alias("kept"))
+    judged = written(judged, "judged-lines")  # cut here, so that Spark can split a hot line in the join of two plain shuffles
     rows = lines.select("doc_id", "text_hash", "line_no", "h1", "h2", at.alias("at"))
     return rows.join(judged, ["h1", "h2"]).where("kept < at").select("doc_id", "text_hash", "line_no", F.col("kept.doc_id").alias("kept_id"), F.col("kept.line_no").alias("kept_line"))
 

@@ -128,6 +128,37 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(r.n_chars is None or r.n_chars == len(r.text) for r in kept.collect())
 
 
+def test_line_dedup_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
+    want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == want
+
+
+def test_variant_hashes_are_those_of_the_shorter_lines():
+    for line in ("a", "abca", "äöü ß日本", "aaaa"):
+        found = line_dedup.variant_hashes(line).tolist()
+        assert len(found) == len(line) + 1
+        assert found[1:] == [int(line_dedup.variant_hashes(line[:i] + line[i + 1 :])[0]) for i in range(len(line))]
+    some = {w: int(line_dedup.variant_hashes(w)[0]) for w in ("", "a", "b", "ab", "ba", "aa", "aab", "aba", "baa")}
+    assert len(set(some.values())) == len(some)
+    assert len(line_dedup.variant_hashes("x" * 2_000_000)) == 2_000_001
+
+
+def test_finer_blocks_lose_no_match(spark):
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("ab ") for _ in range(n)) for n in (20, 23, 24, 40)]
+    lines = set()
+    for base in bases:
+        for _ in range(12):
+            at = rng.randrange(len(base))
+            lines.add(base[:at] + rng.choice(["", "c", base[at] + "d"]) + base[at + 1 :])
+    lines |= {"".join(rng.choice("xyz") for _ in range(30)) for _ in range(20)}
+    near = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(lines))], "h1 long, norm string")
+    kept = {r.norm for r in line_dedup._close(near).collect()}
+    assert {a for a in lines for b in lines if a != b and brute.edit_distance(a, b) == 1} <= kept
+
+
 def test_line_dedup_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.without_repeated_lines(empty).count() == 0

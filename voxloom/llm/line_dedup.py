@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +63,54 @@ def _half_keys() -> Column:
     return F.when(n % 4 == 0, F.array(*keys(c), *keys(c - 1))).otherwise(F.array(*keys(c)))
 
 
+_STEP = 0x9E3779B97F4A7C15
+_BACK = np.uint64(pow(_STEP, -1, 1 << 64))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers over 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def variant_hashes(line: str) -> np.ndarray:
+    """Hashes of a line, and of the line without each of its characters, in time proportional to its length.
+
+    A text's hash is the sum of its characters' numbers times powers of a step; without one character, those after it
+    move down by one power.
+    """
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(0, len(codes) - 1), _STEP, np.uint64))))[: len(codes)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(codes + np.uint64(1)) * powers)))
+    cut = sums[:-1] + (sums[-1] - sums[1:]) * _BACK
+    lengths = np.full(len(codes) + 1, max(0, len(codes) - 1), np.uint64)
+    lengths[0] = len(codes)
+    return _mix(np.concatenate((sums[-1:], cut)) ^ (lengths * np.uint64(_STEP)))
+
+
 def _variants(batch: pa.RecordBatch):
-    """Hashes of each line (first, norm): itself at place -1, and without each of its characters, by place."""
-    digest, row, places, keys = xxhash.xxh3_64_intdigest, [], [], []
+    """For each line (first, norm) the hashes of itself, at place -1, and without each of its characters, by place."""
+    row, places, keys, held = [], [], [], 0
 
-    def out() -> pa.RecordBatch:
-        first = batch.column("first").take(pa.array(row, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(places, pa.int32()), first], ["v", "place", "first"])
+    def out():
+        at, place, key = np.concatenate(row), np.concatenate(places), np.concatenate(keys).view(np.int64)
+        for i in range(0, len(at), 50_000):
+            part = slice(i, i + 50_000)
+            first = batch.column("first").take(pa.array(at[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(place[part]), first], ["v", "place", "first"])
 
     for k, norm in enumerate(texts(batch, "norm")):
-        keys += [digest(norm.encode()), *(digest((norm[:i] + norm[i + 1 :]).encode()) for i in range(len(norm)))]
-        row += [k] * (len(norm) + 1)
-        places += range(-1, len(norm))
-        if len(row) > 50_000:
-            yield out()
-            row, places, keys = [], [], []
-    if row:
-        yield out()
+        keys.append(variant_hashes(norm))
+        n = len(keys[-1])
+        row.append(np.full(n, k, np.int32))
+        places.append(np.arange(-1, n - 1, dtype=np.int32))
+        held += n
+        if held >= 50_000:
+            yield from out()
+            row, places, keys, held = [], [], [], 0
+    if held:
+        yield from out()
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, models
 from .common import kind, map_batches, table, texts
 
 #: Words and fragments that a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class Encoded(NamedTuple):

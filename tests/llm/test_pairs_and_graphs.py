@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from voxloom.llm import line_dedup, simhash
+import corpus_pipeline
+from voxloom.llm import jaccard, line_dedup, simhash
 from voxloom.llm.components import connected_components
 
 from . import brute
@@ -93,6 +94,44 @@ def test_simhash_of_an_empty_table(spark):
     assert simhash.simhash_components(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def copies_with_edits():
+    """Copies with 1 to 12 changed words, on both sides of a similarity of 0.8; most lie beyond 3 bits."""
+    rng = random.Random(11)
+    rows = [(900, "four words and more"), (901, "Four words AND more"), (902, "four words and fewer"), (903, None), (904, "")]
+    for i in range(0, 160, 8):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([60, 200, 900]))]
+        for k in range(8):
+            other = list(base)
+            for _ in range(k * len(base) // 200):
+                other[rng.randrange(len(base))] = f"x{rng.randrange(500)}"
+            rows.append((i + k, " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [2, 1024])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", cell * 1000)
+    rows = copies_with_edits()
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    want = brute.components(set(sets), [(a, b) for a in sets for b in sets if a < b and brute.jaccard(sets[a], sets[b]) >= 0.8])
+    least = {}
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for r in found:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert {r.doc_id: least[r.root] for r in found} == want
+    assert len(set(want.values())) < len(rows) // 2
+
+
+def test_pipeline_drops_what_brute_force_finds(spark):
+    rows = copies_with_edits()
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    want = brute.components(set(sets), [(a, b) for a in sets for b in sets if a < b and brute.jaccard(sets[a], sets[b]) >= 0.8])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()} == set(want.values())
+    assert corpus_pipeline.dedup_documents(spark, docs.limit(0), "").count() == 0
+
+
 def line_docs():
     rng = random.Random(3)
     base = ["The quick brown fox jumps over it", "Eine Zeile mit Umlauten äöü und mehr", "short", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "All rights reserved by nobody"]

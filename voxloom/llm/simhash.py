@@ -130,12 +130,12 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each component the document with the least id stays.
 
-    Null ids come last; rows that repeat an id and a text are one document and stay once.
+    ``found``: doc_id, text_hash and root of each row, by fingerprints if not given. Null ids come last; rows that repeat an id and a text are one document and stay once.
     """
-    found = simhash_components(docs)
+    found = simhash_components(docs) if found is None else found
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))

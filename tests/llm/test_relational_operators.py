@@ -115,6 +115,18 @@ def test_shards_are_even_and_keep_links(spark):
     assert groups == {}
 
 
+def test_groups_that_fit_a_shard_are_not_cut(spark):
+    sizes = [90, 80, 80, 60, 40, 30, 15]
+    docs = [(i, f"own {i}") for i in range(400)] + [(1000 * k + i, f"group {k}") for k, size in enumerate(sizes, 1) for i in range(size)]
+    docs += [(20_000 + i, f"own too {i}") for i in range(1000 - len(docs))]
+    rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
+    check_shards(rows, 10)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.text_crc32].add(r.shard)
+    assert [len(shards[zlib.crc32(f"group {k}".encode())]) for k in range(1, len(sizes) + 1)] == [1] * len(sizes)
+
+
 def test_shards_of_few_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     check_shards(sharding.shard_documents(docs).collect(), 40)

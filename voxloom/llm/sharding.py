@@ -5,8 +5,9 @@ join how its neighbours are spread and asks to move to the shard that holds most
 than its quota: as many as it has unlinked documents to give up. In the end unlinked documents level the shards, so
 that their sizes in rows differ by one at most, whatever the links.
 
-A group larger than part of a shard is split by hash into blocks that move on their own, so that one text's copies
-fill several shards. All ranks are counted in hash buckets of bounded size, joined with running totals of buckets.
+A group is split only if it exceeds a shard, by hash into as few blocks as shards can hold. Blocks larger than an eighth
+of a shard are few; the driver gives each a shard with room for all of it, the largest first, before anything else is
+placed, and they stay there. Their rows are ranked in buckets by row, so that no task gets a hot group. All ranks are counted in hash buckets of bounded size, joined with running totals of buckets.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def _lookup(values: list[int]) -> Column:
 
 
 def _round(rows: DataFrame, shards: int, capacity: list[int], k: int) -> DataFrame:
-    """One round of moves, from and to columns doc_id, size, text_crc32, block, copy and shard."""
+    """One round of moves, from and to columns doc_id, size, text_crc32, block, copy, large and shard."""
     loads = {r["shard"]: r for r in rows.groupBy("shard").agg(F.count("*").alias("n"), F.count("block").alias("linked")).collect()}
-    spread = rows.where("block IS NOT NULL").groupBy("block", "shard").count()
+    spread = rows.where("block IS NOT NULL AND NOT large").groupBy("block", "shard").count()
     room = [max(0, capacity[s] - (loads[s]["linked"] if s in loads else 0)) for s in range(shards)]
     # a shard that is full of linked documents attracts none
     open_to = spread.where(_lookup(room) > 0)
@@ -57,6 +58,17 @@ def _ranked(rows: DataFrame, buckets: int, group: list[str], *order: Column) ->
     return rows.withColumn("local", local).join(offsets, [*group, "bucket"]).withColumn("rank", F.col("before") + F.col("local")).drop("before", "local", "bucket")
 
 
+def _homes(sizes: dict[int, int], capacity: list[int]) -> tuple[dict[int, int], list[int]]:
+    """A shard for each block and the rows left free in each shard: the largest block first, in the tightest place that
+    holds it, or else in the widest."""
+    free, homes = list(capacity), {}
+    for block in sorted(sizes, key=lambda b: (-sizes[b], b)):
+        fit = [s for s, f in enumerate(free) if f >= sizes[block]]
+        homes[block] = min(fit, key=lambda s: (free[s], s)) if fit else max(range(len(free)), key=lambda s: (free[s], -s))
+        free[homes[block]] = max(0, free[homes[block]] - sizes[block])
+    return homes, free
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and linked of each row, in shards that differ by at most one row.
 
@@ -73,15 +85,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     buckets = max(1, n // BUCKET_ROWS)
     # cut here, so that the join below is between two plain shuffles, whose hot group Spark can split
     groups = durable(rows.groupBy("group").count().where("count > 1"))
-    block_rows = max(2, n // shards // 8)
+    block_rows, small = max(2, n // shards), max(2, n // shards // 8)
     # copies of one text and id are told apart by nothing; they share a hash and may be ranked in either order
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / block_rows))
-    linked = rows.join(groups, "group", "left").select("doc_id", "size", "text_crc32", F.when(F.col("count") > 1, F.xxhash64("group", part)).alias("block"), F.xxhash64("doc_id", "group").alias("copy"))
-    placed = durable(linked.withColumn("shard", F.pmod("copy", F.lit(shards)).cast("int")))
+    linked = rows.join(groups, "group", "left").select(
+        "doc_id", "size", "text_crc32", F.when(F.col("count") > 1, F.xxhash64("group", part)).alias("block"), F.xxhash64("doc_id", "group").alias("copy"), F.coalesce(F.col("count") > small, F.lit(False)).alias("large")
+    )
+    linked = durable(linked)
+    homes, free = _homes({r["block"]: r["count"] for r in linked.where("large").groupBy("block").count().collect()}, capacity)
+    home = F.broadcast(docs.sparkSession.createDataFrame(list(homes.items()), "block long, home int"))
+    # all else starts by hash, in proportion to the room that is left
+    ends = F.array(*(F.lit(sum(free[: s + 1])).cast("long") for s in range(shards)))
+    at = F.pmod("copy", F.lit(max(1, sum(free))))
+    start = F.least(F.size(F.filter(ends, lambda e: e <= at)), F.lit(shards - 1))
+    placed = durable(linked.join(home, "block", "left").withColumn("shard", F.coalesce("home", start).cast("int")).select(*linked.columns, "shard"))
     for k in range(rounds):
         placed = durable(_round(placed, shards, capacity, k))
     # linked documents come first in a shard, so the unlinked ones level it
-    keyed = placed.withColumn("bucket", F.when(F.col("block").isNotNull(), F.pmod(F.col("block"), F.lit(buckets)) - buckets).otherwise(F.pmod(F.shiftright("copy", 20), F.lit(buckets))))
+    keyed = placed.withColumn("bucket", F.when(F.col("large"), F.pmod("copy", F.lit(buckets)) - 2 * buckets).when(F.col("block").isNotNull(), F.pmod(F.col("block"), F.lit(buckets)) - buckets).otherwise(F.pmod(F.shiftright("copy", 20), F.lit(buckets))))
     ranked = durable(_ranked(keyed, buckets, ["shard"], F.col("block"), F.col("copy"), F.col("doc_id")))
     loads = {r["shard"]: r["count"] for r in ranked.groupBy("shard").count().collect()}
     load = [loads.get(s, 0) for s in range(shards)]

@@ -153,28 +153,46 @@ def test_encode_documents_of_odd_rows(spark):
 # ---- decontamination
 
 
-@pytest.mark.parametrize("most_bytes", [1 << 20, 60])
-def test_decontamination_matches_brute_force(spark, monkeypatch, most_bytes):
+def benchmark_case(spark):
     rng = random.Random(9)
     words = ["Alpha", "beta", "GAMMA", "é", "9", "x-y"]
     some = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
-    items = [(1, some(14)), (2, "beta é"), (10, some(10)), (3, None), (4, " -- "), (5, "Unseen"), (None, "gamma 9 é beta alpha alpha gamma"), (1, some(11))]
-    rows = [*ODD, *((100 + i, some(rng.randrange(60)) + (items[0][1] if i % 3 == 0 else ""), None) for i in range(30))]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    full = decontamination.load_items
-    monkeypatch.setattr(decontamination, "load_items", lambda b: full(b, most_bytes))
-    got = decontamination.find_contamination(table(spark, rows), benchmark).collect()
+    items = [(1, some(14)), (2, "beta é"), (10, some(10)), (3, None), (4, " -- "), (5, "Unseen"), (None, "gamma 9 é beta alpha alpha gamma"), (1, some(11)), (6, some(70)), (7, "beta é 9 9 beta")]
+    items.append((8, " ".join(items[8][1].split()[20:45])))
+    rows = [*ODD, *((100 + i, some(rng.randrange(60)) + (items[i % 11][1] or "" if i % 3 == 0 else ""), None) for i in range(60)), (300, items[8][1] + " then " + items[0][1] + items[2][1], None)]
+    return items, rows, spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("most_words", [decontamination.AUTOMATON_WORDS, 60])
+def test_decontamination_matches_brute_force(spark, most_words):
+    items, rows, benchmark = benchmark_case(spark)
+    if most_words == 60:
+        assert len([0 for _ in decontamination.load_parts(benchmark, 60)]) > 2
+    got = decontamination.find_contamination(table(spark, rows), benchmark, most_words).collect()
     keyed = [("" if i is None else i, t) for i, t in items]
-    want = []
+    want, spans = [], {}
     for d, t, _ in rows:
         n, hit, found = brute.contamination(t, keyed)
-        want.append((d or -1, n, len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)))
-    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
-    for r in got:
-        text = next(t for d, t, _ in rows if d == r.doc_id) or ""
-        assert sum(len(decontamination.words_of(text[s.start : s.end])) for s in r.spans) == r.n_hit
-    clean = decontamination.without_contaminated(table(spark, rows), benchmark)
-    assert sorted(r.doc_id or -1 for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
+        want.append((d or -1, n, len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), tuple(found), bool(hit)))
+        at = decontamination.word_spans(t or "")
+        runs = decontamination.merge([(i, i + 1) for i in hit])
+        spans[d or -1] = [(at[a][0], at[b - 1][1]) for a, b in runs]
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, tuple(r["items"]), r.contaminated) for r in got) == sorted(want)
+    assert {r.doc_id or -1: [tuple(x) for x in r.spans] for r in got} == spans
+    clean = decontamination.without_contaminated(table(spark, rows), benchmark, most_words)
+    assert clean.columns == table(spark, rows).columns
+    assert sorted(r.doc_id or -1 for r in clean.collect()) == sorted(w[0] for w in want if not w[-1])
+
+
+def test_windows_of_repeated_words_match_brute_force():
+    rng = random.Random(1)
+    for t in range(200):
+        voc = ["a", "b", "c", "d"][: rng.randrange(1, 5)]
+        items = [(str(i), " ".join(rng.choice(voc) for _ in range(rng.choice([3, 5, 8, 10, 12, 25, 40])))) for i in range(rng.randrange(1, 6))]
+        text = " ".join(rng.choice(voc + ["z"] * (t % 2)) for _ in range(rng.randrange(80)))
+        n, ranges, found = decontamination.Windows(items).scan(text)
+        want, hit, names = brute.contamination(text, items)
+        assert (n, sorted(found), {x for a, b in ranges for x in range(a, b)}) == (want, names, set(hit))
 
 
 def test_decontamination_without_benchmark(spark):

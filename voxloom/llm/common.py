@@ -55,6 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, a written table, for a broadcast if it has at most ``most_rows`` rows; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def two_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits of hash, as two longs."""
+    return F.xxhash64(text), F.xxhash64(F.lit("line"), text)
+
+
 def id_bucket(column: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo the number of buckets; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets

@@ -1,70 +1,146 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with an Aho-Corasick automaton over word numbers.
 
-All windows of the benchmark's normalised words make one automaton; every text is normalised and scanned once, and the
-characters that match lead back to words and to spans of the original text.
+The words of the benchmark are numbered. Every item is cut into blocks of five words from its start, and the blocks of
+all items make one automaton, which has about one node for each word of the benchmark. Ten consecutive words of an item
+hold at least one whole block within their last nine words, so a text is scanned once for blocks, and each block found
+names the few windows that can lie there; a window counts if its ten words are found in the table of windows. Items of
+fewer than ten words are patterns of their own. Hit words lead back to spans of the original text.
+
+A benchmark that exceeds one automaton is dealt over several, which are loaded one after the other. What they hit is
+united as ranges of words before anything is derived from it, so the result does not depend on their number.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from functools import lru_cache
+from math import isqrt
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, kind, map_batches, table, texts
+from .common import broadcast_if_few, kind, map_batches, table, texts, two_hashes, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. Larger benchmarks are split over several, each with a scan of its own.
-AUTOMATON_BYTES = 64 << 20
+#: Words of benchmark in one automaton, which takes a worker about 0.2 kB each; see the README for figures.
+AUTOMATON_WORDS = 1_000_000
+#: Words of one piece of an item; longer items are cut into pieces that overlap by a window less one word.
+PIECE_WORDS = 50_000
+#: Documents known to be contaminated, as two longs each, that are looked up by broadcast.
+BROADCAST_ROWS = 2_000_000
 #: Lower-cases A-Z and turns all other ASCII characters but digits and letters into spaces.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+HITS = "ranges array<struct<a:long,b:long,start:long,end:long>>, items array<string>"
+_RANGE = pa.struct([(n, pa.int64()) for n in ("a", "b", "start", "end")])
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
+def _mix(x: np.ndarray, seed: int) -> np.ndarray:
+    """Spread numbers over 64 bits."""
+    x = (x.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
 class Windows:
-    """The automaton over windows of ``n`` consecutive words of the items, and which items have each window."""
+    """The automaton over blocks of the items' words, and the table of windows of ``n`` words with their items."""
 
     def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - n + 1) if words else 0):
-                owners.setdefault(b" ".join(words[i : i + n]), set()).add(item)
-        self.found = [(k.count(b" ") + 1, tuple(sorted(v))) for k, v in owners.items()]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, k in enumerate(owners):
-            self.automaton.add_word(f" {k.decode('utf-8', 'surrogatepass')} ", i)
-        if owners:
+        self.n, self.block = n, n // 2
+        self.numbers: dict[bytes, int] = {}
+        number = self.numbers
+        numbered = [(item, [number.setdefault(w, len(number) + 1) for w in words_of(text)]) for item, text in items]
+        owners: dict[tuple[int, ...], list[str]] = {}
+        for item, words in numbered:
+            if 0 < len(words) < n:
+                owners.setdefault(tuple(words), []).append(item)
+        blocks = {tuple(words[i : i + self.block]) for _, words in numbered if len(words) >= n for i in range(0, len(words) - self.block + 1, self.block)}
+        #: Length, items (of a short one) and whether it is a block, for each pattern.
+        self.patterns: list[tuple[int, list[str], bool]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        # the automaton searches a node's branches one by one, so a word is two symbols of about as many values each
+        self.base = isqrt(len(number)) + 1
+        for words in blocks | owners.keys():
+            self.automaton.add_word(self.symbols(np.array(words, np.int32)), len(self.patterns))
+            self.patterns.append((len(words), owners.get(words, []), words in blocks))
+        del blocks
+        if self.patterns:
             self.automaton.make_automaton()
+        self._fill([(item, np.array(words, np.int32)) for item, words in numbered if len(words) >= n])
+
+    def symbols(self, words: np.ndarray) -> tuple[int, ...]:
+        """Two symbols for each word, of two alphabets, so that no match starts within a word."""
+        return tuple(np.stack((words % self.base, self.base + words // self.base), axis=1).ravel().tolist())
+
+    def _fill(self, numbered: list[tuple[str, np.ndarray]]) -> None:
+        n = self.n
+        self.names = sorted({item for item, _ in numbered})
+        at = {item: k for k, item in enumerate(self.names)}
+        self.words = np.concatenate([w for _, w in numbered]) if numbered else np.empty(0, np.int32)
+        sizes = [len(w) for _, w in numbered]
+        starts = np.concatenate([np.arange(s - n + 1) + e for s, e in zip(sizes, np.cumsum([0, *sizes[:-1]]), strict=True)]) if numbered else np.empty(0, np.int64)
+        owners = np.concatenate([np.full(s - n + 1, at[i], np.int32) for (i, _), s in zip(numbered, sizes, strict=True)]) if numbered else np.empty(0, np.int32)
+        for seed in range(64):  # until no two different windows have one hash
+            self.seed = seed
+            hashes = self.hashes(self.words, starts)
+            order = np.lexsort((owners, hashes))
+            ordered = hashes[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.empty(0, np.int64)
+            self.keys, self.place = ordered[first], starts[order[first]]
+            same = np.repeat(self.place, np.diff(np.append(first, len(order))))
+            if all((self.words[same + k] == self.words[starts[order] + k]).all() for k in range(n)):
+                break
+        else:
+            raise RuntimeError("no seed tells all windows apart")
+        self.owners, self.ends = owners[order], np.append(first, len(order))
+
+    def hashes(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(starts), np.uint64)
+        for k in range(self.n):
+            total = (total + _mix(words[starts + k], self.seed)) * np.uint64(0xD6E8FEB86659FD93)
+        return total
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, ranges of hit words (from, to), in order and apart, and the items found."""
         words = words_of(text)
-        if not words or not self.found:
-            return len(words), [], set()
-        line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-        matches = list(self.automaton.iter(line))
-        if not matches:
+        if len(words) == 0 or not self.patterns:
             return len(words), [], set()
-        # the word that ends before the space at a position: as many spaces as come before it, less the first
-        ends = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        known = self.numbers.get
+        row = np.array([known(w, 0) for w in words], np.int32)
         items: set[str] = set()
-        ranges = []
-        for position, k in zip(np.searchsorted(ends, [m[0] for m in matches]).tolist(), (m[1] for m in matches), strict=True):
-            n, owners = self.found[k]
-            items.update(owners)
-            ranges.append((position - n, position))
+        ranges, blocks = [], []
+        for last, k in self.automaton.iter(self.symbols(row)):
+            end = last // 2
+            length, owners, block = self.patterns[k]
+            if owners:
+                items.update(owners)
+                ranges.append((end + 1 - length, end + 1))
+            if block:
+                blocks.append(end + 1 - length)
+        if blocks:
+            starts = np.unique((np.array(blocks)[:, None] - np.arange(self.block)).ravel())
+            starts = starts[(starts >= 0) & (starts + self.n <= len(row))]
+            found = np.searchsorted(self.keys, hashes := self.hashes(row, starts))
+            found[found == len(self.keys)] = 0
+            sure = self.keys[found] == hashes if len(self.keys) else np.zeros(len(starts), bool)
+            for k in range(self.n):
+                sure[sure] = self.words[self.place[found[sure]] + k] == row[starts[sure] + k]
+            ranges += [(s, s + self.n) for s in starts[sure].tolist()]
+            for k in np.unique(found[sure]).tolist():
+                items.update(self.names[i] for i in np.unique(self.owners[self.ends[k] : self.ends[k + 1]]).tolist())
         return len(words), merge(ranges), items
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap or touch made one."""
     out: list[list[int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
@@ -81,85 +157,143 @@ def word_spans(text: str) -> np.ndarray:
     return np.stack((np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])), axis=1)
 
 
-@lru_cache(2)
-def _windows(items: tuple[tuple[str, str], ...]) -> Windows:
-    return Windows(list(items))
+class Part:
+    """Some pieces of items, sent to the workers; a worker builds their automaton once and holds one part at a time."""
 
+    def __init__(self, told: Broadcast):
+        self.told, self.token = told, uuid.uuid4().hex
 
-def load_items(benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> list[tuple[tuple[str, str], ...]]:
-    """The items in parts of at most ``most_bytes`` of text (or one item), by hash; each part is broadcast on its own.
+    def __hash__(self) -> int:
+        return hash(self.token)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Part) and other.token == self.token
+
+
+@lru_cache(1)
+def _windows(part: Part) -> Windows:
+    return Windows(part.told.value)
+
+
+def pieces(benchmark: DataFrame, piece_words: int = PIECE_WORDS, n: int = WINDOW) -> DataFrame:
+    """item, words and text of each piece of an item: all of it, or stretches that share n - 1 words, so that every
+    window lies in one. Null texts and texts without words have none; a null item_id counts as the empty text."""
+
+    def cut(batch: pa.RecordBatch):
+        out = []
+        for item, text in zip(batch.column("item").to_pylist(), texts(batch), strict=True):
+            words = words_of(text)
+            for i in range(0, max(1, len(words) - n + 1) if words else 0, piece_words):
+                part = words[i : i + piece_words + n - 1]
+                out.append((item, len(part), b" ".join(part).decode("utf-8", "surrogatepass")))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["item", "words", "text"])
 
-    Null texts and texts without words have no window. A null item_id counts as the empty text.
-    """
     told = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    total = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-2 * total // most_bytes) if total > most_bytes else 1
-    keyed = told.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    return [tuple(sorted((r["item"], r["text"]) for r in keyed.where(F.col("part") == p).collect())) for p in range(parts)]
+    return map_batches(told, cut, "item string, words long, text string")
+
 
+def load_parts(benchmark: DataFrame, most_words: int):
+    """The benchmark in parts of at most ``most_words`` words (or one piece), by hash, one at a time.
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    The driver and the workers hold one part only: a part is withdrawn when the next is asked for.
+    """
+    told = written(pieces(benchmark, min(PIECE_WORDS, max(WINDOW, most_words // 4))), "benchmark-pieces")
+    total, longest = told.agg(F.sum("words"), F.max("words")).first()
+    parts = -(-(total or 0) // most_words) or 1
+    while True:
+        part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+        most = told.groupBy(part.alias("part")).agg(F.sum("words").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= max(most_words, longest or 0) or parts >= (total or 0):
+            break
+        parts = parts + max(1, parts // 4)
+    for p in range(parts):
+        rows = sorted((r["item"], r["text"]) for r in told.where(part == p).collect())
+        sent = told.sparkSession.sparkContext.broadcast(rows)
+        yield p, parts, Part(sent)
+        if parts > 1:
+            sent.unpersist()
+
+
+def _hits(windows: Windows, text: str) -> tuple[int, list[dict], list[str]]:
+    n, ranges, found = windows.scan(text)
+    at = word_spans(text) if ranges else None
+    return n, [{"a": a, "b": b, "start": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in ranges], sorted(found)
+
+
+def _united(batch: pa.RecordBatch):
+    """Ranges of all parts of a benchmark made one list, and their items."""
+    out = []
+    for ranges, items in zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True):
+        start, end = {r["a"]: r["start"] for r in ranges}, {r["b"]: r["end"] for r in ranges}
+        out.append(([{"a": a, "b": b, "start": start[a], "end": end[b]} for a, b in merge([(r["a"], r["b"]) for r in ranges])], sorted(set(items))))
+    columns = list(zip(*out, strict=True)) or [[], []]
+    yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(columns[0], pa.list_(_RANGE)), pa.array(columns[1], pa.list_(pa.string()))], ["row", "ranges", "items"])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans of each row.
 
     items are the ids of the items found, sorted as texts; spans are the (start, end) characters of the original text
     from the first to the last word of each run of hit words. A null or empty text has no words. Without windows
     nothing is contaminated. Repeated rows and items count as they stand; an empty table gives an empty result; further
-    columns are ignored.
+    columns are ignored. A benchmark of more than ``most_words`` words is scanned for in several passes, with the same
+    result.
     """
-    parts = load_items(benchmark)
-    rows = docs.select("doc_id", "text")
-    if len(parts) > 1:
-        rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
-    base = f"doc_id {kind(docs, 'doc_id')}"
-    told = rows.sparkSession.sparkContext.broadcast
-    hit = "n_words long, ranges array<struct<a:long,b:long>>, spans array<struct<start:long,end:long>>, items array<string>"
-
-    def scanner(items):
+    base, rows = f"doc_id {kind(docs, 'doc_id')}", docs.select("doc_id", "text")
+
+    def scanner(part: Part, keys: list[str], hits_only: bool):
         def work(batch: pa.RecordBatch):
-            windows, out = _windows(items.value), []
-            for text in texts(batch):
-                n, ranges, found = windows.scan(text)
-                at = word_spans(text) if ranges else None
-                out.append((n, [{"a": a, "b": b} for a, b in ranges], [{"start": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in ranges], sorted(found)))
-            pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
-            kinds = [pa.int64(), pair("a", "b"), pair("start", "end"), pa.list_(pa.string())]
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)]
-            kept = [n for n in ("row", "doc_id") if n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns], [*kept, "n_words", "ranges", "spans", "items"])
+            out = [_hits(_windows(part), t) for t in texts(batch)]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.list_(_RANGE), pa.list_(pa.string())), strict=True)]
+            found = pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, "n_words", "ranges", "items"])
+            yield found.filter(pa.array([bool(x[1]) for x in out], pa.bool_())) if hits_only else found
 
         return work
 
-    if len(parts) == 1:
-        scanned = map_batches(rows, scanner(told(parts[0])), f"{base}, {hit}")
-    else:
-        each = [map_batches(rows.select("row", "doc_id", "text"), scanner(told(p)), f"row long, {base}, {hit}") for p in parts]
-        union = each[0]
-        for other in each[1:]:
-            union = union.union(other)
-        whole = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("ranges", "spans", "items")))
-        scanned = whole.select("doc_id", "n_words", _united("ranges", "a", "b").alias("ranges"), _united("spans", "start", "end").alias("spans"), "items")
+    scanned = None
+    for p, parts, part in load_parts(benchmark, most_words):
+        if parts == 1:
+            scanned = map_batches(rows, scanner(part, ["doc_id"], False), f"{base}, n_words long, {HITS}")
+            break
+        if p == 0:
+            rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+        keys = ["row", "doc_id"] if p == 0 else ["row"]
+        found = written(map_batches(rows.select(*keys, "text"), scanner(part, keys, p > 0), f"row long, {f'{base}, ' * (p == 0)}n_words long, {HITS}"), "benchmark-hits")
+        first, every = (found, found.select("row", "ranges", "items")) if p == 0 else (first, every.unionByName(found.select("row", "ranges", "items")))
+        if p == parts - 1:
+            each = every.where(F.size("ranges") > 0).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+            united = map_batches(each, _united, f"row long, {HITS}").withColumnRenamed("row", "_row")
+            # a row without united ranges has none in the first part either
+            plain = first.select("row", "doc_id", "n_words", F.struct("ranges", "items").alias("first"))
+            scanned = plain.join(united, plain.row == united._row, "left").select("doc_id", "n_words", *(F.coalesce(c, f"first.{c}").alias(c) for c in ("ranges", "items")))
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
-    return scanned.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "items", "spans")
-
-
-def _united(column: str, a: str, b: str):
-    """Sorted ranges, those that overlap or touch made one."""
-    last = lambda acc: F.element_at(acc, -1)
-    joined = lambda acc, r: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)[a].alias(a), F.greatest(last(acc)[b], r[b]).alias(b))))
-    return F.aggregate(column, F.slice(column, 1, 0), lambda acc, r: F.when((F.size(acc) > 0) & (r[a] <= F.get(acc, F.size(acc) - 1)[b]), joined(acc, r)).otherwise(F.concat(acc, F.array(r))))
+    spans = F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    return scanned.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "items", spans.alias("spans"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no window of the benchmark occurs."""
-    for items in load_items(benchmark):
-        told = docs.sparkSession.sparkContext.broadcast(items)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no window of the benchmark occurs.
 
-        def clean(batch: pa.RecordBatch, told=told):
-            windows = _windows(told.value)
-            yield batch.filter(pa.array([not windows.scan(t)[1] for t in texts(batch)], pa.bool_()))
-
-        docs = map_batches(docs, clean, docs.schema)
-    return docs
+    Null and empty texts hold no window and stay, as does every row if the benchmark is empty or has no words. Repeated
+    rows stay or go alike; null and repeated ids do not matter; an empty table gives an empty result; columns of any
+    name are passed on.
+    """
+    bad = None
+    for _, parts, part in load_parts(benchmark, most_words):
+        told = docs.select("text") if parts > 1 else docs
+
+        def clean(batch: pa.RecordBatch, part=part, keep=parts == 1):
+            yield batch.filter(pa.array([(not _windows(part).scan(t)[1]) == keep for t in texts(batch)], pa.bool_()))
+
+        found = map_batches(told, clean, told.schema)
+        if parts == 1:
+            return found
+        hashes = written(found.select(*(h.alias(n) for n, h in zip(("_b1", "_b2"), two_hashes(F.col("text")), strict=True))).distinct(), "contaminated-texts")
+        bad = hashes if bad is None else bad.union(hashes)
+    bad = broadcast_if_few(written(bad.distinct(), "contaminated-texts"), BROADCAST_ROWS)
+    h1, h2 = two_hashes(F.col("text"))
+    return docs.join(bad, (h1 == bad["_b1"]) & (h2 == bad["_b2"]), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

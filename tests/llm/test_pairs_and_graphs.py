@@ -50,7 +50,27 @@ def test_blocks_share_a_key_within_three_bits():
     rng = random.Random(4)
     for _ in range(500):
         bits = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(bits & m & (1 << 64) - 1 == 0 for m in simhash.masks())
+        level = [m for m in simhash.masks() if bits & m & (1 << 64) - 1 == 0]
+        assert level
+        for _ in range(simhash.LEVELS):
+            level = [f for m in level for f in simhash.finer_masks(m) if bits & f & (1 << 64) - 1 == 0]
+            assert level and len({bin(f & (1 << 64) - 1).count("1") for f in level}) < 4
+
+
+def test_a_key_of_very_many_fingerprints_is_split(spark):
+    """10^5 distinct fingerprints agree in two blocks; every planted pair is found, and cells stay small."""
+    rng = np.random.default_rng(8)
+    fixed = np.uint64(simhash.masks()[0] & (1 << 64) - 1)
+    fps = np.unique(rng.integers(0, 1 << 63, 100_000, np.uint64) * np.uint64(2) & ~fixed)
+    planted = fps[::100] ^ np.uint64(0b111 << 50)
+    fps = np.unique(np.concatenate((fps, planted))).view(np.int64)
+    rows = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    compared = simhash.shared_cells(rows).groupBy("cell").count().selectExpr("sum(count * count)").first()[0]
+    assert compared < 20 * len(fps) * simhash.CELL  # at most; without finer keys 10^10
+    links = simhash.near_links(rows).collect()
+    roots = brute.components(set(fps.tolist()), [(r.a, r.b) for r in links])
+    wanted = [(int(a), int(b)) for a, b in zip((planted ^ np.uint64(0b111 << 50)).view(np.int64), planted.view(np.int64), strict=True)]
+    assert all(roots[a] == roots[b] for a, b in wanted)
 
 
 def near_docs():
@@ -79,7 +99,9 @@ def test_simhash_matches_brute_force(spark):
     assert sorted((r.doc_id or -1, r.fp & (1 << 64) - 1, r.component_id or -1) for r in got) == want
 
 
-def test_keep_first_keeps_one_of_each_group(spark):
+@pytest.mark.parametrize("few", [simhash.BROADCAST_ROWS, 0])
+def test_keep_first_keeps_one_of_each_group(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
     docs = spark.createDataFrame(near_docs(), DOCS)
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
@@ -87,6 +109,15 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert len(got) == len(set(got)) and {1, 4, 6, None} <= set(got) and not {2, 3, 5} & set(got)
     components = simhash.simhash_components(docs).select("root").distinct().count()
     assert len(got) == components
+    clashing = docs.selectExpr("doc_id", "text", "1 as _row", "2 as _id", "3 as _hash", "4 as _doc", "5 as first", "6 as gone")
+    assert sorted(map(str, simhash.keep_first(clashing).select("doc_id").collect())) == sorted(str(r) for r in simhash.keep_first(docs).select("doc_id").collect())
+
+
+def test_keep_first_of_ties_and_repeated_rows(spark):
+    rows = [(1, "same words here", "a"), (1, "same words here", "a"), (1, "SAME words here", "b"), (None, "same words here", "c"), (None, None, "d"), (None, None, "d"), (None, "", "e"), (2, "x " * 200_000, "f")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {1, 2, None}
+    assert all(not r.text for r in kept if r.doc_id is None)
 
 
 def test_simhash_of_an_empty_table(spark):

@@ -71,9 +71,15 @@ def id_bucket(column: str, buckets: int) -> Column:
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches, one call of ``work`` for each."""
+    """mapInArrow with bounded batches, one call of ``work`` for each.
+
+    Spark takes the bound on bytes from the session when the job runs; where the user has set none, it is lowered for the
+    session. Results do not depend on it.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound) == "67108864b":  # Spark's default
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,28 +2,33 @@
 
 A 64-bit fingerprint is split into 5 blocks. Fingerprints that differ in at most 3 bits agree in at least 2 blocks, so
 each fingerprint gets one key for each of the 10 pairs of blocks, and only fingerprints with a common key are compared.
-Equal fingerprints are one node from the start. A key that very many fingerprints share is dealt out as a grid of
-cells of bounded size; within a cell a forest of links is kept instead of all pairs, which links the same components.
+Equal fingerprints are one node from the start. A key that very many fingerprints share is split by the same pigeonhole
+over its other bits: of four further blocks one agrees, so each fingerprint gets four finer keys in its place, and so on
+twice; only what agrees in all of these bits is dealt out as a grid of cells of bounded size. Within a cell a forest of
+links is kept instead of all pairs, which links the same components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import durable, kind, map_batches, table, texts
+from .common import broadcast_if_few, durable, kind, map_batches, table, texts, written
 from .components import connected_components
 
 MOST_BITS, BLOCKS = 3, 5
-#: Fingerprints of a hot key that one side of a cell holds, on average.
-CELL = 1024
+#: Fingerprints of a key from which it is split by further bits, at most LEVELS times, and of one side of a cell then.
+CELL, LEVELS = 1024, 2
+#: Crowded keys, or documents that go, that are looked up by broadcast; some 20 bytes each.
+BROADCAST_ROWS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -55,11 +60,23 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_batches(hashed, work, f"doc_id {kind(docs, 'doc_id')}, text_hash long, fp long")
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def masks(blocks: int = BLOCKS, agree: int = BLOCKS - MOST_BITS) -> list[int]:
     """Bits of each choice of ``agree`` blocks out of ``blocks``, as signed longs."""
     ends = [64 * k // blocks for k in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
-    return [int(np.uint64(sum(c)).astype(np.int64)) for c in combinations(parts, agree)]
+    return [_signed(sum(c)) for c in combinations(parts, agree)]
+
+
+def finer_masks(mask: int) -> list[int]:
+    """``mask`` with one more block of the other bits, cut into MOST_BITS + 1 blocks: fingerprints that agree in ``mask``
+    and differ in at most MOST_BITS bits agree in one of these too."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    ends = [len(rest) * k // (MOST_BITS + 1) for k in range(MOST_BITS + 2)]
+    return [_signed(mask & (1 << 64) - 1 | sum(1 << b for b in rest[i:j])) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def forest(cell: np.ndarray, fp: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +119,44 @@ def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(np.ascontiguousarray(rest))
 
 
+def _keyed(rows: DataFrame, keys: Column) -> DataFrame:
+    """fp, mask and key (a hash of the mask and of the fingerprint's bits in it) for each of an array of masks."""
+    return rows.select("fp", F.explode(keys).alias("mask")).select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
+def shared_cells(fps: DataFrame, cell_size: int = CELL, levels: int = LEVELS) -> DataFrame:
+    """(cell, fp): cells such that any two of the distinct longs ``fp`` at most MOST_BITS apart have one in common.
+
+    Rows of a key that more than ``cell_size`` fingerprints share get finer keys instead, up to ``levels`` times; what is
+    still too many is dealt out as pairs of parts.
+    """
+    level, cells = masks(), []
+    keyed = _keyed(fps, F.array(*map(F.lit, level)))
+    for k in range(levels + 1):
+        keyed = written(keyed, "fingerprint-keys")
+        crowded = written(keyed.groupBy("key").count().where(F.col("count") > cell_size), "crowded-keys")
+        if crowded.isEmpty():
+            cells.append(keyed.select(F.col("key").alias("cell"), "fp"))
+            break
+        crowded = broadcast_if_few(crowded, BROADCAST_ROWS)
+        cells.append(keyed.join(crowded, "key", "left_anti").select(F.col("key").alias("cell"), "fp"))
+        hot = keyed.join(crowded, "key")
+        if k == levels:
+            hot = hot.withColumn("n", F.ceil(F.col("count") / cell_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
+            hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            cells.append(hot.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "fp"))
+            break
+        finer = {m: finer_masks(m) for m in level}
+        table = F.create_map(*(x for m, ms in finer.items() for x in (F.lit(m), F.array(*map(F.lit, ms)))))
+        keyed = _keyed(hot, F.element_at(table, F.col("mask")))
+        level = [m for ms in finer.values() for m in ms]
+    return reduce(DataFrame.union, cells)
+
+
 def near_links(fps: DataFrame, cell_size: int = CELL) -> DataFrame:
     """(a, b): links between the distinct longs ``fp`` of ``fps`` at most MOST_BITS apart, a forest within each cell."""
     ship(fps.sparkSession)
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks())))
-    keyed = fps.select("fp", F.explode(keys).alias("key")).select("fp", F.xxhash64("key.k", "key.bits").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / cell_size).cast("int").alias("n"))
-    parted = keyed.join(shared, "key").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
-    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    # a key with one part keeps its own cell; a pair of parts is a cell of its own
-    cell = F.when(F.col("n") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    return parted.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_cells, "a long, b long")
+    return shared_cells(fps, cell_size).repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_cells, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -133,14 +177,31 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each component the document with the least id stays.
 
-    ``found``: doc_id, text_hash and root of each row, by fingerprints if not given. Null ids come last; rows that repeat an id and a text are one document and stay once.
+    ``found``: doc_id, text_hash and root of each row, by fingerprints if not given. Null ids come last; among equal ids
+    the text with the least hash stays. Rows that repeat an id and a text are one document, of which one row stays, the
+    columns of which are those of any of them. Null and empty texts and those without words are alike: one of them stays.
+    An empty table gives an empty result; columns of any name are passed on.
+
+    Only ids and hashes are grouped. The rows that go are looked up by broadcast if they are few, so that texts are not
+    shuffled, else by a join of two plain shuffles.
     """
     found = simhash_components(docs) if found is None else found
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    kept = packed.join(keep, packed._id.eqNullSafe(keep._keep_id) & (packed._hash == keep._keep_hash), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    told = durable(found.groupBy("doc_id", "text_hash", "root").agg((F.count("*") > 1).alias("again")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = durable(told.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = told.join(first, "root").where(rank != F.col("first")).select("doc_id", "text_hash").withColumn("gone", F.lit(True))
+    again = told.where("again").select("doc_id", "text_hash").withColumn("gone", F.lit(False))
+    marked = written(gone.unionByName(again).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("gone").alias("_gone")), "repeated-documents")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    same = lambda some: F.col("_doc").eqNullSafe(some["_id"]) & (F.col("_text") == some["_hash"])
+    special = broadcast_if_few(marked, BROADCAST_ROWS)
+    kept = packed.join(special, same(special), "left_anti").select("_row.*")
+    copies = marked.where("NOT _gone")
+    if copies.isEmpty():
+        return kept
+    few = broadcast_if_few(written(copies, "repeated-rows"), BROADCAST_ROWS)
+    once = packed.join(few, same(few), "left_semi").groupBy("_doc", "_text").agg(F.first("_row").alias("_row"))
+    return kept.union(once.select("_row.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

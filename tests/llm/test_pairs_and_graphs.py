@@ -198,6 +198,24 @@ def test_line_dedup_matches_brute_force(spark):
     assert all(r.n_chars is None or r.n_chars == len(r.text) for r in kept.collect())
 
 
+@pytest.mark.parametrize("near_chars", [0, 1, 4])
+def test_line_dedup_of_short_lines_matches_brute_force(spark, near_chars):
+    rng = random.Random(near_chars)
+    rows = [(d, "\n".join("".join(rng.choice("abc ") for _ in range(rng.randrange(7))) for _ in range(3))) for d in range(30)]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), near_chars).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute.dropped_lines(rows, near_chars)
+
+
+def test_line_dedup_of_long_lines_and_clashing_names(spark):
+    long = "".join(random.Random(2).choice("abcdefgh ") for _ in range(20_000))
+    rows = [(1, long + "\nend of the first one"), (2, long[:9_000] + "z" + long[9_001:]), (3, "\n".join(f"line {i} of a very long text" for i in range(2_000)))]
+    docs = spark.createDataFrame([(*r, 7, "h1") for r in rows], "doc_id long, text string, _drop int, h1 string")
+    kept = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert set(kept) == {1, 3} and kept[1].text == rows[0][1] and kept[1]._drop == 7 and kept[1].h1 == "h1"
+    # lines 0 to 9 differ from an earlier one by one character, and so do 10 to 99 and so on
+    assert kept[3].text.split("\n")[0] == "line 0 of a very long text" and len(kept[3].text) < len(rows[2][1])
+
+
 def test_line_dedup_without_a_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
     want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))

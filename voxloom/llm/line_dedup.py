@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kind, map_batches, table, texts, written
+from .common import kind, map_batches, table, texts, two_hashes, written
 
 #: Characters in the normal form from which lines within one edit match; shorter lines match only if equal.
 NEAR_CHARS = 20
-#: Lines that are looked up by a broadcast; beyond it by a shuffle. About 100 bytes each.
+#: Lines that are looked up or dropped by a broadcast; beyond it by a shuffle. About 100 bytes each.
 BROADCAST_LINES = 200_000
 #: White space within a line.
 SPACES = r"[ \t\r\f\x0B\xA0]"
@@ -36,11 +36,6 @@ def normal_form(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACES + "+", " ")))
 
 
-def _two(text: Column) -> tuple[Column, Column]:
-    """128 bits of hash, as two longs."""
-    return F.xxhash64(text), F.xxhash64(F.lit("line"), text)
-
-
 def _positions(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, norm of each line whose normal form is not empty."""
     text = F.coalesce("text", F.lit(""))
@@ -129,8 +124,9 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """h1 of the rows (h1, key) whose key another h1 has too."""
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    """h1 of the rows (h1, key) whose key another h1 has too. The keys are cut from their aggregation, so that Spark can
+    split a key that very many lines share."""
+    shared = written(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key"), "shared-keys")
     return keyed.join(shared, "key", "left_semi").select("h1").distinct()
 
 
@@ -177,12 +173,13 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     kept_id and kept_line say where the earliest such line is (which may itself repeat an earlier one). Lines of white
     space repeat nothing, nor do null and empty texts. Rows that repeat an id and a text are one document.
     """
-    h1, h2 = _two(F.col("norm"))
+    h1, h2 = two_hashes(F.col("norm"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     lines = written(_positions(docs).select("doc_id", "text_hash", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(F.length("norm") >= near_chars, _half_keys()).alias("halves")), "lines")
-    forms = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(at.alias("at"), "text_hash")).alias("stands"), F.count("*").alias("n")), "line-forms")
+    forms = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(at.alias("at"), "text_hash")).alias("stands"), F.count("*").alias("n"), F.first("halves").alias("halves")), "line-forms")
+    # from here on a line is one row, however often it stands
+    paired = _shared(forms.select("h1", F.explode("halves").alias("key")))
     forms = forms.select("h1", "h2", "n", F.col("stands.at").alias("first"), F.col("stands.text_hash").alias("w_hash"))
-    paired = _shared(lines.select("h1", F.explode("halves").alias("key")))
     wanted = forms.join(paired, "h1").select("h1", "h2", "first", F.col("first.doc_id").alias("w_id"), "w_hash", F.col("first.line_no").alias("w_no"))
     near = written(_close(written(_fetch(docs, wanted), "near-lines")), "close-lines")
     earlier = _earlier_neighbours(near)
@@ -193,18 +190,22 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
 
 def _judged(docs: DataFrame, near_chars: int) -> DataFrame:
-    """_row (all columns of docs), lines, drop: the lines of each row and the numbers of those that go."""
+    """_row (all columns of docs), _drop (the numbers of its lines that go) and, if any go, _parts (its lines). Texts are shuffled only if more lines go, in
+    all, than a broadcast may hold."""
     gone = duplicate_lines(docs, near_chars).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop")
+    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop"), "dropped-lines")
+    if (gone.agg(F.sum(F.size("drop"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     packed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
     joined = packed.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    return joined.select("_row", F.coalesce("drop", F.expr("array()").cast("array<int>")).alias("_drop"))
+    found = joined.select("_row", F.coalesce("drop", F.expr("array()").cast("array<int>")).alias("_drop"))
+    # a generator hands its parts on as they are; a projection would be merged into the expression that looks them up
+    return found.select("_row", "_drop", F.explode(F.array(F.when(F.size("_drop") > 0, F.split("_row.text", "\n")))).alias("_parts"))
 
 
 def _kept_text() -> Column:
-    gone = F.map_from_arrays("_drop", "_drop")
-    kept = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.map_contains_key(gone, i))
-    return F.when(F.size("_drop") == 0, F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_drop"))
+    return F.when(F.size("_drop") == 0, F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -222,7 +223,10 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """``docs``, all columns, with the repeated lines cut from text (and n_chars, if there, counted anew).
 
-    A document that loses every line that is not white space repeats earlier ones throughout and goes.
+    A document that loses every line that is not white space repeats earlier ones throughout and goes. Null, empty and
+    white texts lose nothing and stay. Equal lines of one document: the first stays. Rows that repeat an id and a text
+    are one document and stay or go alike; a null id comes last. An empty table gives an empty result; columns of any
+    name are passed on.
     """
     judged = _judged(docs, near_chars).withColumn("_text", _kept_text()).where((F.size("_drop") == 0) | F.col("_text").rlike(r"[^\n" + SPACES[1:]))
     changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

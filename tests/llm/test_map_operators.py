@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -46,6 +47,46 @@ def test_language_of_odd_rows(spark):
     assert language_id.predict_languages(docs.limit(0), nothing).count() == 0
 
 
+def test_language_matches_brute_force(spark):
+    """Letter by letter in whole numbers, without the operator's tables; and however rows are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    texts = {r.doc_id: r for r in docs.collect()}
+    space = language_id.LetterSpace()
+
+    def vector(text):
+        s = [0] + [int(space.symbol[ord(c)]) for c in (text or "").lower()] + [0]
+        s = [x for k, x in enumerate(s) if k == 0 or x or s[k - 1]]
+        if not any(s):
+            return None
+        total = np.zeros(language_id.DIMENSIONS, np.int64)
+        for k in range(len(s) - 2):
+            total += np.roll(space.placed[2][s[k]], 2).astype(np.int64) * np.roll(space.placed[2][s[k + 1]], 1) * space.placed[2][s[k + 2]]
+        return total / np.sqrt(float((total**2).sum()))
+
+    vectors = {d: vector(r.text) for d, r in texts.items()}
+    learning = [d for d, r in texts.items() if r.lang is not None and vectors[d] is not None and zlib.crc32(str(d).encode()) % 5]
+    names = sorted({texts[d].lang for d in learning})
+    prototypes = np.array([sum(np.rint(vectors[d] * language_id.UNIT) for d in learning if texts[d].lang == x) for x in names])
+    prototypes /= np.sqrt((prototypes**2).sum(axis=1, keepdims=True))
+    seen = set()
+    for n in (1, 5):
+        dealt = docs.repartition(n, "text")
+        found = language_id.predict_languages(dealt, language_id.learn_languages(language_id.training_rows(dealt)))
+        seen.add(tuple(sorted((r.doc_id, r.lang_pred, r.score) for r in found.collect())))
+    assert len(seen) == 1
+    for d, lang, score in seen.pop():
+        if vectors[d] is None:
+            assert (lang, score) == ("und", 0)
+        else:
+            cosines = prototypes @ vectors[d]
+            assert lang == names[int(cosines.argmax())] and score == pytest.approx(max(0, cosines.max()), abs=2e-6)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "un mot", "fr"), (2, "un mot", "es"), (3, "un mot", None)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang_pred) for r in language_id.predict_languages(docs, language_id.learn_languages(docs)).collect()} == {(1, "es"), (2, "es"), (3, "es")}
+
+
 def test_bound_trigrams_are_nearly_orthogonal():
     space = language_id.LetterSpace()
     v = space.bind(np.array([65 * 64 + 3, 3 * 4096 + 70, 70 * 64]))
@@ -56,7 +97,8 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     space = language_id.LetterSpace()
     found, counts = space.trigrams("Abc abd")
     want = (space.bind(found) * counts[:, None]).sum(axis=0)
-    got = space.bundle("Abc abd")
+    got, n = space.bundle("Abc abd")
+    assert n == counts.sum()
     assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
 
 

@@ -118,16 +118,28 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, ra
     return Trees(base, np.array(features), np.array(thresholds), np.array(leaves))
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> Trees:
-    """Fit on the rows of ``features`` that ``labels`` (doc_id, quality 0 or 1) covers, at most about ``max_rows``.
+def training_sample(features: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> DataFrame:
+    """features and quality of the labelled rows, at most about ``max_rows``, however labels and documents repeat.
 
-    Null labels teach nothing; a document with several labels is a row for each.
+    Rows that agree in id, features and label are one. The bound holds for what is left: rows are drawn by their hash.
     """
-    labelled = labels.where("quality IN (0, 1)").select("doc_id", "quality")
+    labelled = labels.where("quality IN (0, 1)").select("doc_id", "quality").distinct()
     n = labelled.count()
+    # a first draw by id keeps the join small; with ids told once it is the final one
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20))) if n > max_rows else labelled
+    rows = durable(features.join(drawn, "doc_id").select("doc_id", "features", "quality").distinct())
+    n = rows.count()
     if n > max_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = features.join(labelled, "doc_id").select("features", "quality").toPandas()
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "features", "quality"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    return rows.select("features", "quality")
+
+
+def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> Trees:
+    """Fit on the rows of ``features`` that ``labels`` (doc_id, quality 0 or 1) covers, at most about ``max_rows``.
+
+    Null labels and null ids teach nothing; a document with several labels is a row for each; rows that repeat teach once.
+    """
+    rows = training_sample(features, labels, max_rows).toPandas()
     x = np.array(rows["features"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["quality"].to_numpy()))  # the order of rows from Spark must not matter
     return fit_trees(x[order], rows["quality"].to_numpy(np.float64)[order])

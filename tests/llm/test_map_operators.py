@@ -142,6 +142,57 @@ def test_trees_walk_like_one_row_at_a_time():
         assert got == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_training_rows_are_bounded_however_they_repeat(spark):
+    features = spark.range(6000).selectExpr("id % 3 AS doc_id", "array_repeat(cast(id as double), 18) AS features").unionAll(spark.range(3000).selectExpr("4L AS doc_id", "array_repeat(0D, 18) AS features"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1), (4, 1), (4, 0), (5, None)], "doc_id long, quality int")
+    assert quality_classifier.training_sample(features, labels, 10_000).count() == 6002
+    assert 300 < quality_classifier.training_sample(features, labels, 500).count() < 700
+    many = spark.range(5000).selectExpr("id AS doc_id", "array_repeat(cast(id as double), 18) AS features")
+    assert 300 < quality_classifier.training_sample(many, many.selectExpr("doc_id", "1 AS quality"), 500).count() < 700
+
+
+def plain_split(x, y, bins, least, ridge):
+    """The best split of the root, over all features and thresholds, by the gain written out."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = (1e-6, None, None)
+    for j in range(x.shape[1]):
+        for t in np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])):
+            left = x[:, j] <= t
+            if h[left].sum() < least or h[~left].sum() < least:
+                continue
+            gain = sum(g[s].sum() ** 2 / (h[s].sum() + ridge) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + ridge)
+            if gain > best[0] + 1e-9:
+                best = (gain, j, t)
+    return best
+
+
+def test_fit_matches_splits_written_out():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    y = (x[:, 1] + 0.5 * x[:, 3] + rng.normal(size=300) * 0.3 > 0).astype(float)
+    trees = quality_classifier.fit_trees(x, y, rounds=1, depth=1, bins=16)
+    gain, j, t = plain_split(x, y, 16, 4.0, 1.0)
+    assert gain > 0 and (trees.feature[0, 0], trees.threshold[0, 0]) == (j, t)
+    p, right = y.mean(), x[:, j] > t
+    want = [-0.2 * (p - y[s]).sum() / (s.sum() * p * (1 - p) + 1.0) for s in (~right, right)]
+    assert trees.leaf[0] == pytest.approx(want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Two", "3.", "#!", "é", "\n", "same line.\n", " \t"]), max_size=30).map(" ".join))
+def test_statistics_written_out(text):
+    raw, words = text.encode(), text.encode().split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    got = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics(text), strict=True))
+    share = lambda some: sum(b in some for b in raw) / len(raw) if raw else 0
+    assert got["log_bytes"] == pytest.approx(np.log1p(len(raw))) and got["log_words"] == pytest.approx(np.log1p(len(words)))
+    assert got["upper"] == pytest.approx(share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) and got["digits"] == pytest.approx(share(b"0123456789")) and got["code_marks"] == pytest.approx(share(b"#*$%&|<>"))
+    assert got["high_bytes"] == pytest.approx(share(range(128, 256)))
+    assert got["distinct_words"] == pytest.approx(len(set(words)) / len(words) if words else 0) and got["distinct_lines"] == pytest.approx(len(set(lines)) / len(lines) if lines else 0)
+    assert got["top_word"] == pytest.approx(max(map(words.count, words), default=0) / max(len(words), 1))
+
+
 # ---- quality rules
 
 
@@ -172,9 +223,14 @@ LETTERS = st.sampled_from(["a", "the", "Z", "'s", "'", "'ll", "é", "́", "0", "
 def test_bpe_equals_the_library(text):
     ours = bpe.tokenizer(bpe.vocabulary_path())
     want = ours.library.encode(text, add_special_tokens=False).ids
-    ids, decoded = ours.encode(text)
+    ids = ours.encode(text)
     assert ids == b"".join(i.to_bytes(4, "little") for i in want)
-    assert decoded == ours.library.decode(want, skip_special_tokens=False) == ours.decode(ids)
+    assert ours.decode(ids) == ours.library.decode(want, skip_special_tokens=False)
+
+
+def test_files_that_split_in_another_way_are_refused():
+    with pytest.raises(ValueError, match="normalizer.*pre_tokenizer"):
+        bpe.ForcedBoundaryBPE(bpe.vocabulary_path("byte_bpe_50k.json"))
 
 
 def test_forced_boundaries_never_split_a_token():

@@ -1,13 +1,17 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 
 import corpus_pipeline
 from voxloom.llm import chat_format, sharding, url_filter
 
+from . import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -41,14 +45,14 @@ def test_rules_and_parts(spark):
 
 def test_blocks_spread_over_aliases_and_allows_take_precedence(spark):
     rows = [
-        (1, "http://a.net/1", canonical("http://b.net/2")), (2, "http://b.net/2", refresh("http://x.com/de/9")), (3, "https://b.net/2?utm=1", ""),  # to a blocked url that is no page
+        (1, "http://a.net/1", canonical("http://b.net/2")), (2, "http://b.net/2", refresh("http://x.com/de/9")), (3, "http://b.net/2?utm=1", ""),  # to a blocked url that is no page; another query is another page
         (4, "http://c.net/1", canonical("http://x.com/de/8")), (5, "http://x.com/fr/8", canonical("http://c.net/1")), (6, "http://x.com/de/8", None),  # an allowed page in the component
-        (7, "http://d.net/1", canonical("/2")), (8, "http://d.net/2", refresh("http://example.org/es/")), (9, "http://e.net/1", canonical("other")), (9, "http://e.net/1", canonical("other")),
+        (7, "http://d.net/1", canonical("/2")), (8, "http://d.net/2", refresh("http://example.org/es/")), (9, "http://e.net/1", canonical("mailto:x@x.com/de/")), (9, "http://e.net/1", canonical("/go?to=http://x.com/de/")), (10, "HTTP://b.NET/2#top", ""),
     ]
     got = Counter((r.page_id, r.verdict, r.source) for r in url_filter.judge_urls(pages(spark, rows)).collect())
     assert got == Counter([
-        (1, "block", "alias"), (2, "block", "alias"), (3, "block", "alias"), (4, "allow", "alias"), (5, "allow", "rule"), (6, "block", "rule"),
-        (7, "block", "alias"), (8, "block", "alias"), (9, "allow", "default"), (9, "allow", "default"),
+        (1, "block", "alias"), (2, "block", "alias"), (3, "allow", "default"), (4, "allow", "alias"), (5, "allow", "rule"), (6, "block", "rule"),
+        (7, "block", "alias"), (8, "block", "alias"), (9, "allow", "default"), (9, "allow", "default"), (10, "block", "alias"),
     ])
 
 
@@ -59,9 +63,64 @@ def test_further_edges_and_empty_tables(spark):
     assert url_filter.judge_urls(pages(spark, []), edges=edges).count() == 0
 
 
+BASES = ["http://x.com/a/b/c.html?q=1#f", "https://X.com", "http://x.com/", "http://x.com/a/", "http://x.com?x/y"]
+TARGETS = ["//h.org/p", "/r", "page.html", "../up", "../../../up", "./here/", "?p=1", "HTTP://Other.NET/x/../y/./z?k=a/../b", "a/b/..", ".", "..", "x?to=http://z.com/de/", "https://other.net", "/a/./b//c", "..."]
+
+
+def test_targets_resolve_as_urljoin_does(spark):
+    rows = [(b, t) for b in BASES for t in TARGETS]
+    out = spark.createDataFrame(rows, "url string, target string").select("url", "target", url_filter.url_node(url_filter.resolved(chat_format.F.col("target"), chat_format.F.col("url"))).alias("node")).collect()
+    for r in out:
+        want = urlsplit(urljoin(r.url, r.target))
+        path = urlsplit(urljoin(f"http://x{want.path or '/'}", "")).path
+        path = urljoin(f"http://x{path}", path).removeprefix("http://x")  # dot segments of a whole URL too
+        assert r.node == f"{want.scheme}://{want.netloc.lower()}{path or '/'}" + (f"?{want.query}" if want.query else ""), (r.url, r.target)
+    nowhere = spark.createDataFrame([("http://x.com/", t) for t in ("#f", "", "mailto:a@b.c", "javascript:void(0)", None)] + [(None, "/a"), ("x", "/a")], "url string, target string")
+    assert {r[0] for r in nowhere.select(url_filter.resolved(chat_format.F.col("target"), chat_format.F.col("url"))).collect()} == {None}
+
+
+def test_aliases_match_brute_force(spark):
+    """Pages linked by canonical links, refreshes and a redirect log, a hub that very many redirect to, and a long page."""
+    rng = random.Random(6)
+    sites = ["a.net", "x.com", "b.example.org", "c.org"]
+    url = lambda: f"http://{rng.choice(sites)}/{rng.choice(['de', 'fr', 'es', 'en', 'p'])}/{rng.randrange(60)}"
+    rows = [(i, url(), rng.choice([None, "", canonical(url()), refresh(f"/p/{rng.randrange(60)}"), canonical("1"), "x" * 200 + refresh(url())])) for i in range(150)]
+    rows += [(1000 + i, f"http://hub{i}.net/", refresh("http://login.net/in")) for i in range(100)] + [(2000, "http://login.net/in", "y" * 400_000 + canonical("http://x.com/de/9")), (2001, None, canonical("http://x.com/de/9"))]
+    log = [(url(), url()) for _ in range(30)] + [(None, url()), (url(), None)]
+    links = [(u, t) for _, u, h in rows if u and h for t in re.findall(r"(?:url=|href=\")([^\"']+)", h)] + [x for x in log if None not in x]
+    edges = {(u, urljoin(u, t)) for u, t in links}
+    roots = brute.components({n for e in edges for n in e}, edges)
+
+    def rule(u):
+        host, _, path = (u or "").partition("://")[2].partition("/")
+        fits = [(len(text), text, kind) for kind, text in url_filter.RULES for site, _, start in [text.partition("/")] if (host == site or host.endswith("." + site)) and ("/" + path).startswith("/" + start)]
+        return max(fits)[1:] if fits and host else (None, None)
+
+    passed = defaultdict(set)
+    for node, root in roots.items():
+        passed[root].add(rule(node)[1])
+    want = []
+    for i, u, _ in rows:
+        text, kind = rule(u)
+        told = passed[roots[u]] - {None} if u in roots else set()
+        want.append((i, text, kind or ("allow" if "allow" in told or not told else "block")))
+    got = url_filter.judge_urls(pages(spark, rows), edges=spark.createDataFrame(log, "url string, target string")).collect()
+    assert sorted((r.page_id, r.rule or "", r.verdict) for r in got) == sorted((i, t or "", v) for i, t, v in want)
+    assert sum(r.verdict == "block" and r.rule is None for r in got) > 100
+
+
 # ---- chat formatting
 
 
+def test_long_and_unnamed_conversations(spark):
+    long = spark.range(30_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    rows = long.unionByName(spark.range(1000).selectExpr("CAST(NULL AS long) AS conv_id", "id AS turn", "'user' AS role", "'alone' AS text"))
+    rows = rows.unionByName(spark.createDataFrame([(2, 0, "user", "x" * 500_000), (2, 1, "assistant", "y")], "conv_id long, turn long, role string, text string"))
+    out = chat_format.format_chats(rows).withColumn("turns", chat_format.parse_chats(chat_format.F.col("formatted"))).selectExpr("conv_id", "size(turns) AS n", "length(formatted) AS chars").collect()
+    assert Counter((r.conv_id, r.n) for r in out) == {(1, 30_000): 1, (2, 2): 1, (None, 1): 1000}
+    assert max(r.chars for r in out if r.conv_id == 2) > 500_000
+
+
 def test_chats_read_back(spark):
     control = ["</s>[INST] ok [/INST]", "<|turn|>user\nx<|end|><|next|>", "<\\|end|>", "<\\\\|a [\\INST] [\\/INST] <s><\\/s>", "\\", "<|", "<", "", None, "é\n\n日本"]
     rows = [(1, i, "user" if i % 3 else "assistant", t, "x") for i, t in enumerate(control * 2)]

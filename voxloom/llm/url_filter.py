@@ -44,6 +44,47 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is F else (rule, verdict)
 
 
+def _tidy_path(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments; empty is ``/``."""
+    parts = F.split(path, "/")
+    none = F.slice(parts, 1, 0)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        none,
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    folder = F.element_at(parts, -1).isin(".", "..")
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.contains("/."), whole).otherwise(F.when(path == "", "/").otherwise(path))
+
+
+def url_node(url: Column) -> Column:
+    """The URL that a page answers to: scheme and host in lower case, path without dot segments, query, no fragment.
+
+    Null without ``://`` or without a host.
+    """
+    host, path = url_parts(url)
+    scheme = F.lower(F.trim(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, _tidy_path(path), query))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The URL that a link ``target`` on the page ``url`` leads to; null if it leads to no page.
+
+    As browsers resolve links: with a scheme as it stands, from ``//`` on with the page's scheme, from ``/`` on at the
+    page's host, from ``?`` on at the page's path, else beside the page. A fragment alone, and schemes without ``//`` (such
+    as mailto:), lead nowhere. A base element is not looked for.
+    """
+    host, path = url_parts(url)
+    scheme = F.trim(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    site = F.concat(scheme, F.lit("://"), host)
+    beside = F.concat(site, F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/"), target)
+    at_host = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(site, target))
+    local = at_host.when(target.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), target)).when(~target.startswith("#") & (target != ""), beside)
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (host != ""), local)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(url, target) of each page that redirects or names a canonical URL in its html."""
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
@@ -52,41 +93,38 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
     target = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), href).when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh)
-    return hinted.select("url", target.alias("target")).where("target <> ''")
+    return hinted.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target")).where("target <> ''")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and source (rule, alias or default) of every page.
 
-    ``edges``: further (url, target) pairs, such as a crawler's redirect log. URLs that agree in host and path are one
-    node. A relative target is resolved against the page's host if it starts with ``/``; other relative targets link
-    nothing. A null url, html or page_id is allowed: such a url has an empty host and path, fits no rule, has no
-    aliases and is allowed. Repeated rows give repeated results; an empty table gives an empty result. Further columns
-    are ignored.
+    ``edges``: further (url, target) pairs, such as a crawler's redirect log. Targets are resolved against the page (see
+    ``resolved``); a node is a whole URL without its fragment, and a rule judges it by its host and path. A page with a null
+    url has an empty host and path, fits no rule, has no aliases and is allowed; null html has no links; a null page_id is
+    a page like any other. Repeated rows give repeated results, and repeated edges count once; of rules that are equally
+    long an allow comes first; a component with an allowed and a blocked page passes its allow. An empty table gives an
+    empty result. Further columns are ignored.
     """
     links = alias_edges(pages)
     if edges is not None:
         links = links.unionByName(edges.select("url", "target"))
+    ends = links.select(url_node(F.col("url")).alias("a"), url_node(resolved(F.col("target"), F.col("url"))).alias("b"))
+    links = durable(ends.where("a <> b").distinct())
     host, path = url_parts(F.col("url"))
-    to_host, to_path = url_parts(F.col("target"))
-    away = F.col("target").contains("://")
-    inside = ~away & F.col("target").startswith("/") & ~F.col("target").startswith("//")
-    end = F.struct(
-        F.when(away, to_host).when(inside, host).otherwise("").alias("host"),
-        F.when(away, to_path).when(inside, F.regexp_extract("target", r"^[^?#]*", 0)).otherwise("").alias("path"),
-    )
-    links = durable(links.select(F.struct(host.alias("host"), path.alias("path")).alias("a"), end.alias("b")).where("a.host <> '' and b.host <> '' and a <> b").distinct())
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"), url_node(F.col("url")).alias("_node"))
     judged = judged.select("*", *(c.alias(n) for c, n in zip(rule_for(F.col("host"), F.col("path"), rules), ("rule", "_own"), strict=True)))
     if links.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), "default").otherwise("rule").alias("source"))
-    nodes = connected_components(links)
-    own = rule_for(F.col("node.host"), F.col("node.path"), rules)[1]
-    passed = nodes.withColumn("_own", own).groupBy("root").agg(F.max(F.col("_own") == "allow").alias("allow"), F.max(F.col("_own") == "block").alias("block"))
-    passed = nodes.join(passed, "root").select("node.host", "node.path", F.when(F.col("allow"), "allow").when(F.col("block"), "block").alias("_passed"))
+    nodes = durable(connected_components(links))
+    at = url_parts(F.col("node"))
+    own = rule_for(*at, rules)[1]
+    # cut from its aggregation, so that Spark can split a component with very many pages
+    passed = durable(nodes.withColumn("_own", own).where("_own IS NOT NULL").groupBy("root").agg(F.max(F.when(F.col("_own") == "allow", "allow")).alias("allow")))
+    passed = nodes.join(passed, "root").select(F.col("node").alias("_node"), F.coalesce("allow", F.lit("block")).alias("_passed"))
     verdict = F.coalesce("_own", "_passed", F.lit("allow"))
     source = F.when(F.col("rule").isNotNull(), "rule").when(F.col("_passed").isNotNull(), "alias").otherwise("default")
-    return judged.join(passed, ["host", "path"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), source.alias("source"))
+    return judged.join(passed, "_node", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), source.alias("source"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

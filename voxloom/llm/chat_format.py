@@ -35,16 +35,17 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted and segments, one row for each conv_id.
+    """conv_id, formatted and segments, one row for each conversation: each conv_id, and each row without one.
 
     segments is an array of (text, loss) whose texts, joined, are ``formatted``; loss marks the texts of assistants.
     The turns of a conversation are ordered by (turn, role, text), so equal turn numbers have a defined order; a null
-    turn comes first and stays a turn, a null role or text is empty, and repeated rows are turns of their own. Rows
-    with a null conv_id form one conversation. An empty table gives an empty result; further columns are ignored.
+    turn comes first and stays a turn, a null role or text is empty, and repeated rows are turns of their own. A row
+    with a null conv_id belongs to no other and is a conversation of its own. An empty table gives an empty result; further columns are ignored.
     All rows of a conversation meet in one row, since its formatted text is one value; each step over them is linear.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = conversations.withColumn("_alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    chats = alone.groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     at = F.sequence(F.lit(0), F.size("turns") - 1)
     starts = F.filter(at, lambda i: (i == 0) | (F.element_at("turns", i + 1)["role"] != F.element_at("turns", F.greatest(i, F.lit(1)))["role"]))
     chats = chats.withColumn("starts", starts)

@@ -213,6 +213,13 @@ def test_repeated_passages_are_caught_and_clean_text_stays(spark):
     assert quality_rules.judge_repetition(table(spark, rows).limit(0)).count() == 0
 
 
+def test_few_repeated_lines_count_by_their_characters():
+    long = [" ".join(f"{a}{i}" for i in range(30)) for a in "abc"]
+    assert quality_rules.measure("\n".join(["Title", *long, "Title", "Title"]))[6]
+    three = quality_rules.measure("\n".join(["some short line of seven words here", long[0][:60], "some short line of seven words here"]))
+    assert three[7] == ["repeated_lines", "repeated_line_characters"] or not three[6]
+
+
 # ---- byte-pair encoding
 
 LETTERS = st.sampled_from(["a", "the", "Z", "'s", "'", "'ll", "é", "́", "0", "²", " ", "\n", "#", "日", "Ж", "Σ", "İ", "🙂", "<|endoftext|>", "<|start", "\x1f", "\x85", " ", "ß", "ŉ"])

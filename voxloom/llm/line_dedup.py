@@ -26,7 +26,7 @@ from .common import kind, map_batches, table, texts, two_hashes, written
 
 #: Characters in the normal form from which lines within one edit match; shorter lines match only if equal.
 NEAR_CHARS = 20
-#: Lines that are looked up or dropped by a broadcast; beyond it by a shuffle. About 100 bytes each.
+#: Lines that are looked up by a broadcast; beyond it by a shuffle. About 100 bytes each.
 BROADCAST_LINES = 200_000
 #: White space within a line.
 SPACES = r"[ \t\r\f\x0B\xA0]"
@@ -190,14 +190,12 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
 
 def _judged(docs: DataFrame, near_chars: int) -> DataFrame:
-    """_row (all columns of docs), _drop (the numbers of its lines that go) and, if any go, _parts (its lines). Texts are shuffled only if more lines go, in
-    all, than a broadcast may hold."""
+    """_row (all columns of docs), _drop (the numbers of its lines that go) and, if any go, _parts (its lines). The lines
+    that go grow with the corpus, so texts are shuffled once, at every size."""
     gone = duplicate_lines(docs, near_chars).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
     gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop"), "dropped-lines")
-    if (gone.agg(F.sum(F.size("drop"))).first()[0] or 0) <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
     packed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
-    joined = packed.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    joined = packed.join(gone.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     found = joined.select("_row", F.coalesce("drop", F.expr("array()").cast("array<int>")).alias("_drop"))
     # a generator hands its parts on as they are; a projection would be merged into the expression that looks them up
     return found.select("_row", "_drop", F.explode(F.array(F.when(F.size("_drop") > 0, F.split("_row.text", "\n")))).alias("_parts"))

@@ -18,6 +18,8 @@ from .text import ascii_lower, ordinary_speech, ramp, stem, text_richness
 # Weights of the score's components, and of where a clip comes from.
 WEIGHTS = {"provenance": 0.16, "attribution": 0.08, "duration": 0.10, "loudness": 0.08, "cleanliness": 0.06, "naturalness": 0.10, "pitch": 0.08, "speech": 0.10, "text_richness": 0.14, "ordinary_speech": 0.10}
 ORIGINS = {"dialogue_state": 1.0, "attribution_voiced": 0.9, "companion_dialogue": 0.85, "sound_slot": 0.6}
+#: Frames of a clip whose spectra are held at once.
+FRAMES = 512
 #: Seconds that a clip must have to be bound.
 LEAST_SECONDS = 0.6
 
@@ -63,19 +65,25 @@ def pitch(samples: np.ndarray, rate: int) -> tuple[float, float]:
     high = min(int(rate / 70), window - 1)
     if not window or not hop or len(samples) < window or low == 0 or high <= low:
         return 0.0, -1.0
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float64), window)[::hop]
-    frames = frames[np.sqrt((frames**2).mean(axis=1)) >= 0.02]
-    frames = frames - frames.mean(axis=1, keepdims=True)
-    energy = (frames**2).sum(axis=1)
-    frames, energy = frames[energy >= 1e-8], energy[energy >= 1e-8]
-    if not len(frames):
+    views = np.lib.stride_tricks.sliding_window_view(samples, window)[::hop]
+    lags, peaks = [], []
+    for i in range(0, len(views), FRAMES):  # so that memory does not grow with the clip
+        frames = views[i : i + FRAMES].astype(np.float64)
+        frames = frames[np.sqrt((frames**2).mean(axis=1)) >= 0.02]
+        frames = frames - frames.mean(axis=1, keepdims=True)
+        energy = (frames**2).sum(axis=1)
+        frames, energy = frames[energy >= 1e-8], energy[energy >= 1e-8]
+        if not len(frames):
+            continue
+        spectrum = np.fft.rfft(frames, 2 * window, axis=1)
+        match = np.fft.irfft(np.abs(spectrum) ** 2, axis=1)[:, low : high + 1] / energy[:, None]
+        lags.append(match.argmax(axis=1))
+        peaks.append(match[np.arange(len(frames)), lags[-1]])
+    if not lags:
         return 0.0, -1.0
-    spectrum = np.fft.rfft(frames, 2 * window, axis=1)
-    match = np.fft.irfft(np.abs(spectrum) ** 2, axis=1)[:, low : high + 1] / energy[:, None]
-    best = match.argmax(axis=1)
-    peak = match[np.arange(len(best)), best]
+    best, peak = np.concatenate(lags), np.concatenate(peaks)
     tones = np.sort(rate / (low + best[peak >= 0.3]))
-    voiced = float((peak >= 0.5).mean()) if len(frames) >= 4 else -1.0
+    voiced = float((peak >= 0.5).mean()) if len(peak) >= 4 else -1.0
     return (float(tones[len(tones) // 2]) if len(tones) else 0.0), voiced
 
 

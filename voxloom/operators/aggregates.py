@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse
+from ..shipping import ship
 
 
 def unique_texts(lines: DataFrame, ident: str, key: str, text: str = "text") -> DataFrame:
@@ -116,7 +118,8 @@ def pack_batches(jobs: DataFrame, group: str, order: Sequence[str], size: int =
 
     In the given order a batch takes jobs until it has ``size`` of them or the next would exceed ``budget`` characters; a
     longer job is a batch of its own. Whether a batch ends depends on all jobs before it in its group, so each group is
-    walked once, in order; rows stream through, sorted by Spark, and only the running totals are kept.
+    walked once, in order, by one task; rows stream through, sorted by Spark, and only the running totals are kept. For
+    many groups, such as conversations; jobs in order of length are packed by ``pack_by_length`` without such a walk.
     """
     schema = T.StructType([*jobs.schema.fields, T.StructField("batch", T.IntegerType())])
     columns = [group, chars]
@@ -136,3 +139,51 @@ def pack_batches(jobs: DataFrame, group: str, order: Sequence[str], size: int =
 
     ordered = jobs.repartition(group).sortWithinPartitions(group, *order)
     return ordered.mapInArrow(walk, schema)
+
+
+def _packed_lengths(groups: pd.DataFrame, group: str, size: int, budget: int) -> pd.DataFrame:
+    """For each length of one group, in order, with the number of its jobs: how many still join the batch that is open
+    (``joining``) and its number (``open``), the number of the first batch after it (``fresh``) and how many jobs each of
+    these holds (``each``)."""
+    out, number, held, total = [], 0, 0, 0
+    for n, count in groups.sort_values("chars")[["chars", "count"]].itertuples(index=False):
+        fit = count if n == 0 else max(0, budget - total) // n
+        joining = int(min(count, size - held, fit)) if held else 0
+        each, rest = (size if n == 0 else max(1, min(size, budget // n))), count - joining
+        fresh = number + 1 if held or number else number
+        out.append((n, joining, number, fresh, each))
+        if rest:
+            number, last = fresh + (rest - 1) // each, (rest - 1) % each + 1
+            held, total = last, last * n
+        else:
+            held, total = held + joining, total + joining * n
+    found = pd.DataFrame(out, columns=["chars", "joining", "open", "fresh", "each"])
+    found.insert(0, group, groups[group].iloc[0])
+    return found
+
+
+def pack_by_length(jobs: DataFrame, group: str, ident: str, size: int = 8, budget: int = 800, edges: int = 256) -> DataFrame:
+    """``jobs`` with ``batch``, as pack_batches numbers them in the order of (chars, ``ident``), ids being numbers.
+
+    Jobs of one length are alike, so only the histogram of lengths is walked, which has a row for each length of a group;
+    a job finds its batch by arithmetic from its rank within its length. Ranks are counted in ``edges`` + 1 ranges of ids
+    and joined with the counts of the ranges before, so no task holds all jobs of a group or a length.
+    """
+    cuts = jobs.approxQuantile(ident, [(k + 1) / (edges + 1) for k in range(edges)], 0.001)
+    kind = jobs.schema[ident].dataType
+    bucket = F.size(F.filter(F.array(*(F.lit(int(c)).cast(kind) for c in sorted(set(cuts)))), lambda e: e < F.col(ident))) if cuts else F.lit(0)
+    rows = jobs.withColumn("_bucket", bucket)
+    ranges = rows.groupBy(group, "chars", "_bucket").agg(F.count("*").alias("count"))
+    before = Window.partitionBy(group, "chars").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(F.col(group).alias("_g"), F.col("chars").alias("_c"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    histogram = ranges.groupBy(group, "chars").agg(F.sum("count").alias("count"))
+    ship(jobs.sparkSession)
+    schema = T.StructType([jobs.schema[group], jobs.schema["chars"], *(T.StructField(n, T.LongType()) for n in ("joining", "open", "fresh", "each"))])
+    packed = histogram.groupBy(group).applyInPandas(lambda one: _packed_lengths(one, group, size, budget), schema).withColumnRenamed(group, "_pg").withColumnRenamed("chars", "_pc")
+    local = F.row_number().over(Window.partitionBy(group, "chars", "_bucket").orderBy(ident)) - 1
+    ranked = rows.withColumn("_local", local)
+    ranked = ranked.join(offsets, ranked[group].eqNullSafe(F.col("_g")) & ranked["chars"].eqNullSafe(F.col("_c")) & (ranked["_bucket"] == F.col("_b")))
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_local"))
+    placed = ranked.join(packed, ranked[group].eqNullSafe(F.col("_pg")) & ranked["chars"].eqNullSafe(F.col("_pc")))
+    batch = F.when(F.col("_rank") < F.col("joining"), F.col("open")).otherwise(F.col("fresh") + F.floor((F.col("_rank") - F.col("joining")) / F.col("each")))
+    return placed.select(*jobs.columns, batch.cast("int").alias("batch"))

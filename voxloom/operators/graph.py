@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 MOST_HOPS = 8
 
 
+def _start(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    step = bindings.select(F.col("speaker").alias("_s"), F.col("source").alias("_source"), F.col("follows").alias("_next"))
+    follows = F.col("source") == "follow"
+    return step, bindings.select("speaker", F.col("speaker").alias("at"), F.when(follows, F.col("follows")).alias("next"), follows.alias("moving"), F.lit(0).alias("hops"))
+
+
+def _hop(now: DataFrame, step: DataFrame) -> DataFrame:
+    """One join: rows whose next speaker has a binding go there; further columns stay."""
+    found, follows = F.col("_s").isNotNull(), F.col("_source") == "follow"
+    fresh = {
+        "at": F.coalesce("_s", "at"), "next": F.when(found & follows, F.col("_next")),
+        "moving": F.when(found, follows).otherwise(F.col("moving")), "hops": F.col("hops") + found.cast("int"),
+    }
+    return now.join(step, F.col("next") == F.col("_s"), "left").select(*(fresh.get(c, F.col(c)).alias(c) for c in now.columns))
+
+
+def _status(now: DataFrame, step: DataFrame, most: int) -> DataFrame:
+    """``now`` with status: own, missing or, where the next hop would be beyond ``most``, depth."""
+    reached = now.join(step.select("_s"), F.col("next") == F.col("_s"), "left")
+    status = F.when(~F.col("moving"), "own").when(F.col("_s").isNotNull() & (F.col("hops") >= most), "depth").otherwise("missing")
+    return reached.select(*now.columns, status.alias("status"))
+
+
 def walk(bindings: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """speaker, at, hops and status of the end of each speaker's chain.
 
@@ -16,22 +39,10 @@ def walk(bindings: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     follow without a target or with one that has no binding, ``depth`` where it is still going after ``most`` hops.
     Each hop is one join of the rows that still move, so the plan has ``most`` joins whatever the data.
     """
-    step = bindings.select(F.col("speaker").alias("_s"), F.col("source").alias("_source"), F.col("follows").alias("_next"))
-    now = bindings.select("speaker", F.col("speaker").alias("at"), F.when(F.col("source") == "follow", F.col("follows")).alias("next"), (F.col("source") == "follow").alias("moving"), F.lit(0).alias("hops"))
+    step, now = _start(bindings)
     for _ in range(most):
-        found, follows = F.col("_s").isNotNull(), F.col("_source") == "follow"
-        moved = now.join(step, F.col("next") == F.col("_s"), "left")
-        now = moved.select(
-            "speaker",
-            F.coalesce("_s", "at").alias("at"),
-            F.when(found & follows, F.col("_next")).alias("next"),
-            F.when(found, follows).otherwise(F.col("moving")).alias("moving"),
-            (F.col("hops") + found.cast("int")).alias("hops"),
-        )
-    on = F.col("next").isNotNull() & F.col("moving")
-    moved = now.join(step.select("_s"), F.col("next") == F.col("_s"), "left")
-    status = F.when(~F.col("moving"), "own").when(on & F.col("_s").isNotNull() & (F.col("hops") >= most), "depth").otherwise("missing")
-    return moved.select("speaker", "at", "hops", status.alias("status"))
+        now = _hop(now, step)
+    return _status(now, step, most).select("speaker", "at", "hops", "status")
 
 
 def resolved_voices(bindings: DataFrame, most: int = MOST_HOPS) -> DataFrame:
@@ -41,9 +52,16 @@ def resolved_voices(bindings: DataFrame, most: int = MOST_HOPS) -> DataFrame:
 
 def effective(bindings: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """Like walk, where chains that go round are ``cycle``: their end comes again within as many hops."""
-    ends = walk(bindings, most)
-    again = walk(bindings, 2 * most).select("speaker", F.col("status").alias("_later"))
-    return ends.join(again, "speaker").withColumn("status", F.when((F.col("status") == "depth") & (F.col("_later") == "depth"), "cycle").otherwise(F.col("status"))).drop("_later")
+    step, now = _start(bindings)
+    for _ in range(most):
+        now = _hop(now, step)
+    # the walk goes on from here, with what it was at this hop beside it
+    now = _status(now, step, most).withColumn("_then", F.struct("at", "hops", "status")).drop("status")
+    for _ in range(most):
+        now = _hop(now, step)
+    found = _status(now, step, 2 * most)
+    cycle = (F.col("_then.status") == "depth") & (F.col("status") == "depth")
+    return found.select("speaker", "_then.at", "_then.hops", F.when(cycle, "cycle").otherwise(F.col("_then.status")).alias("status"))
 
 
 def would_cycle(bindings: DataFrame, pairs: DataFrame, most: int = MOST_HOPS) -> DataFrame:

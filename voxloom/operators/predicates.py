@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import is_generated_name
 from ..functions.text import TOKEN_BITS, ascii_lower, search_form, speakable_dialogue, trim
 
 
@@ -91,6 +92,11 @@ def line_status(excluded: Column, voiced: Column, has_tokens: Column, deferred:
     return F.when(excluded | player | ~spoken, "skipped").when(attributed & ~voiced & ~has_tokens & ~deferred, "ready").otherwise("blocked")
 
 
+def generatable(voiced: Column, sound: Column) -> Column:
+    """without audio, or with audio that a pack of ours added."""
+    return ~voiced | is_generated_name(sound)
+
+
 def is_player(name: Column) -> Column:
     """F16: stands for the player, in any case."""
     return F.coalesce(ascii_lower(trim(name)) == "<charname>", F.lit(False))

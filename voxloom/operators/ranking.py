@@ -100,9 +100,9 @@ def first_source(tables: Sequence[DataFrame], keys: Sequence[str], order: Sequen
 def majority(scores: DataFrame, key: str, option: str, value: str) -> DataFrame:
     """The option with the largest value of each key; keys whose largest is shared by two options are left out."""
     most = scores.groupBy(key, option).agg(F.max(value).alias("_v"))
-    best_of = most.groupBy(key).agg(F.max(F.struct("_v", option)).alias("_a"), F.max("_v").alias("_m"), F.count("*").alias("_c"))
-    tied = most.join(best_of, key).where(F.col("_v") == F.col("_m")).groupBy(key).agg(F.count("*").alias("_n"), F.max(option).alias(option)).where("_n = 1")
-    return tied.select(key, option)
+    # the first and the last option by (value, option) and by (value, reversed order) differ only if several share the value
+    found = most.groupBy(key).agg(F.max(F.struct("_v", option)).alias("_a"), F.min(F.struct((-F.col("_v")).alias("_v"), option)).alias("_b"))
+    return found.where(F.col(f"_a.{option}") == F.col(f"_b.{option}")).select(key, F.col(f"_a.{option}").alias(option))
 
 
 def uniform(value: Column) -> Column:

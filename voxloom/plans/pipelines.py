@@ -79,15 +79,18 @@ def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> Da
     """A voice for each speaker without one: a member of the pool of its sex, race and category, else the
     best donor of its sex by category (4), race (2) and quality; sex 0 gets no donor. Explicit voices stay.
 
-    Pools are a row for each (sex, race, category) with an ordered array ``members``. A donor's score depends on the
-    speaker's demographics only, so it is found once for each of these and joined back, not for each speaker.
+    Pools are a row for each (sex, race, category) with an ordered array ``members``. The best donor by quality, then by
+    the least id, is found once at each level of likeness: same sex, category and race; same category; same race; same
+    sex. A speaker takes the first level that has one, so donors are aggregated and never paired with speakers.
     """
     keys = ["sex", "race", "category"]
-    kinds = speakers.select(*keys).distinct()
-    d = donors.select(F.col("id").alias("_donor"), F.col("sex").alias("_sex"), F.col("race").alias("_race"), F.col("category").alias("_category"), "quality")
-    match = kinds.where("sex <> 0").join(d, F.col("sex") == F.col("_sex"))
-    score = (F.col("race") == F.col("_race")).cast("int") * 2 + (F.col("category") == F.col("_category")).cast("int") * 4
-    fallback = match.groupBy(*keys).agg(F.max_by("_donor", F.struct(score.alias("s"), F.col("quality"), (-F.col("_donor")).alias("low"))).alias("_donor"))
+    kinds = speakers.select(*keys).distinct().where("sex <> 0")
+    finest = donors.groupBy("sex", "category", "race").agg(F.max(F.struct("quality", (-F.col("id")).alias("low"))).alias("best"))
+    levels = (["sex", "category", "race"], ["sex", "category"], ["sex", "race"], ["sex"])
+    found = kinds
+    for k, level in enumerate(levels):
+        found = found.join(finest.groupBy(*level).agg(F.max("best").alias(f"_l{k}")), level, "left")
+    fallback = found.select(*keys, (-F.coalesce(*(F.col(f"_l{k}.low") for k in range(len(levels))))).alias("_donor"))
     joined = speakers.join(pools.select(*keys, "members"), keys, "left").join(fallback, keys, "left")
     member = F.when(F.size("members") > 0, F.get("members", hashing.stable_index(F.size("members"), F.col("id"), hashing.pool_salt(F.col("members")))))
     voice = F.coalesce("explicit", member, "_donor")
@@ -98,7 +101,7 @@ def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> Da
 def plan_generation(jobs: DataFrame, size: int = 8, budget: int = 800) -> DataFrame:
     """Jobs (id, voice, text, settings) grouped by voice, deduplicated, in order of length, packed in batches."""
     unique = jobs.groupBy("voice", text.collapse(F.col("text")).alias("text"), "settings").agg(F.min("id").alias("id"), F.count("*").alias("jobs"))
-    return aggregates.pack_batches(unique.withColumn("chars", F.length("text")), "voice", ["chars", "id"], size, budget)
+    return aggregates.pack_by_length(unique.withColumn("chars", F.length("text")), "voice", "id", size, budget)
 
 
 def assemble(lines: DataFrame, taken: DataFrame, reasons: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -156,11 +156,13 @@ def binding_sources(t):
     return ranking.best(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], by).select("conv_id", "turn")
 
 
-@query("SELECT s_suppkey FROM (SELECT s_suppkey FROM supplier ORDER BY (s_nationkey <> 3), (s_suppkey % 5 <> 1), s_acctbal DESC, s_suppkey LIMIT 25)")
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY (s_nationkey <> 3), (s_suppkey % 5 <> 1), s_acctbal DESC, s_suppkey)::INT AS place FROM supplier WHERE s_suppkey % 2 = 1")
 def donor_order(t):
-    """Donors of one target in order of likeness and quality."""
+    """Every donor of a target's sex with its place by likeness and quality."""
     pool = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("category"), (F.col("s_suppkey") % 5).alias("race"), F.col("s_acctbal").alias("quality"), F.col("s_suppkey").alias("id"))
-    return pool.orderBy(*ranking.donors({"category": 3, "race": 1}, pool)).limit(25).select("s_suppkey")
+    same_sex = pool.where("s_suppkey % 2 = 1").withColumn("sex", F.lit(1))
+    order = ranking.Window.partitionBy("sex").orderBy(*ranking.donors({"category": 3, "race": 1}, pool))  # one target's list
+    return same_sex.select("s_suppkey", F.row_number().over(order).alias("place"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 50")
@@ -263,14 +265,12 @@ def follow_status(t):
     return graph.effective(follows(t)).groupBy("status").count()
 
 
-@query("SELECT s_suppkey, 'Z' || upper(lpad(CASE WHEN s_suppkey % 4 < 10 THEN (s_suppkey % 4)::VARCHAR END, 5, '0')) || lpad(CASE WHEN n < 10 THEN n::VARCHAR ELSE substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n - 9)::INT, 1) END, 2, '0') AS name FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY s_suppkey) AS n FROM supplier) WHERE n < 36")
+@query("SELECT s_suppkey, CASE WHEN n < 1296 THEN 'Z0000' || (s_suppkey % 4) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n // 36)::INT + 1, 1) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n % 36)::INT + 1, 1) END AS name FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY s_suppkey) AS n FROM supplier)")
 def unique_names(t):
     """Free suffixes where 00 is taken."""
     lines = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 4).alias("strref"))
     taken = t.nation.where("n_nationkey < 4").select(F.concat(F.lit("z"), hashing.base36(F.col("n_nationkey"), 5), F.lit("00")).alias("name"))
-    named = hashing.unique_names(lines, taken, "strref", ["s_suppkey"])
-    n = F.row_number().over(ranking.Window.partitionBy(F.col("s_suppkey") % 4).orderBy("s_suppkey"))
-    return named.withColumn("n", n).where("n < 36").select("s_suppkey", "name")
+    return hashing.unique_names(lines, taken, "strref", ["s_suppkey"]).select("s_suppkey", "name")
 
 
 @query("SELECT lines, count(*) AS dialogues FROM (SELECT conv_id, count(*) AS lines FROM conversations GROUP BY 1) GROUP BY 1")
@@ -391,9 +391,9 @@ def companion_sources(t):
     return bindings.companion_sources(lines, companions).select("creature", "sound", "strref")
 
 
-@query("SELECT c.c_mktsegment || c.c_custkey AS sound, n.name FROM customer c JOIN (SELECT DISTINCT lower(c_mktsegment) || (c_nationkey % 3) AS name, lower(c_mktsegment) AS stem FROM customer) n ON lower(c.c_mktsegment) = n.stem WHERE c.c_custkey % 20 = 0")
+@query("SELECT c.c_mktsegment || c.c_custkey AS sound, n.name FROM customer c JOIN (SELECT DISTINCT lower(c_mktsegment) || (c_nationkey % 3) AS name, lower(c_mktsegment) AS stem FROM customer) n ON lower(c.c_mktsegment) = n.stem")
 def stem_owners(t):
     """J19."""
-    sounds = t.customer.where("c_custkey % 20 = 0").select(F.concat("c_mktsegment", F.col("c_custkey").cast("string")).alias("sound"))
+    sounds = t.customer.select(F.concat("c_mktsegment", F.col("c_custkey").cast("string")).alias("sound"))
     names = t.customer.select(F.concat(F.lower("c_mktsegment"), (F.col("c_nationkey") % 3).cast("string")).alias("name"))
     return pipelines.stem_owners(sounds, names)

@@ -42,24 +42,23 @@ def normalized_lines(t):
     return t.documents.select("doc_id", text.collapse(F.col("text")).alias("collapsed"), hashing.text_hash(F.col("text")).alias("text_hash"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\*[^*]*\*|\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')) AS spoken, (length(text) - length(replace(text, '*', ''))) % 2 = 1 AS open_star FROM documents WHERE text NOT LIKE '<%'")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\*[^*]*\*|\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')) AS spoken, (length(text) - length(replace(text, '*', ''))) % 2 = 1 AS open_star FROM (SELECT doc_id, CASE WHEN regexp_full_match(trim(text), '(?s)<.*>') AND NOT regexp_full_match(trim(text), '<[A-Z0-9_]*[A-Z][A-Z0-9_]*>') THEN '' ELSE text END AS text FROM documents)")
 def stripped_cues(t):
     """T10, T25."""
-    return t.documents.where(~F.col("text").startswith("<")).select("doc_id", text.strip_cues(F.col("text")).alias("spoken"), text.unterminated_asterisk(F.col("text")).alias("open_star"))
+    return t.documents.select("doc_id", text.strip_cues(F.col("text")).alias("spoken"), text.unterminated_asterisk(F.col("text")).alias("open_star"))
 
 
-@query(r"SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '<([^>]*)>', 1), lambda x: regexp_matches(x, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$'))) IS NOT NULL AS ok, len(list_filter(regexp_extract_all(html, '<([^>]*)>', 1), lambda x: x = 'p')) AS paragraphs FROM pages")
+@query(r"SELECT page_id, array_to_string(list_filter(regexp_extract_all(upper(html), '<([^>]*)>', 1), lambda x, i: regexp_full_match(x, '[A-Z0-9_]*[A-Z][A-Z0-9_]*') AND list_position(regexp_extract_all(upper(html), '<([^>]*)>', 1), x) = i), ' ') AS tokens, len(list_filter(regexp_extract_all(html, '\[([^\]]*)\]', 1), lambda x: NOT regexp_matches(x, '\s'))) AS unknown, len(list_filter(regexp_extract_all(html, '<([^>]*)>', 1), lambda x: x = 'p')) AS paragraphs FROM pages")
 def page_spans(t):
-    """Angle spans of html."""
+    """Tokens and unknown tags of html, in upper case, since tokens are."""
     spans = F.regexp_extract_all("html", F.lit(r"<([^>]*)>"), F.lit(1))
-    return t.pages.select("page_id", text.tokens(F.col("html")).isNotNull().alias("ok"), F.size(F.filter(spans, lambda x: x == "p")).cast("bigint").alias("paragraphs"))
+    return t.pages.select("page_id", F.array_join(text.tokens(F.upper("html")), " ").alias("tokens"), F.size(text.unknown_tags(F.col("html"))).cast("bigint").alias("unknown"), F.size(F.filter(spans, lambda x: x == "p")).cast("bigint").alias("paragraphs"))
 
 
-@query(r"SELECT doc_id, len(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, len(list_filter(string_split(lower(text), ' '), lambda w: w = 'the')) AS the FROM documents WHERE trim(text) <> ''")
+@query(r"SELECT doc_id, len(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, len(list_filter(string_split(lower(text), ' '), lambda w: w = 'the')) AS the FROM documents")
 def word_counts(t):
     """Words and letters."""
-    d = t.documents.where(F.trim("text") != "")
-    return d.select("doc_id", F.size(text.words_of(F.col("text"))).cast("bigint").alias("words"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("bigint").alias("letters"), F.size(F.filter(F.split(F.lower("text"), " "), lambda w: w == "the")).cast("bigint").alias("the"))
+    return t.documents.select("doc_id", F.size(text.words_of(F.col("text"))).cast("bigint").alias("words"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("bigint").alias("letters"), F.size(F.filter(F.split(F.lower("text"), " "), lambda w: w == "the")).cast("bigint").alias("the"))
 
 
 @query(r"SELECT c.conv_id, c.turn, CASE WHEN length(c.text) > 40 THEN left(c.text, 40) || '…' ELSE c.text END AS excerpt, left(lower(trim(c.text, E' \n\t')), 200) AS search_form FROM conversations c")
@@ -127,11 +126,12 @@ def rule_hits(t):
     return aggregates.rule_hits(t.documents, {w: F.col("text").rlike(text.whole_word(w)) for w in ("the", "und")})
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '\bThe\b', 'Thee', 'g') AS spoken FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[''0-9_]') AND NOT regexp_matches(text, '[^\x00-\x7F]') AND NOT regexp_matches(text, '\bT[Hh]E\b|\btHe\b|\bthe\b|\btHE\b|\bthE\b')")
+@query(r"WITH once AS (SELECT doc_id, text, regexp_replace(text, '(?i)(^|[^\pL\pM\pN''])the($|[^\pL\pM\pN''])', '\1thee\2', 'g') AS a FROM documents), twice AS (SELECT doc_id, text, regexp_replace(a, '(?i)(^|[^\pL\pM\pN''])the($|[^\pL\pM\pN''])', '\1thee\2', 'g') AS a FROM once) SELECT doc_id, sha256(coalesce(a, '')) AS spoken, coalesce(length(a) - length(text), 0) AS longer FROM twice")
 def spoken_rules(t):
-    """A whole-word rule, on texts where both engines agree on what a word is."""
-    d = t.documents.where("lang = 'en'").where(~F.col("text").rlike(r"['0-9_]") & ~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"\bT[Hh]E\b|\btHe\b|\bthe\b|\btHE\b|\bthE\b"))
-    return d.select("doc_id", text.apply_rules(F.col("text"), [("The", "Thee")]).alias("spoken"))
+    """A whole-word rule, in any case, over all documents. The SQL has no look-around, so it matches what is beside a
+    word too, and runs twice, as neighbours share that."""
+    spoken = text.apply_rules(F.col("text"), [("The", "thee")])
+    return t.documents.select("doc_id", F.sha2(F.coalesce(spoken, F.lit("")), 256).alias("spoken"), F.coalesce((F.length(spoken) - F.length("text")).cast("bigint"), F.lit(0)).alias("longer"))
 
 
 @query("SELECT b.doc_id FROM documents b JOIN labels l ON b.doc_id = l.doc_id WHERE l.quality = 0 AND b.doc_id > 20 ORDER BY b.doc_id LIMIT 50")

@@ -30,15 +30,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system has ``path``; errors in asking for it rise."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_new(stream: DataFrame, target: str, checkpoint: str, on: Sequence[str]) -> StreamingQuery:
     """Keep appending to the Parquet table at ``target`` the rows whose keys it lacks, once for all there is."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            there = spark.read.schema(batch.schema).parquet(target)
-        except Exception:  # the first batch finds no table
-            there = spark.createDataFrame([], batch.schema)
+        # only a table that is not there yet counts as empty; any error in looking for it or reading it ends the query
+        there = spark.read.schema(batch.schema).parquet(target) if exists(spark, target) else spark.createDataFrame([], batch.schema)
         insert_new(there, batch, on).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

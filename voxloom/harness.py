@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries_relational, queries_samples, queries_text
+from .plans import queries_relational, queries_samples, queries_text, queries_writes
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "queries_relational", "queries_samples", "queries_text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_relational", "queries_samples", "queries_text", "queries_writes"]

@@ -155,11 +155,11 @@ def exportable_generations(t):
     return bindings.export_candidates(*export_tables(t)).select("generation", "voice", "excluded", "resolution")
 
 
-@query("SELECT s_suppkey AS speaker, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS overall, max(l_orderkey * 10 + l_linenumber) AS sample, any_value(s_nationkey) AS race FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' GROUP BY 1")
+@query("SELECT s_suppkey AS speaker, max(l_orderkey * 10 + l_linenumber) AS sample, any_value(s_nationkey) AS race FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' GROUP BY 1")
 def donors_with_samples(t):
     """J07, W07."""
     s = t.lineitem.select(F.col("l_suppkey").alias("speaker"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("overall"), F.when(F.col("l_returnflag") == "A", "approved").otherwise("pending").alias("decision"))
-    return bindings.donor_pool(s, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("race")), ["race"]).select("speaker", "overall", "sample", "race")
+    return bindings.donor_pool(s, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("race")), ["race"]).select("speaker", "sample", "race")
 
 
 @query("SELECT c_nationkey AS identity, sum(c_custkey)::BIGINT AS lines, count(*) AS variants, bool_and(c_acctbal < 0) AS excluded, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS names, max(shared) AS shares FROM customer LEFT JOIN (SELECT c_nationkey AS k, c_mktsegment AS m, count(DISTINCT c_custkey) > 1 AS shared FROM customer GROUP BY 1, 2) ON k = c_nationkey AND m = c_mktsegment GROUP BY 1")
@@ -216,7 +216,7 @@ def recovered_generations(t):
     return bindings.recover_files(generations, files).select("id", "status")
 
 
-@query("SELECT l_suppkey AS binding, sha256(string_agg((l_orderkey * 10 + l_linenumber) || chr(1) || l_linestatus || chr(1) || sha256(l_returnflag), chr(2) ORDER BY l_linenumber, l_orderkey * 10 + l_linenumber)) AS fingerprint, count(*)::INT AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1")
+@query("SELECT l_suppkey AS binding, sha256(string_agg((l_orderkey * 10 + l_linenumber) || chr(1) || l_linestatus || chr(1) || sha256(l_returnflag), chr(2) ORDER BY l_linenumber, l_orderkey * 10 + l_linenumber, l_linestatus, sha256(l_returnflag))) AS fingerprint, count(*)::INT AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1")
 def reference_fingerprints(t):
     """Ordered members of bindings and what they are made of."""
     s = t.lineitem

@@ -215,7 +215,7 @@ def render_levels(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
     rows = []
     for s, r in zip(samples, rate, strict=True):
         x = np.asarray([] if s is None else s, np.float64)
-        window = max(1, round((r or 0) * 0.02))
+        window = max(1, round(r * 0.02)) if r and r > 0 else 1  # a missing rate is NaN here
         frames = x[: len(x) // window * window].reshape(-1, window)
         quiet = np.sqrt((frames**2).mean(axis=1)) < 32768 * 10 ** (-45 / 20) if len(frames) else np.ones(1)
         peak = np.abs(x).max(initial=0)
@@ -235,7 +235,7 @@ def resample(samples: pd.Series, rate: pd.Series, target: pd.Series) -> pd.Serie
 
     def one(s, r, t):
         x = np.asarray([] if s is None else s, np.float64)
-        n = round(len(x) * t / r) if r else 0
+        n = round(len(x) * t / r) if r and r > 0 and t > 0 else 0  # a missing rate is NaN here
         if not n:
             return np.empty(0, np.float32)
         spectrum = np.fft.rfft(x)

@@ -108,6 +108,12 @@ def append_numbers(existing: DataFrame, new: DataFrame, key: str, order: Sequenc
     return new.withColumn("_rank", rank).join(largest, key, "left").withColumn(number, F.coalesce(F.col("_max") + F.col("_rank"), F.col("_rank") - 1)).drop("_max", "_rank")
 
 
+def referenced_groups(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """How many groups (id, resolution) the lines (shared_group_id) refer to, and how many of them are deferred."""
+    used = groups.join(lines.select(F.col("shared_group_id").alias("id")), "id", "left_semi")
+    return used.agg(F.count("*").alias("shared_groups"), F.count_if(F.col("resolution") == "defer_diff_voice").alias("deferred_groups"))
+
+
 def shared_by_members(rows: DataFrame, group: str, member: str, value: str) -> DataFrame:
     """Whether a value of a group belongs to more than one of its members."""
     return rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_distinct(member).alias("_n")).groupBy(group).agg(F.bool_or(F.col("_n") > 1).alias("shares"))

@@ -131,6 +131,18 @@ def has_personal(members: DataFrame, bindings: DataFrame) -> DataFrame:
     return members.join(ready, "speaker", "left_semi").select("identity").distinct()
 
 
+def personal_binding(members: DataFrame, bindings: DataFrame) -> DataFrame:
+    """For each identity (members: identity, speaker, lines) the binding that counts as its own: of bindings that are not
+    generic the ready ones with a sample, else any; of these the representative's (most lines, then the least speaker)
+    and then the least speaker's. Without such a binding the representative's, whatever it is, if there is one."""
+    main = members.groupBy("identity").agg(F.max_by("speaker", F.struct("lines", (-F.col("speaker")).alias("low"))).alias("main"))
+    held = members.join(bindings, "speaker").join(main, "identity").withColumn("_main", F.col("speaker") == F.col("main"))
+    own = F.coalesce(F.col("source") != "generic", F.lit(True))
+    ready = own & (F.col("status") == "ready") & F.col("sample").isNotNull()
+    choice = held.where(own | F.col("_main")).withColumn("_own", own).withColumn("_ready", F.coalesce(ready, F.lit(False)))
+    return ranking.best(choice, ["identity"], F.struct("_own", "_ready", "_main", (-F.col("speaker")).alias("low"))).select("identity", *bindings.columns)
+
+
 def override_page(overrides: DataFrame, cache: DataFrame, after: int, limit: int) -> DataFrame:
     """Overrides with their cached texts, by least line id after a cursor."""
     return overrides.join(cache.select("text_hash", "first_id", "text"), "text_hash").where(F.col("first_id") > after).orderBy("first_id").limit(limit)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .predicates import search
+
 LINE_ORDERS = {
     "speaker_asc": lambda: [F.lower(F.coalesce("display_name", "name")), F.col("dialogue"), F.col("state"), F.col("strref")],
     "strref_asc": lambda: [F.col("strref")],
@@ -52,9 +54,65 @@ def library_order() -> list[Column]:
     return [(F.col("origin") == "harvested").asc(), text_key(F.col("name")), F.col("id")]
 
 
+def _by_name(*first: Column) -> list[Column]:
+    return [*first, text_key(F.col("name"))]
+
+
+def needs_approval() -> Column:
+    return (F.col("samples") > 0) & (F.col("approved") == 0)
+
+
+# Orders of identities (name, lines, samples, approved, status, excluded) by their names
 IDENTITY_ORDERS = {
-    "name": lambda: [text_key(F.col("name"))],
-    "lines": lambda: [F.col("lines").desc(), text_key(F.col("name"))],
-    "unbound_first": lambda: [F.col("bound").asc(), text_key(F.col("name"))],
-    "failed_first": lambda: [(F.col("failed") > 0).desc(), text_key(F.col("name"))],
+    "name_asc": lambda: _by_name(),
+    "lines_desc": lambda: _by_name(F.col("lines").desc()),
+    "binding_gap": lambda: _by_name((~F.col("excluded") & (F.col("status") == "unbound")).desc()),
+    "clone_failed": lambda: _by_name((F.col("status") == "failed").desc()),
+}
+HARVEST_ORDERS = {
+    "name_asc": lambda: _by_name(),
+    "name_desc": lambda: [text_key(F.col("name")).desc()],
+    "lines_desc": lambda: _by_name(F.col("lines").desc()),
+    "samples_desc": lambda: _by_name(F.col("samples").desc()),
+    "needs_approval": lambda: _by_name(needs_approval().desc()),
+}
+
+
+def identity_facets() -> dict[tuple[str, str], Column]:
+    """For ``facets_with``, the values of facets that are no value of a column; voice_match and demographic_match are
+    match, mismatch or null."""
+    c, kept = F.col, ~F.col("excluded")
+    own = {("status", "needs_binding"): (c("approved") > 0) & kept & (c("status") == "unbound"), ("status", "has_approved"): c("approved") > 0}
+    for facet in ("voice_match", "demographic_match"):
+        own |= {(facet, "mismatch"): kept & (c(facet) == "mismatch"), (facet, "match"): c(facet) == "match"}
+    return own
+
+
+def harvest_facets() -> dict[tuple[str, str], Column]:
+    """As identity_facets, for the facet ``review``."""
+    found = {"needs_approval": needs_approval(), "has_approved": F.col("approved") > 0, "no_samples": F.col("samples") == 0, "multi_variant": F.col("variants") > 1}
+    return {("review", k): v for k, v in found.items()}
+
+
+def _place() -> list[Column]:
+    return [F.coalesce("dialogue", F.lit("")), F.col("state").asc_nulls_last(), F.col("strref")]
+
+
+BLOCKED_ORDERS = {
+    "dlg_state": _place,
+    "strref_asc": lambda: [F.col("strref")],
+    "strref_desc": lambda: [F.col("strref").desc()],
+    "text_asc": lambda: [F.lower("text"), *_place()],
+    "text_desc": lambda: [F.lower("text").desc(), *_place()],
+    "reason": lambda: [F.col("reason"), *_place()],
 }
+
+
+def blocked_page(lines: DataFrame, offset: int = 0, limit: int = 100, query: str = "", reason: str = "all", sort: str = "dlg_state") -> tuple[DataFrame, DataFrame]:
+    """(a page of blocked lines, with a column reason; a row of total, the lines that pass the filters, and token_total,
+    the lines with tokens among all). Query and reason come before the page; the limit is held between 1 and 200."""
+    place = F.concat_ws(":", F.coalesce("dialogue", F.lit("")), F.coalesce(F.col("state").cast("string"), F.lit("")))
+    wanted = F.lit(True) if reason in ("", "all") else F.col("reason") == reason
+    passes = F.coalesce(wanted & search(query, F.col("strref"), place, F.col("text")), F.lit(False))
+    totals = lines.agg(F.count_if(passes).alias("total"), F.count_if(F.col("reason") == "dynamic token").alias("token_total"))
+    return page(lines.where(passes), [*BLOCKED_ORDERS.get(sort, _place)(), F.col("id")], offset, limit), totals

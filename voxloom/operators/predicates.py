@@ -82,9 +82,10 @@ def pack_audio(is_voiced: Column, generated: Column) -> Column:
     return F.when(generated, "pack").when(is_voiced, "game").otherwise("none")
 
 
-def blocked_reason(voiced: Column, has_tokens: Column, shared: Column, attributed: Column, spoken: Column) -> Column:
-    """the first reason in this order why a line is blocked; null if none holds."""
-    return F.when(voiced, "already_voiced").when(has_tokens, "dynamic_tokens").when(shared, "shared_text").when(~attributed, "no_speaker").when(~spoken, "nothing_to_speak")
+def blocked_reason(kind: Column, voiced: Column, has_tokens: Column, shared: Column, attributed: Column) -> Column:
+    """The first reason in this order why a line is blocked."""
+    named = F.when(voiced, "already voiced").when(has_tokens | (kind == "token"), "dynamic token").when(kind.isin("transition", "script"), "not a state line")
+    return named.when(shared, "shared (different voice)").when(~attributed, "unattributed").otherwise("other")
 
 
 def line_status(excluded: Column, voiced: Column, has_tokens: Column, deferred: Column, attributed: Column, spoken: Column, player: Column) -> Column:
@@ -112,6 +113,24 @@ def defer_reason(columns: Mapping[str, Column]) -> Column:
     return reduce(lambda acc, kv: acc.when(kv[1], F.lit(kv[0])), columns.items(), F)
 
 
+def export_reasons(strings: int) -> dict[str, Column]:
+    """for ``defer_reason``, why a finished line (kind, has_tokens, text, voiced, sound, speaker, excluded, resolution,
+    on_disk, strref) stays out of a pack for a target of so many strings."""
+    c = F.col
+    # The reasons' wording.
+    return {
+        "not an NPC dialogue state (transition/script/token kind)": c("kind") != "state",
+        "line has dynamic tokens (<PRO_*>/<CHARNAME>/...)": c("has_tokens"),
+        "line is intentionally silent (no speakable dialogue text)": ~F.coalesce(speakable_dialogue(c("text")), F.lit(False)),
+        "line is already voiced in the target": ~generatable(c("voiced"), c("sound")),
+        "line has no uniquely attributed speaker": c("speaker").isNull(),
+        "speaker excluded from pack": c("excluded"),
+        "shared strref with a different/unknown voice (deferred)": c("resolution") == "defer_diff_voice",
+        "generated clip is missing on disk": ~c("on_disk"),
+        "strref is not present in the target dialog.tlk": ~c("strref").between(0, strings - 1),
+    }
+
+
 def provenance_origin(provenance: Column) -> Column:
     """where a sample comes from, read from its JSON."""
     return F.get_json_object(provenance, "$.origin")

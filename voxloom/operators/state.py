@@ -112,6 +112,11 @@ def resume(jobs: DataFrame, done: DataFrame, fingerprint: Sequence[str]) -> Data
     return missing(jobs, done, fingerprint)
 
 
+def invalidated(cache: DataFrame, project: int | None = None) -> DataFrame:
+    """The cache without a project's rows, or without any."""
+    return cache.where(~F.col("project_id").eqNullSafe(F.lit(project))) if project is not None else cache.limit(0)
+
+
 def rebuilt(cache: DataFrame, version: int, build) -> DataFrame:
     """The cached rows if they all have this version, else what ``build`` makes; the test reads two numbers."""
     lowest, highest = cache.agg(F.min("version"), F.max("version")).first()

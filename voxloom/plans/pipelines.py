@@ -112,14 +112,30 @@ def assemble(lines: DataFrame, taken: DataFrame, reasons: Mapping[str, Column])
     return hashing.unique_names(judged.where("reason IS NULL").drop("reason"), taken), judged.where("reason IS NOT NULL")
 
 
+# Names that a crowd shares, and stems of sounds that belong to one well-known character.
+CROWD_NAMES = (
+    "boy", "girl", "child", "guard", "slave", "beggar", "merchant", "commoner", "peasant", "man", "woman", "soldier", "captain", "servant", "worker", "farmer", "sailor",
+    "thug", "bandit", "priest", "mage", "wizard", "knight", "noble", "lady", "lord", "prostitute", "harlot", "flirt", "bartender", "innkeeper", "customer", "townsperson", "villager",
+)
+COMPANION_STEMS = (
+    "jaheir", "minsc", "aerie", "anomen", "cernd", "edwin", "haer", "imos", "imoen", "jan", "keldor", "korgan", "mazzy",
+    "nalia", "valyg", "vicon", "yosh", "sarev", "bodhi", "iren", "elles", "khalid", "dynah", "monta", "xzar", "jahe",
+)
+
+
 def binding_hints(rows: DataFrame) -> DataFrame:
-    """Codes of what looks wrong with a binding (columns sample_owner, speaker, sound, name_stems, foreign_stems, automatic, shared)."""
-    stem = text.stem(F.lower(F.trim("sound")))
-    own = F.exists("name_stems", lambda s: (F.length(s) >= 4) & ((s == stem) | stem.startswith(s)))
-    foreign = (F.length(stem) >= 4) & ~own & F.array_contains("foreign_stems", stem)
+    """Codes of what looks wrong with a personal binding (columns display_name, name, speaker, sample_owner, sound, members,
+    foreign_stems, automatic, shared): a sample of another speaker, a sound named after another character, a crowd's
+    member with a companion's sound, a sample not found automatically, or one that several characters share."""
+    sound = text.ascii_lower(F.trim(F.coalesce("sound", F.lit(""))))
+    stem, own = text.stem(sound), text.stem(F.col("name"))
+    member = F.exists("members", lambda m: (F.length(text.stem(m)) >= 4) & ((stem == text.stem(m)) | sound.startswith(text.stem(m)) | (stem == own) | sound.startswith(own)))
+    known = (F.length(stem) >= 4) & F.exists(F.array(*(F.lit(c) for c in COMPANION_STEMS)), lambda c: stem.startswith(c) | c.startswith(stem))
+    crowd = text.ascii_lower(F.trim("display_name")).isin(*CROWD_NAMES)
     hints = F.array_compact(F.array(
-        F.when(F.col("sample_owner").isNotNull() & (F.col("sample_owner") != F.col("speaker")), "sample_owner_mismatch"), F.when(foreign, "foreign_sound_stem"),
-        F.when(~F.col("automatic"), "manual_only_sample"), F.when(F.col("shared") > 1, "shared_source"),
+        F.when(F.col("sample_owner") != F.col("speaker"), "sample_owner_mismatch"),
+        F.when((F.length(stem) >= 4) & ~member & (F.array_contains("foreign_stems", stem) | known), "foreign_sound_stem"),
+        F.when(crowd & known & ~member, "crowd_with_companion_stem"), F.when(~F.col("automatic"), "manual_only_primary"), F.when(F.col("shared") >= 2, "shared_source"),
     ))
     return rows.withColumn("hints", hints)
 
@@ -164,7 +180,9 @@ def same_references(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
 def dominant_creature(creatures: DataFrame, labels: DataFrame) -> DataFrame:
     """For each label (label, prefix) the creature that bears it: of those whose name starts with the prefix the most
     frequent long name, then the one named so exactly, with a usable dialogue, with the least name."""
-    hits = labels.join(creatures, F.expr("startswith(lower(name), lower(prefix))"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left(F.lower("name"), n))  # names are short, so this is a join of equals
+    spread = creatures.where("name <> ''").withColumn("_start", F.explode(starts))
+    hits = labels.where("prefix <> ''").join(spread, F.lower("prefix") == F.col("_start"))
     exact = F.lower("name") == F.lower("prefix")
     named = hits.where("long_name IS NOT NULL").withColumn("_exact", exact)
     size = F.count("*").over(Window.partitionBy("label", "long_name"))

@@ -294,11 +294,13 @@ def dialogue_totals(t):
     return pipelines.dialogue_totals(t.customer.select(F.col("c_mktsegment").alias("dialogue")), listed, ["B"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'already_voiced' WHEN o_orderpriority = '5-LOW' THEN 'shared_text' WHEN o_custkey % 5 = 0 THEN 'no_speaker' END AS reason FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'already voiced' WHEN o_orderkey % 7 = 0 THEN 'dynamic token' WHEN o_orderkey % 7 IN (1, 2) THEN 'not a state line' WHEN o_orderpriority = '5-LOW' THEN 'shared (different voice)' WHEN o_custkey % 5 = 0 THEN 'unattributed' ELSE 'other' END AS reason FROM orders")
 def blocked_reasons(t):
     """ordered reasons."""
     o = t.orders
-    return o.select("o_orderkey", predicates.blocked_reason(o.o_orderstatus == "F", F.lit(False), o.o_orderpriority == "5-LOW", o.o_custkey % 5 != 0, F.lit(True)).alias("reason"))
+    n = o.o_orderkey % 7
+    kind = F.when(n == 0, "token").when(n == 1, "transition").when(n == 2, "script").otherwise("state")
+    return o.select("o_orderkey", predicates.blocked_reason(kind, o.o_orderstatus == "F", F.lit(False), o.o_orderpriority == "5-LOW", o.o_custkey % 5 != 0).alias("reason"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'skipped' WHEN o_custkey % 5 <> 0 AND o_orderpriority <> '5-LOW' THEN 'ready' ELSE 'blocked' END AS status FROM orders")

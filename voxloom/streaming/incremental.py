@@ -26,7 +26,7 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", length: str = "
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user: events with less than ``gap`` between them."""
+    """Sessions of each user: events with at most ``gap`` between one and the next."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 

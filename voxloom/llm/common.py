@@ -70,16 +70,21 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches, one call of ``work`` for each.
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES.
 
-    Spark takes the bound on bytes from the session when the job runs; where the user has set none, it is lowered for the
-    session. Results do not depend on it.
+    Spark takes the bound from the session when the job runs; where the user has set none, it is lowered for the session.
+    Results do not depend on it.
     """
-    ship(df.sparkSession)
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(bound) == "67108864b":  # Spark's default
-        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    if spark.conf.get(bound) == "67108864b":  # Spark's default
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with bounded batches, one call of ``work`` for each."""
+    ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

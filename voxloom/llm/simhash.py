@@ -170,7 +170,8 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_links(distinct.select("fp")))
     rooted = durable(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut from its aggregation, so that Spark can split a component of very many fingerprints in the join
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
     return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 

@@ -59,14 +59,16 @@ def _tidy_path(path: Column) -> Column:
 
 
 def url_node(url: Column) -> Column:
-    """The URL that a page answers to: scheme and host in lower case, path without dot segments, query, no fragment.
+    """The URL that a page answers to: scheme and host in lower case, no port that the scheme implies, path without dot
+    segments, query, no fragment.
 
     Null without ``://`` or without a host.
     """
     host, path = url_parts(url)
     scheme = F.lower(F.trim(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host, _tidy_path(path), query))
+    site = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(host)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), site, _tidy_path(path), query))
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -86,10 +88,14 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) of each page that redirects or names a canonical URL in its html."""
+    """(url, target) of each page that redirects or names a canonical URL in its html.
+
+    Tags inside comments, scripts, styles, templates, titles and text areas are text and count for nothing.
+    """
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
     html = F.coalesce("html", F.lit(""))
-    hinted = pages.where(F.lower(html).rlike(r"canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all(html, F.lit(tag), F.lit(0))).alias("tag"))
+    markup = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style|template|title|textarea)\b.*?(?:</\1\s*>|$)", " ")
+    hinted = pages.where(F.lower(html).rlike(r"canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all(markup, F.lit(tag), F.lit(0))).alias("tag"))
     href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
     target = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), href).when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh)
@@ -112,7 +118,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges
     ends = links.select(url_node(F.col("url")).alias("a"), url_node(resolved(F.col("target"), F.col("url"))).alias("b"))
     links = durable(ends.where("a <> b").distinct())
     host, path = url_parts(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"), url_node(F.col("url")).alias("_node"))
+    # a page without a node gets a key that no node has, so that such pages are not shuffled to one place
+    node = F.coalesce(url_node(F.col("url")), F.concat(F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"), node.alias("_node"))
     judged = judged.select("*", *(c.alias(n) for c, n in zip(rule_for(F.col("host"), F.col("path"), rules), ("rule", "_own"), strict=True)))
     if links.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), "default").otherwise("rule").alias("source"))

@@ -22,8 +22,8 @@ from tokenizers import Tokenizer, models
 
 from .common import kind, map_batches, table, texts
 
-#: Words and fragments that a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 120_000
+#: Words that a worker remembers, and characters of the longest of them; beyond that number it forgets all and goes on.
+REMEMBERED, LONGEST = 120_000, 64
 
 
 #: How a file may normalise and split texts; another way would need another splitter here, so other files are refused.
@@ -87,7 +87,9 @@ class ForcedBoundaryBPE:
         if found is None:
             parts = self.fragments("".join(self.letter[b] for b in text.encode()))
             tokens = [t for p in parts[:-1] for t in self.inner.tokenize(p)] + list(self.final.tokenize(parts[-1]))
-            found = self.known[text] = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+            found = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+            if len(text) <= LONGEST:
+                self.known[text] = found
         return found
 
     def pretokens(self, text: str) -> list[str]:

@@ -95,21 +95,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
 
     size is the text's UTF-8 bytes and 16; slot numbers the rows of a shard from 0 without gaps; group is a hash of the
     text, which linked rows share. A null text has no bytes, the checksum of the empty text, and equals other null or
-    empty texts. Repeated rows, null or repeated ids are rows like any other. With fewer rows than shards some shards
+    empty texts. Rows that repeat an id and a text, or lack ids, are told apart by a number. With fewer rows than shards some shards
     are empty; an empty table gives an empty result. Further columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"))
-    rows = durable(rows)
+    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
     n = rows.count()
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = max(1, n // bucket_rows)
     # cut here, so that the join below is between two plain shuffles, whose hot group Spark can split
     groups = durable(rows.groupBy("group").count().where("count > 1"))
     block_rows, small = max(2, n // shards), max(2, n // shards // 8)
-    # copies of one text and id are told apart by nothing; they share a hash and may be ranked in either order
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("count") / block_rows))
-    block, copy = F.when(F.col("count") > 1, F.xxhash64("group", part)), F.xxhash64("doc_id", "group")
+    # a row's hash is that of its id and text, and of its number only where these repeat
+    again = durable(rows.groupBy(F.col("doc_id").alias("_id"), F.col("group").alias("_text")).agg(F.count("*").alias("again")).where("again > 1"))
+    rows = rows.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("group") == F.col("_text")), "left")
+    copy = F.xxhash64("doc_id", "group", F.when(F.col("again").isNotNull(), F.col("_row")))
+    part = F.pmod(F.xxhash64(copy, F.lit(3)), F.ceil(F.col("count") / block_rows))
+    block = F.when(F.col("count") > 1, F.xxhash64("group", part))
     linked = durable(rows.join(groups, "group", "left").select("doc_id", "size", "text_crc32", "group", block.alias("block"), copy.alias("copy"), F.coalesce("count", F.lit(1)).alias("count")))
     large = (F.col("count") > small) & F.col("block").isNotNull()
     homes, free = _homes({r["block"]: r["count"] for r in linked.where(large).groupBy("block").count().collect()}, capacity)

@@ -67,6 +67,21 @@ BASES = ["http://x.com/a/b/c.html?q=1#f", "https://X.com", "http://x.com/", "htt
 TARGETS = ["//h.org/p", "/r", "page.html", "../up", "../../../up", "./here/", "?p=1", "HTTP://Other.NET/x/../y/./z?k=a/../b", "a/b/..", ".", "..", "x?to=http://z.com/de/", "https://other.net", "/a/./b//c", "..."]
 
 
+def test_markup_that_is_no_markup_links_nothing(spark):
+    away = '<meta http-equiv="refresh" content="0;url=http://z.com/de/">'
+    texts = [f"<!-- {away} -->", f"<script>var x = '{away}';</script>", f"<template>{away}</template>", f"<!-- open {away}", f"<title>{away}</title>", f"<style>{away}</STYLE >", away, f"<!-- closed -->{away}"]
+    rows = [(k, f"http://a{k}.com/x", t) for k, t in enumerate(texts)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" if k > 5 else "allow" for k in range(8)}
+
+
+def test_ports_that_a_scheme_implies(spark):
+    rows = [(1, "HTTP://A.com:80/x", None), (2, "http://a.com/x", '<link rel="canonical" href="http://z.com/de/">'), (3, "https://a.com:443/y", None), (4, "http://a.com:8080/x", None), (None, None, None), (None, "no scheme", None)]
+    log = spark.createDataFrame([("https://a.com/y", "http://z.com/de/")], "url string, target string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), edges=log).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", None: "allow"}
+
+
 def test_targets_resolve_as_urljoin_does(spark):
     rows = [(b, t) for b in BASES for t in TARGETS]
     out = spark.createDataFrame(rows, "url string, target string").select("url", "target", url_filter.url_node(url_filter.resolved(chat_format.F.col("target"), chat_format.F.col("url"))).alias("node")).collect()
@@ -189,6 +204,24 @@ def test_groups_that_fit_a_shard_are_not_cut(spark):
     assert [len(shards[zlib.crc32(f"group {k}".encode())]) for k in range(1, len(sizes) + 1)] == [1] * len(sizes)
 
 
+def test_rows_that_repeat_id_and_text_are_told_apart(spark):
+    rows = [(None, "same")] * 600 + [(7, "other")] * 300 + [(k, f"text {k}") for k in range(100)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 10).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, []).append(r.slot)
+    assert {s: sorted(x) for s, x in held.items()} == {s: list(range(100)) for s in range(10)}
+    # six hundred copies fill six shards but for what others level, not a bucket of one
+    assert 6 <= len({r.shard for r in got if r.doc_id is None}) <= 10
+
+
+def test_nothing_to_shard_or_to_cut(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, shard int")
+    assert sharding.cut_links(sharding.shard_documents(empty)).collect() == []
+    sharding.write_shards(empty, str(tmp_path / "none"))
+    assert spark.read.schema("doc_id long").parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_shards_of_few_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     check_shards(sharding.shard_documents(docs).collect(), 40)

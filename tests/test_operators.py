@@ -1,3 +1,4 @@
+import random
 import struct
 
 import numpy as np
@@ -41,6 +42,77 @@ def test_follow_chains(spark):
     assert rows(graph.would_cycle(bindings, pairs)) == [(1, 3, False), (3, 1, True), (9, 9, True)]
 
 
+def resolved_plainly(table, speaker, most=8):
+    """Hop by hop, with the list of those met."""
+    seen, at = [], speaker
+    for _ in range(most + 1):
+        if at in seen:
+            return "cycle"
+        seen.append(at)
+        if at not in table:
+            return "missing"
+        source, to = table[at]
+        if source != "follow":
+            return "own"
+        if to is None:
+            return "missing"
+        at = to
+    return "depth"
+
+
+def refused_plainly(table, speaker, target, most=8):
+    if speaker == target:
+        return True
+    seen, at = [speaker], target
+    for _ in range(most + 1):
+        if at in seen:
+            return True
+        seen.append(at)
+        if at not in table or table[at][0] != "follow" or table[at][1] is None:
+            return False
+        at = table[at][1]
+    return True
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_match_a_walk_hop_by_hop(spark, seed):
+    """Random graphs, sparse and dense, with long chains, long rings and tails that run into rings."""
+    rng = random.Random(seed)
+    n = 60
+    table = {k: ("follow", rng.randrange(n + 5) if rng.random() < 0.95 else None) if rng.random() < (0.6, 0.9, 0.97, 1.0)[seed] else (rng.choice(["default", "override"]), None) for k in range(n)}
+    table |= {k: ("follow", k + 1) for k in range(100, 130)} | {130: ("override", None)}
+    table |= {k: ("follow", k + 1) for k in range(200, 220)} | {220: ("follow", 205)}
+    table |= {300: ("follow", 301), 301: ("follow", 300), 302: ("follow", 301), 400: ("follow", 400)}
+    bindings = spark.createDataFrame([(k, s, f) for k, (s, f) in table.items()], "speaker long, source string, follows long").repartition(3)
+    got = {r.speaker: r for r in graph.effective(bindings).collect()}
+    assert {k: r.status for k, r in got.items()} == {k: resolved_plainly(table, k) for k in table}
+    for k, r in got.items():
+        at = k
+        for _ in range(r.hops):
+            at = table[at][1]
+        assert at == r["at"] and r.hops <= 8
+    for most in (0, 1, 3, 5, 12):
+        assert {r.speaker: r.status for r in graph.effective(bindings, most).collect()} == {k: resolved_plainly(table, k, most) for k in table} or most == 0
+    pairs = [(rng.choice([*table, 900, 61, 62]), rng.choice([*table, 900])) for _ in range(300)] + [(k, table[k][1]) for k in table if table[k][1] is not None] + [(table[k][1], k) for k in table if table[k][1] is not None]
+    pairs = sorted(set(pairs))
+    refused = graph.would_cycle(bindings, spark.createDataFrame(pairs, "speaker long, target long")).collect()
+    assert {(r.speaker, r.target): r.cycle for r in refused} == {p: refused_plainly(table, *p) for p in pairs}
+
+
+def test_facts_of_rings_and_tails(spark):
+    table = [(k, "follow", k + 1) for k in range(40)] + [(40, "follow", 10), (50, "follow", 50), (60, "follow", 61), (61, "default", None)]
+    got = {r.speaker: (r["at"], r.hops, r.kind, r.ring) for r in graph.Chains(spark.createDataFrame(table, "speaker long, source string, follows long")).facts().collect()}
+    assert got == {k: (max(k, 10), max(10 - k, 0), "ring", 31) for k in range(41)} | {50: (50, 0, "ring", 1), 60: (61, 1, "own", None), 61: (61, 0, "own", None)}
+
+
+def test_several_follows_of_one_call_close_no_ring(spark):
+    b = spark.createDataFrame([(1, "default", None), (2, "default", None), (3, "default", None), (4, "follow", 3)], "speaker long, source string, follows long")
+    # 5 follows 3, which would run into the ring of 1 and 2 if all were in force
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (5, 3), (5, 4), (6, 77)], "speaker long, target long")
+    got = {r.speaker: (r.source, r.follows) for r in bindings.follow(b, pairs).collect()}
+    assert got == {1: ("default", None), 2: ("default", None), 3: ("default", None), 4: ("follow", 3)}
+
+
 def test_voice_changed(spark):
     c = F.col
     data = [(1, None, 1, None, True, "h", False), (1, None, 2, None, True, "h", True), (None, 5, None, 5, True, "h", False), (None, None, None, 5, True, "h", True), (1, None, 1, None, False, "h", True), (1, None, 1, None, True, None, True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -259,12 +260,53 @@ def resolved_voices(t):
     return graph.resolved_voices(follows(t))
 
 
-@query(f"WITH RECURSIVE b AS ({FOLLOWS}), w AS (SELECT speaker, source, follows, 0 AS hops FROM b UNION ALL SELECT w.speaker, b.source, b.follows, w.hops + 1 FROM w JOIN b ON w.follows = b.speaker WHERE w.source = 'follow' AND w.hops < 16), e AS (SELECT speaker, max(hops) AS last, max_by(source, hops) AS ends FROM w GROUP BY 1) SELECT CASE WHEN last <= 8 AND ends <> 'follow' THEN 'own' WHEN last < 8 THEN 'missing' WHEN last = 16 AND ends = 'follow' THEN 'cycle' WHEN last = 8 THEN 'missing' ELSE 'depth' END AS status, count(*) AS count FROM e GROUP BY 1")
+#: Chains are walked to their end, or until a speaker comes again, whatever the length; only then is the bound applied.
+WALKED = """w AS (SELECT speaker AS s, [speaker] AS path, source, follows, false AS again FROM b
+  UNION ALL SELECT w.s, list_append(path, n.speaker), n.source, n.follows, list_contains(path, n.speaker) FROM w JOIN b n ON w.follows = n.speaker WHERE w.source = 'follow' AND NOT again),
+e AS (SELECT s, path, source, follows, again FROM w WHERE again OR source <> 'follow' OR follows IS NULL OR follows NOT IN (SELECT speaker FROM b)),
+told AS (SELECT s AS speaker, path, CASE WHEN again THEN CASE WHEN len(path) - 1 <= 8 THEN 'cycle' ELSE 'depth' END WHEN source <> 'follow' THEN CASE WHEN len(path) - 1 <= 8 THEN 'own' ELSE 'depth' END
+  WHEN len(path) - 1 + (follows IS NOT NULL)::INT <= 8 THEN 'missing' ELSE 'depth' END AS status FROM e)"""
+
+
+@query(f"WITH RECURSIVE b AS ({FOLLOWS}), {WALKED} SELECT status, count(*) AS count FROM told GROUP BY 1")
 def follow_status(t):
     """Own, missing, depth or cycle."""
     return graph.effective(follows(t)).groupBy("status").count()
 
 
+CHAINED = "SELECT o_orderkey AS speaker, CASE WHEN later IS NULL AND o_custkey % 3 = 0 THEN 'default' ELSE 'follow' END AS source, CASE WHEN later IS NOT NULL THEN later WHEN o_custkey % 3 = 1 THEN CASE WHEN o_custkey % 2 = 0 THEN third ELSE first END WHEN o_custkey % 3 = 2 AND o_custkey % 2 = 0 THEN -1 END AS follows FROM (SELECT o_orderkey, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS later, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, lag(o_orderkey, 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS third FROM orders)"
+
+
+def chained(t):
+    """Orders that follow the next one of their customer; the last has a binding of its own, follows nobody, a speaker
+    without one, the first (a ring of all) or the third before it (a tail into a ring of four)."""
+    by, c = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_custkey")
+    o = t.orders.select("o_orderkey", "o_custkey", F.lead("o_orderkey").over(by).alias("later"), F.min("o_orderkey").over(Window.partitionBy("o_custkey")).alias("first"), F.lag("o_orderkey", 3).over(by).alias("third"))
+    last = F.when(c % 3 == 1, F.when(c % 2 == 0, F.col("third")).otherwise(F.col("first"))).when((c % 3 == 2) & (c % 2 == 0), F.lit(-1))
+    return o.select(F.col("o_orderkey").alias("speaker"), F.when(F.col("later").isNull() & (c % 3 == 0), "default").otherwise("follow").alias("source"), F.coalesce("later", last).alias("follows"))
+
+
+@query(f"WITH RECURSIVE b AS ({CHAINED}), {WALKED} SELECT speaker, status, path[least(len(path), 9)] AS \"at\", least(len(path) - 1, 8)::INT AS hops FROM told WHERE status <> 'cycle' UNION ALL SELECT speaker, status, NULL, NULL FROM told WHERE status = 'cycle'")
+def chain_ends(t):
+    """Each chain's status and end; chains and rings of up to some forty orders."""
+    known = F.col("status") != "cycle"
+    return graph.effective(chained(t)).select("speaker", "status", F.when(known, F.col("at")).alias("at"), F.when(known, F.col("hops")).alias("hops"))
+
+
+@query(
+    f"WITH RECURSIVE b AS ({CHAINED}), {WALKED}, p AS (SELECT o_orderkey AS speaker, target FROM (SELECT o_orderkey, lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target FROM orders UNION ALL SELECT o_orderkey, o_orderkey + 1 FROM orders UNION ALL SELECT -1, o_orderkey FROM orders) WHERE target IS NOT NULL) "
+    "SELECT p.speaker, p.target, coalesce(told.status IN ('cycle', 'depth') OR list_contains(told.path, p.speaker) OR e.follows = p.speaker, false) OR p.speaker = p.target AS cycle FROM p LEFT JOIN told ON told.speaker = p.target LEFT JOIN e ON e.s = p.target"
+)
+def refused_follows(t):
+    """Whether an order may follow the second before it, the next key, or, as a speaker without a binding, any."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = t.orders
+    back = o.select(F.col("o_orderkey").alias("speaker"), F.lag("o_orderkey", 2).over(by).alias("target")).where("target IS NOT NULL")
+    other = o.select(F.col("o_orderkey").alias("speaker"), (F.col("o_orderkey") + 1).alias("target"))
+    absent = o.select(F.lit(-1).cast("long").alias("speaker"), F.col("o_orderkey").alias("target"))
+    return graph.would_cycle(chained(t), back.unionByName(other).unionByName(absent))
+
+
 @query("SELECT s_suppkey, CASE WHEN n < 1296 THEN 'Z0000' || (s_suppkey % 4) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n // 36)::INT + 1, 1) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (n % 36)::INT + 1, 1) END AS name FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY s_suppkey) AS n FROM supplier)")
 def unique_names(t):
     """Free suffixes where 00 is taken."""

@@ -10,11 +10,11 @@ concentrated as with independent permutations.
 Sets at the similarity share the key of one of 25 bands of 5 coordinates in all but a share of cases that ``missed`` gives
 (0.85: 4 in 10 million; 0.8: 5 in 100,000). Texts with equal sets are one node. What shares a key is settled in two steps:
 
-* In each of a few rounds every node is compared with one other, the representative of a key (the node of least hash, by
-  another hash each round), of those the one with which it shares most keys. A family of near copies hangs together after
-  this, at the cost of each set written once a round, whatever its size.
-* Keys that still hold nodes of more than one component are compared by sketch, with a wide margin, and what the sketches
-  leave together is compared by sets, each node outside the largest component with all others.
+* Every node is compared with one other, the representative of a key (the node whose keys most others share), of those
+  the one with which it shares most keys. A family of near copies hangs together after this, at the cost of each set
+  written once, whatever its size. Nodes that are linked with one representative are a class.
+* Keys that hold nodes of more than one class are compared by sketch, with a wide margin, and what the sketches leave
+  together is compared by sets, each node outside the largest class with all others.
 
 Only counts of common shingles decide about a link; sketches only propose. All of a key's nodes are compared: there is no
 cap. Keys and proposals that very many nodes share are dealt over cells of bounded size.
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -38,10 +38,8 @@ from .simhash import _LOWER
 WORDS, PERCENT = 5, 85
 BANDS, BAND_ROWS = 25, 5
 BINS = BANDS * BAND_ROWS
-#: Rounds in which a node meets one representative.
-STAR_ROUNDS = 2
 #: Sketches, and shingles, that one side of a cell holds, on average; members that one copy of a representative meets.
-CELL, CELL_SHINGLES, STAR = 256, 1 << 18, 64
+CELL, CELL_SHINGLES, STAR = 256, 1 << 16, 64
 #: Nodes and keys that are looked up by broadcast; some 20 bytes each.
 BROADCAST_ROWS = 200_000
 _SEEDS = np.random.default_rng(13).integers(1, 1 << 62, 4 * BINS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,22 +235,24 @@ def _dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
     return dealt.withColumn("cell", F.when(F.col("parts") == 1, F.col(key)).otherwise(F.xxhash64(key, "_at.r", "_at.p"))).drop("_key", "top", "parts", "rest_parts", "_at")
 
 
-def _star_pairs(keyed: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """(rep, node): each node with the representative with which it shares most keys, if that is not linked with it yet."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("rep"))
-    if roots is None:
-        first = keyed.groupBy("key").agg(F.min(rank)["rep"].alias("rep"))
-        joined = keyed.join(written(first, "representatives"), "key").where("node <> rep")
-    else:
-        told = keyed.join(roots, "node")
-        some = F.struct(rank.alias("rank"), F.col("root").alias("rep_root"))
-        first = told.groupBy("key").agg(F.min(some).alias("least"), (F.min("root") != F.max("root")).alias("open")).where("open")
-        first = written(first.select("key", F.col("least.rank.rep").alias("rep"), "least.rep_root"), "representatives")
-        joined = told.join(first, "key").where("root <> rep_root")
-    shared = joined.groupBy("node", "rep").count()
+def _star_pairs(keyed: DataFrame) -> DataFrame:
+    """(rep, node): each node with the representative with which it shares most keys. ``keyed`` has node, key and the
+    count of nodes with that key; a node has as many rows as bands at most."""
+    scored = keyed.withColumn("score", F.sum("count").over(Window.partitionBy("node")))
+    rank = F.struct((-F.col("score")).alias("s"), F.xxhash64("node").alias("h"), F.col("node").alias("rep"))
+    first = written(scored.groupBy("key").agg(F.min(rank)["rep"].alias("rep")), "representatives")
+    shared = keyed.select("node", "key").join(first, "key").where("node <> rep").groupBy("node", "rep").count()
     return shared.groupBy("node").agg(F.max(F.struct("count", "rep"))["rep"].alias("rep"))
 
 
+def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root: nodes linked with one representative have it as root, as has the representative itself."""
+    reps = links.select(F.col("a").alias("_node"), F.col("a").alias("_root")).distinct()
+    others = links.select(F.col("b").alias("_node"), F.col("a").alias("_root")).join(reps.select("_node"), "_node", "left_anti")
+    told = reps.unionByName(others)
+    return durable(nodes.join(told, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("_root", "node").alias("root")))
+
+
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the pairs whose sets are alike. A representative's set is copied once for STAR members or so; each
     member's set is written once."""
@@ -294,29 +294,20 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return written(map_batches(again.select("node", "text"), work, "node long, shingles array<long>"), "shingle-sets")
 
 
-def _roots(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and root of each of ``nodes``."""
-    found = connected_components(links).withColumnRenamed("node", "_node")
-    return durable(nodes.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root")))
-
-
 def minhash_links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between nodes of ``rows`` (see signatures) that connect what all pairs of similar sets connect."""
     distinct = durable(rows.where("size > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))))
     keyed = distinct.select("node", F.explode("bands").alias("key"))
     # cut from its aggregation, so that Spark can split a hot key in the join
-    shared = written(keyed.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
+    shared = written(keyed.groupBy("key").count().where("count > 1"), "shared-bands")
     keyed = written(keyed.join(broadcast_if_few(shared, BROADCAST_ROWS), "key"), "keyed-nodes")
     nodes = durable(keyed.select("node").distinct())
     met = distinct.join(nodes, "node").select("node", "text_hash", "size", "sketch")
     sets = _fetch_sets(docs, written(met.select("node", "text_hash"), "wanted-sets"), words)
-    links = durable(_star_links(_star_pairs(keyed, None, 0), sets, percent))
-    for turn in range(1, STAR_ROUNDS):
-        more = _star_links(_star_pairs(keyed, _roots(links, nodes), turn), sets, percent)
-        links = durable(links.union(more))
-    roots = _roots(links, nodes)
+    links = durable(_star_links(_star_pairs(keyed), sets, percent))
+    roots = _classes(nodes, links)
     # what still shares a key: by sketch first, then by sets within what the sketches and the links leave together
-    open_keys = _dealt(keyed.join(roots, "node"), "key", F.lit(1), CELL).join(met.select("node", "sketch"), "node")
+    open_keys = _dealt(keyed.select("node", "key").join(roots, "node"), "key", F.lit(1), CELL).join(met.select("node", "sketch"), "node")
     nearby = written(_forest_links(open_keys.select("cell", "node", "root", "rest", "sketch"), _by_sketch, percent).union(links), "near-nodes")
     groups = connected_components(nearby).select("node", F.col("root").alias("near"))
     together = durable(met.join(roots, "node").join(groups, "node").select("node", "near", "root", "size", "sketch"))

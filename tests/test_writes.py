@@ -10,6 +10,31 @@ from voxloom.plans import pipelines, writes
 from voxloom.streaming import incremental
 
 
+def packed_plainly(lengths, size, budget):
+    out, number, held, total = [], 0, 0, 0
+    for n in lengths:
+        if held and (held >= size or total + n > budget):
+            number, held, total = number + 1, 0, 0
+        held, total = held + 1, total + n
+        out.append(number)
+    return out
+
+
+@pytest.mark.parametrize(("size", "budget", "parts"), [(8, 800, 9), (3, 40, 30), (1, 10, 5), (50, 300, 40), (4, 0, 7)])
+def test_packing_over_many_tasks_equals_one_walk(spark, size, budget, parts):
+    """One group that most partitions share, small groups beside it, and partitions shorter than an open batch."""
+    rng = random.Random(parts)
+    rows = [("m", i, rng.choice([0, 0, 3, 12, rng.randrange(900)])) for i in range(700)] + [(rng.choice(["a", "b", "c", None, "z"]), i, rng.choice([None, 5, 70])) for i in range(700, 900)]
+    jobs = spark.createDataFrame(rows, "voice string, id long, chars int").repartition(4)
+    got = {r.id: r.batch for r in aggregates.pack_batches(jobs, "voice", ["id"], size, budget, parts=parts).collect()}
+    want = {}
+    for voice in {r[0] for r in rows}:
+        mine = sorted((i, n or 0) for v, i, n in rows if v == voice)
+        want |= dict(zip([i for i, _ in mine], packed_plainly([n for _, n in mine], size, budget), strict=True))
+    assert got == want
+    assert aggregates.pack_batches(jobs.limit(0), "voice", ["id"]).count() == 0
+
+
 @pytest.mark.parametrize(("size", "budget"), [(8, 800), (3, 40), (1, 10)])
 def test_packing_by_length_equals_the_walk(spark, size, budget):
     rng = random.Random(size)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cuts import durable
 from ..functions.text import collapse
 from ..shipping import ship
 
@@ -119,32 +121,107 @@ def shared_by_members(rows: DataFrame, group: str, member: str, value: str) -> D
     return rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_distinct(member).alias("_n")).groupBy(group).agg(F.bool_or(F.col("_n") > 1).alias("shares"))
 
 
-def pack_batches(jobs: DataFrame, group: str, order: Sequence[str], size: int = 8, budget: int = 800, chars: str = "chars") -> DataFrame:
+def _exits(chars: np.ndarray, size: int, budget: int) -> list[tuple[int, int, int]]:
+    """(held, total, batches) at the end of a run of jobs if a batch begins at its first, second, ... job, for as many of
+    these as an open batch can reach: how full the last batch is, and how many began after the first."""
+    n = len(chars)
+    sums = np.concatenate(([0], np.cumsum(chars)))
+    # where the next batch begins: a batch has one job, and more while both bounds hold
+    fits = np.searchsorted(sums, sums[:-1] + budget, "right") - 1
+    then = np.maximum(np.arange(1, n + 1), np.minimum(np.arange(n) + size, fits))
+    last, batches = np.arange(n), np.zeros(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        if then[i] < n:
+            last[i], batches[i] = last[then[i]], batches[then[i]] + 1
+    return [(n - int(last[k]), int(sums[n] - sums[last[k]]), int(batches[k])) for k in range(min(size, n))]
+
+
+def _entries(runs: list, size: int, budget: int) -> dict[int, tuple]:
+    """For each partition that goes on with the group of the one before: (group, number, held, total) of the open batch.
+
+    ``runs``: what a partition's first and last group are like, in order; two rows a partition at most.
+    """
+    entries, now, part = {}, None, None
+    for run in runs:
+        goes_on = now is not None and run.first and run.part != part and now[0] == run.group
+        part = run.part
+        if not goes_on:
+            held, total, batches = run.exits[0]
+            now = (run.group, batches, held, total)
+            continue
+        entries[run.part] = now
+        _, number, held, total = now
+        for k, c in enumerate(run.heads):
+            if held >= size or total + c > budget:
+                held, total, batches = run.exits[k]
+                number += 1 + batches
+                break
+            held, total = held + 1, total + c
+        now = (run.group, number, held, total)
+    return entries
+
+
+def pack_batches(jobs: DataFrame, group: str, order: Sequence[str], size: int = 8, budget: int = 800, chars: str = "chars", parts: int | None = None) -> DataFrame:
     """``jobs`` with ``batch``, numbered from 0 within each group.
 
     In the given order a batch takes jobs until it has ``size`` of them or the next would exceed ``budget`` characters; a
-    longer job is a batch of its own. Whether a batch ends depends on all jobs before it in its group, so each group is
-    walked once, in order, by one task; rows stream through, sorted by Spark, and only the running totals are kept. For
-    many groups, such as conversations; jobs in order of length are packed by ``pack_by_length`` without such a walk.
+    longer job is a batch of its own. Jobs are dealt by range of (group, order) over ``parts`` partitions, so that a
+    group of any size is spread over tasks. How a partition ends depends on the jobs before it only by the open batch that
+    it goes on with, which ends within ``size`` jobs; so each partition tells how it would end for each place where the
+    first new batch can begin. These maps, two for each partition, are composed, which gives each partition the batch
+    that is open at its start, and a second pass numbers its jobs. Jobs that are equal in group and order stay together
+    and may be numbered in either order; a null number of characters counts as 0.
     """
-    schema = T.StructType([*jobs.schema.fields, T.StructField("batch", T.IntegerType())])
-    columns = [group, chars]
-
-    def walk(batches):
-        now, number, held, total = object(), 0, 0, 0
+    spark = jobs.sparkSession
+    ship(spark)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = jobs.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
+    dealt = durable(dealt)  # ranges are drawn by sample, so both passes must see the same ones
+    kind, columns = jobs.schema[group].dataType.simpleString(), jobs.columns
+
+    def summarise(batches):
+        part, runs = None, []  # of each run of one group: its name and its lengths; those between first and last are dropped
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            lengths = np.asarray(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            begins = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            for k, end in zip(begins, [*begins[1:], len(names)], strict=True):
+                part = batch.column(2)[0].as_py()
+                if runs and runs[-1][0] == names[k]:
+                    runs[-1][1].append(lengths[k:end])
+                else:
+                    runs = [*runs[:1], (names[k], [lengths[k:end]])]
+        rows = []
+        for k, (name, pieces) in enumerate(runs):
+            whole = np.concatenate(pieces)
+            rows.append({"part": part, "first": k == 0, "group": name, "heads": whole[:size].tolist(), "exits": [list(x) for x in _exits(whole, size, budget)]})
+        fields = [("part", pa.int32()), ("first", pa.bool_()), ("group", batch.schema.field(0).type), ("heads", pa.list_(pa.int64())), ("exits", pa.list_(pa.list_(pa.int64())))] if runs else None
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+    told = dealt.select(F.col(group), F.col(chars).cast("bigint"), "_part").mapInArrow(summarise, f"part int, first boolean, group {kind}, heads array<bigint>, exits array<array<bigint>>")
+    entries = _entries(sorted(told.collect(), key=lambda r: (r.part, not r.first)), size, budget)
+
+    def number(batches):
+        now, count, held, total = object(), 0, 0, 0
+        fresh = True
         for batch in batches:
             out = []
-            for g, n in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if fresh and batch.num_rows:
+                fresh = False
+                now, count, held, total = entries.get(batch.column("_part")[0].as_py(), (now, 0, 0, 0))
+            for g, n in zip(batch.column(group).to_pylist(), batch.column(chars).to_pylist(), strict=True):
+                n = n or 0
                 if g != now:
-                    now, number, held, total = g, 0, 0, 0
+                    now, count, held, total = g, 0, 0, 0
                 elif held >= size or (held and total + n > budget):
-                    number, held, total = number + 1, 0, 0
+                    count, held, total = count + 1, 0, 0
                 held, total = held + 1, total + n
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
+                out.append(count)
+            kept = batch.select(columns)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], [*kept.schema.names, "batch"])
 
-    ordered = jobs.repartition(group).sortWithinPartitions(group, *order)
-    return ordered.mapInArrow(walk, schema)
+    return dealt.mapInArrow(number, T.StructType([*jobs.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def _packed_lengths(groups: pd.DataFrame, group: str, size: int, budget: int) -> pd.DataFrame:

@@ -334,7 +334,7 @@ def test_streams(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = incremental.read_stream(spark, str(tmp_path / "in"), events, 1)
     incremental.append_new(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["event_id"]).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+    assert incremental.read_target(spark, str(tmp_path / "out"), events.schema).count() == events.select("event_id").distinct().count()
     query = incremental.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == events.count()

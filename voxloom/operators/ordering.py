@@ -33,6 +33,56 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int, most
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), most))
 
 
+def _bins(column: str, edges: list) -> Column:
+    """2 i for values between edge i - 1 and edge i, 2 i + 1 for edge i itself; a search tree of comparisons."""
+    c = F.col(column)
+
+    def search(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(2 * a)
+        m = (a + b) // 2
+        return F.when(c == F.lit(edges[m]), 2 * m + 1).when(c < F.lit(edges[m]), search(a, m)).otherwise(search(m + 1, b))
+
+    return search(0, len(edges))
+
+
+def deep_page(rows: DataFrame, keys: Sequence[tuple[str, bool]], offset: int, limit: int, most: int = 200, edges: int = 127, enough: int = 100_000) -> DataFrame:
+    """The page that ``page`` gives, at any depth. ``keys``: (column, whether ascending), unique as a whole;
+    nulls come first in ascending order and last in descending order, as Spark has it.
+
+    A page is found by counting: the first key's range is cut at ``edges`` values of a sample, rows are counted in each
+    bin, and only bins that the page overlaps are kept, with the offset less by what lies before. This goes on within
+    these bins, and with the next key where a bin is one value, until ``enough`` rows are left, and only those are sorted.
+    Each step is a scan with a count; no step sorts or shuffles the table. The limit is held as in ``page``.
+    """
+    offset, limit, keys = max(0, offset), min(max(1, limit), most), list(keys)
+    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
+    left = None
+    while keys and (left is None or left > enough):
+        column, up = keys[0]
+        sample = rows.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column, *(c for c, _ in keys[1:]))).limit(4 * edges)
+        found = [r[0] for r in sample.distinct().orderBy(column).collect()]
+        found = found[:: max(1, -(-len(found) // edges))]
+        bin_ = F.when(F.col(column).isNull(), -1).otherwise(_bins(column, found))
+        counts = {r["b"]: r["count"] for r in rows.groupBy(bin_.alias("b")).count().collect()}
+        total, kept, before = 0, [], 0  # nulls are the least value: first upwards, last downwards
+        for b in sorted(counts, reverse=not up):
+            if total + counts[b] > offset and total < offset + limit:
+                before = total if not kept else before
+                kept.append(b)
+            total += counts[b]
+        if not kept:
+            return rows.limit(0)
+        rows, offset = rows.where(bin_.isin(kept)), offset - before
+        now = sum(counts[b] for b in kept)
+        if len(kept) == 1 and (kept[0] == -1 or kept[0] % 2):
+            keys.pop(0)  # one value: the next key decides
+        elif now == left:
+            break  # a sample that tells nothing apart
+        left = now
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
 def key_page(rows: DataFrame, key: str, after: int, limit: int, keep: Column | None = None) -> DataFrame:
     """The next rows by key after a cursor. The filter comes before the limit, so a short page is the last."""
     beyond = rows.where(F.col(key) > after)

@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..cuts import durable
 
 
 def _same(a: str, b: str, on: Sequence[str]) -> Column:
@@ -52,12 +55,65 @@ def upsert(table: DataFrame, rows: DataFrame, on: Sequence[str], guard: Column |
     return table.join(rows.select(*on), list(on), "left_anti").unionByName(rows.select(*table.columns))
 
 
-def insert_new(table: DataFrame, rows: DataFrame, on: Mapping[str, Column] | Sequence[str]) -> DataFrame:
-    """The rows whose keys (columns or expressions) the table lacks, each key once."""
+def insert_new(table: DataFrame, rows: DataFrame, on: Mapping[str, Column] | Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The rows whose keys (columns or expressions) the table lacks, each key once: of rows with equal keys
+    the first by ``order`` and then by all columns; null keys equal null."""
+    return _offered(table, rows, on, order).where("NOT _there AND NOT _again").select(*rows.columns)
+
+
+def _offered(table: DataFrame, rows: DataFrame, on: Mapping[str, Column] | Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with _there (the table has its key) and _again (an earlier row of the batch has it).
+
+    Keys are counted before the table meets them, and all rows of a key but the least need no more than a comparison, so
+    that a key with very many rows is never gathered.
+    """
     keys = on if isinstance(on, Mapping) else {k: F.col(k) for k in on}
-    staged = rows.select("*", *(v.alias(f"_{k}") for k, v in keys.items())).dropDuplicates([f"_{k}" for k in keys])
-    there = table.select(*(v.alias(f"_{k}") for k, v in keys.items()))
-    return staged.join(there, [f"_{k}" for k in keys], "left_anti").select(*rows.columns)
+    named = [f"_k_{k}" for k in keys]
+    staged = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", *(v.alias(n) for n, v in zip(named, keys.values(), strict=True)))
+    staged = durable(staged)  # numbers of rows must not change between the two uses
+    rank = F.struct(*order, *(c for c in rows.columns if c not in order and not c.startswith("_k_") and _orderable(rows.schema[c].dataType)), "_row")
+    first = durable(staged.groupBy(*named).agg(F.min(rank)["_row"].alias("_first")))
+    there = table.select(*(v.alias(n) for n, v in zip(named, keys.values(), strict=True))).distinct().withColumn("_known", F.lit(True))
+    told = first.alias("a").join(there.alias("b"), _same("a", "b", named), "left").select("_first", F.coalesce("_known", F.lit(False)).alias("_new_there"), *(F.col(f"a.{n}").alias(n) for n in named))
+    marked = staged.alias("a").join(told.alias("b"), _same("a", "b", named))
+    return marked.select(*(F.col(f"a.{c}").alias(c) for c in rows.columns), F.col("_new_there").alias("_there"), (F.col("a._row") != F.col("_first")).alias("_again"))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def append_counted(table: DataFrame, rows: DataFrame, on: Mapping[str, Column] | Sequence[str], path: str, order: Sequence[str] = ()) -> dict[str, int]:
+    """Append what insert_new keeps to the Parquet table at ``path``; how many rows were offered, added,
+    there already and repeated in the batch. The counts are taken while the rows are written, without a second scan."""
+    seen = Observation("append")
+    marked = _offered(table, rows, on, order)
+    watched = marked.observe(
+        seen, F.count(F.lit(1)).alias("offered"), F.count_if(~F.col("_there") & ~F.col("_again")).alias("added"), F.count_if("_there").alias("there"), F.count_if(~F.col("_there") & F.col("_again")).alias("repeated")
+    )
+    watched.where("NOT _there AND NOT _again").select(*rows.columns).write.mode("append").parquet(path)
+    return seen.get
+
+
+def number_rows(rows: DataFrame, order: Sequence[str], column: str = "id", after: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """``rows`` with gapless numbers in ``order``, from 1 or from the largest ``column`` of ``after`` on.
+
+    Rows are dealt by range and kept, so that a task that runs again numbers alike; ranges are counted and a row's number
+    is the rows of the ranges before and its place within its own. No task sees more than a range, and the driver one
+    count for each range. Rows that are equal in ``order`` stand in either order. Null keys come first.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    start = 0 if after is None else after.agg(F.max(column)).first()[0] or 0
+    offsets, total = [], start
+    for part in sorted(counts):
+        offsets.append((part, total))
+        total += counts[part]
+    before = F.broadcast(spark.createDataFrame(offsets, "_p int, _before long"))
+    return placed.join(before, F.col("_part") == F.col("_p")).select((F.col("_before") + F.col("_at") + 1).alias(column), *(c for c in rows.columns if c != column))
 
 
 def cascade(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id", set_null: bool = False) -> DataFrame:

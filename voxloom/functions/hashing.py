@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import trim
 
@@ -95,9 +98,102 @@ def unsigned(c: Column, offset: int, size: int, big_endian: bool = False) -> Col
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def settings_hash(settings: Column) -> Column:
-    """SHA-256 of a struct as JSON with its fields in the order of their names."""
-    return F.sha2(F.to_json(settings), 256)
+def _in_order(c: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs, and the keys of its maps, in order at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(_in_order(c.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), _in_order(e["value"], kind.valueType).alias("value"))
+        pairs = F.transform(F.map_entries(c), entry)
+        return F.map_from_entries(F.array_sort(pairs, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return c
+
+
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """A struct, array or map of type ``kind`` as JSON without spaces, names in order at every depth, nulls written.
+
+    Numbers are written as Spark writes them; a null value is ``null``.
+    """
+    return F.coalesce(F.to_json(_in_order(c, kind), {"ignoreNullFields": "false"}), F.lit("null"))
+
+
+def canonical_text(c: Column) -> Column:
+    """JSON text in the same form, by way of a variant; numbers by value, so that 2.0 is 2. Null if it is no JSON."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def settings_hash(settings: Column, kind: T.DataType | None = None) -> Column:
+    """SHA-256 of a struct as JSON with its fields in the order of their names at every depth, nulls written.
+
+    With its type the JSON is that of canonical_json, else that of canonical_text.
+    """
+    told = canonical_json(settings, kind) if kind is not None else canonical_text(F.to_json(settings, {"ignoreNullFields": "false"}))
+    return F.sha2(told, 256)
+
+
+# ---- SipHash over 64-bit words
+
+#: The four constants of the published algorithm.
+_SIP = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+
+
+def siphash(words: Sequence[np.ndarray], keys: tuple[int, int] = (0, 0), rounds: tuple[int, int] = (1, 3)) -> np.ndarray:
+    """SipHash of messages of 64-bit words, one array for each word: rounds for each word and at the end, SipHash-1-3 by
+    default. All messages are hashed together."""
+    v = [np.full(len(words[0]) if words else 1, c ^ keys[i % 2], np.uint64) for i, c in enumerate(_SIP)]
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mix(times: int) -> None:
+        for _ in range(times):
+            v[0] = v[0] + v[1]
+            v[2] = v[2] + v[3]
+            v[1] = turn(v[1], 13) ^ v[0]
+            v[3] = turn(v[3], 16) ^ v[2]
+            v[0] = turn(v[0], 32)
+            v[2] = v[2] + v[1]
+            v[0] = v[0] + v[3]
+            v[1] = turn(v[1], 17) ^ v[2]
+            v[3] = turn(v[3], 21) ^ v[0]
+            v[2] = turn(v[2], 32)
+
+    for word in [*words, np.full(len(v[0]), (8 * len(words) & 0xFF) << 56, np.uint64)]:
+        v[3] = v[3] ^ word
+        mix(rounds[0])
+        v[0] = v[0] ^ word
+    v[2] = v[2] ^ np.uint64(0xFF)
+    mix(rounds[1])
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def _words(values: pd.Series) -> np.ndarray:
+    return values.to_numpy(np.int64).view(np.uint64)
+
+
+@F.pandas_udf(T.LongType())
+def sip_salt(ids: pd.Series) -> pd.Series:
+    """SipHash-1-3 of an array of ids, 0 for null; as a signed number of the same 64 bits."""
+    out = np.zeros(len(ids), np.int64)
+    lists = [np.asarray([] if x is None else x, np.int64) for x in ids]
+    lengths = np.array([len(x) for x in lists], np.int64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        held = np.stack([lists[i] for i in at]).view(np.uint64)
+        out[at] = np.broadcast_to(siphash([np.ascontiguousarray(held[:, k]) for k in range(n)]), len(at)).view(np.int64) if n else siphash([]).view(np.int64)[0]
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.IntegerType())
+def sip_index(speaker: pd.Series, project: pd.Series, salt: pd.Series, size: pd.Series) -> pd.Series:
+    """SipHash-1-3 of speaker, project and salt, modulo the size of a pool; null for an empty one."""
+    some = size.fillna(0).to_numpy(np.int64) > 0
+    out = pd.Series([None] * len(size), dtype="Int32")
+    if some.any():
+        held = siphash([_words(x[some].fillna(0)) for x in (speaker, project, salt)])
+        out[some] = (held % size[some].to_numpy(np.int64).astype(np.uint64)).astype(np.int32)
+    return out
 
 
 def merge_settings(names: Sequence[str], *layers: str) -> list[Column]:

@@ -76,7 +76,7 @@ def auto_bind(identities: DataFrame, samples: DataFrame, bindings: DataFrame) ->
 
 
 def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> DataFrame:
-    """A voice for each speaker without one: a member of the pool of its sex, race and category, else the
+    """A variation of ``assign_voices`` that prefers quality: a voice for each speaker without one: a member of the pool of its sex, race and category, else the
     best donor of its sex by category (4), race (2) and quality; sex 0 gets no donor. Explicit voices stay.
 
     Pools are a row for each (sex, race, category) with an ordered array ``members``. The best donor by quality, then by
@@ -98,6 +98,53 @@ def assign_pools(speakers: DataFrame, pools: DataFrame, donors: DataFrame) -> Da
     return joined.select("id", voice.alias("voice"), source.alias("source"))
 
 
+#: What a donor can have in common with a speaker, and what each is worth: more than all that follow together.
+LIKENESS = {"sex": 8, "category": 4, "race": 2, "class": 1}
+
+
+def best_donors(kinds: DataFrame, donors: DataFrame) -> DataFrame:
+    """For each kind (sex, category, race, class) the donor that has most in common with it, weighed by LIKENESS, of
+    equals the least id; with score.
+
+    The least donor is found once for each of the 16 sets of attributes that may agree. A kind takes the first set, in
+    the order of their weight, in which it finds one; so no kind is paired with all donors, and nothing is gathered.
+    """
+    names = list(LIKENESS)
+    finest = donors.groupBy(*names).agg(F.min("id").alias("id"))
+    sets = sorted(([n for k, n in enumerate(names) if bits >> k & 1] for bits in range(16)), key=lambda s: -sum(LIKENESS[n] for n in s))
+    found = kinds
+    for k, some in enumerate(sets):
+        if some:
+            found = found.join(finest.groupBy(*some).agg(F.min("id").alias(f"_d{k}")), some, "left")
+        else:
+            found = found.join(finest.agg(F.min("id").alias(f"_d{k}")), how="left")
+    score = F.coalesce(*(F.when(F.col(f"_d{k}").isNotNull(), sum(LIKENESS[n] for n in some)) for k, some in enumerate(sets)))
+    return found.select(*names, F.coalesce(*(f"_d{k}" for k in range(len(sets)))).alias("donor"), score.alias("score"))
+
+
+def assign_voices(speakers: DataFrame, profiles: DataFrame, pools: DataFrame, donors: DataFrame, project: int = 1, fallback: bool = True) -> DataFrame:
+    """Id, source, profile, donor and score of each of ``speakers`` (id, sex, race, category,
+    class, explicit).
+
+    A voice of the speaker's own stays (``override``). Else a member of the pool of profiles of its sex, race and category
+    (``profile``), else of the pool of donors (``pool``), each picked by hash, stable for speaker, project and pool; else,
+    with ``fallback``, the donor that has most in common with it (``fallback``); else ``none``. ``profiles`` and ``pools``
+    have a row for each (sex, race, category) with an array ``members``; an empty one counts as none.
+    """
+    keys = ["sex", "race", "category"]
+    salted = lambda t, name: t.where(F.size("members") > 0).select(*keys, F.col("members").alias(name), hashing.sip_salt("members").alias(f"{name}_salt"))
+    joined = speakers.join(salted(profiles, "_profiles"), keys, "left").join(salted(pools, "_pools"), keys, "left")
+    kinds = speakers.select(*LIKENESS).distinct()
+    joined = joined.join(best_donors(kinds, donors), list(LIKENESS), "left") if fallback else joined.withColumns({"donor": F.lit(None).cast("bigint"), "score": F.lit(None).cast("int")})
+    pick = lambda name: F.get(name, hashing.sip_index(F.col("id").cast("bigint"), F.lit(project).cast("bigint"), F.col(f"{name}_salt"), F.size(name)))
+    picked = joined.withColumns({"_profile": pick("_profiles"), "_pool": pick("_pools")})
+    source = F.when(F.col("explicit").isNotNull(), "override").when(F.col("_profile").isNotNull(), "profile").when(F.col("_pool").isNotNull(), "pool").when(F.col("donor").isNotNull(), "fallback").otherwise("none")
+    told = picked.withColumn("source", source)
+    is_ = lambda s: F.col("source") == s
+    donor = F.when(is_("pool"), F.col("_pool")).when(is_("fallback"), F.col("donor"))
+    return told.select("id", "source", F.when(is_("override"), F.col("explicit")).when(is_("profile"), F.col("_profile")).alias("profile"), donor.alias("donor"), F.when(is_("fallback"), F.col("score")).alias("score"))
+
+
 def plan_generation(jobs: DataFrame, size: int = 8, budget: int = 800) -> DataFrame:
     """Jobs (id, voice, text, settings) grouped by voice, deduplicated, in order of length, packed in batches."""
     unique = jobs.groupBy("voice", text.collapse(F.col("text")).alias("text"), "settings").agg(F.min("id").alias("id"), F.count("*").alias("jobs"))

@@ -315,6 +315,30 @@ def unique_names(t):
     return hashing.unique_names(lines, taken, "strref", ["s_suppkey"]).select("s_suppkey", "name")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey DESC, l_linenumber, l_partkey, l_suppkey LIMIT 150 OFFSET (SELECT count(*) * 2 // 3 FROM lineitem)")
+def page_in_the_deep(t):
+    """A page at two thirds of all lines, by day downwards and price upwards."""
+    keys = [("l_shipdate", False), ("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", True), ("l_partkey", True), ("l_suppkey", True)]
+    rows = t.lineitem.select(*(c for c, _ in keys))
+    return ordering.deep_page(rows, keys, rows.count() * 2 // 3, 150, enough=10_000).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY c_name) AS id, c_name AS name FROM customer")
+def numbers_that_go_on(t):
+    """New rows get gapless numbers from the largest there is, by name."""
+    old = t.part.select(F.col("p_partkey").alias("id"))
+    return state.number_rows(t.customer.select(F.col("c_name").alias("name")), ["name"], after=old)
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT * FROM (SELECT min(o_custkey + 7), 'order', max(o_totalprice) FROM orders WHERE (o_custkey + 7) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey + 7)")
+def added_once(t):
+    """A batch in which keys repeat, of which the dearest row is added if the table lacks the key."""
+    table = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    batch = t.orders.select((F.col("o_custkey") + 7).alias("id"), F.lit("order").alias("name"), F.col("o_totalprice").alias("balance"), (-F.col("o_totalprice")).alias("dear"))
+    fresh = state.insert_new(table.withColumn("dear", F.lit(0.0)), batch, ["id"], ["dear"])
+    return table.unionByName(fresh.drop("dear"))
+
+
 @query("SELECT lines, count(*) AS dialogues FROM (SELECT conv_id, count(*) AS lines FROM conversations GROUP BY 1) GROUP BY 1")
 def dialogue_sizes(t):
     """A14."""

@@ -51,6 +51,29 @@ def assigned_pools(t):
     return pipelines.assign_pools(speakers, pools, donors)
 
 
+@query(
+    "WITH s AS (SELECT c_custkey AS id, c_custkey % 3 AS sex, c_nationkey AS race, c_custkey % 5 AS category, c_custkey % 4 AS class, CASE WHEN c_custkey % 10 = 0 THEN -1 END AS explicit FROM customer), d AS (SELECT s_suppkey AS id, s_suppkey % 3 AS sex, s_nationkey AS race, s_suppkey % 7 AS category, s_suppkey % 4 AS class FROM supplier), "
+    "p AS (SELECT p_size % 3 AS sex, p_size % 25 AS race, p_size % 5 AS category, list(p_partkey) AS members FROM part WHERE p_size % 4 = 0 GROUP BY 1, 2, 3), o AS (SELECT sex, race, category, list(id) AS members FROM d WHERE id % 2 = 0 GROUP BY 1, 2, 3), "
+    "f AS (SELECT s.id, max((8 * (d.sex = s.sex)::INT + 4 * (d.category = s.category)::INT + 2 * (d.race = s.race)::INT + (d.class = s.class)::INT, -d.id)) AS best FROM s, d GROUP BY 1) "
+    "SELECT s.id, CASE WHEN explicit IS NOT NULL THEN 'override' WHEN p.members IS NOT NULL THEN 'profile' WHEN o.members IS NOT NULL THEN 'pool' ELSE 'fallback' END AS source, CASE WHEN explicit IS NULL AND p.members IS NULL AND o.members IS NULL THEN -best[2] END AS donor, CASE WHEN explicit IS NULL AND p.members IS NULL AND o.members IS NULL THEN best[1] END AS score, true AS member FROM s LEFT JOIN p USING (sex, race, category) LEFT JOIN o USING (sex, race, category) JOIN f ON f.id = s.id"
+)
+def assigned_voices(t):
+    """Explicit voices, pools of profiles, pools of donors, best donors; of a voice picked by hash, whether it
+    is a member of its pool."""
+    k = F.col("c_custkey")
+    speakers = t.customer.select(k.alias("id"), (k % 3).alias("sex"), F.col("c_nationkey").cast("bigint").alias("race"), (k % 5).alias("category"), (k % 4).alias("class"), F.when(k % 10 == 0, F.lit(-1).cast("bigint")).alias("explicit"))
+    d = F.col("s_suppkey")
+    donors = t.supplier.select(d.alias("id"), (d % 3).alias("sex"), F.col("s_nationkey").cast("bigint").alias("race"), (d % 7).alias("category"), (d % 4).alias("class"))
+    pools = donors.where("id % 2 = 0").groupBy("sex", "race", "category").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    size = F.col("p_size").cast("bigint")
+    profiles = t.part.where("p_size % 4 = 0").groupBy((size % 3).alias("sex"), (size % 25).alias("race"), (size % 5).alias("category")).agg(F.sort_array(F.collect_list("p_partkey")).alias("members"))
+    found = pipelines.assign_voices(speakers, profiles, pools, donors).join(speakers, "id")
+    keys = ["sex", "race", "category"]
+    told = found.join(profiles.withColumnRenamed("members", "_a"), keys, "left").join(pools.withColumnRenamed("members", "_b"), keys, "left")
+    member = F.when(F.col("source") == "profile", F.array_contains("_a", F.col("profile"))).when(F.col("source") == "pool", F.array_contains("_b", F.col("donor"))).otherwise(True)
+    return told.select("id", "source", F.when(F.col("source") == "fallback", F.col("donor")).alias("donor"), "score", member.alias("member"))
+
+
 @query("SELECT l_suppkey AS identity, arg_max(l_orderkey * 10 + l_linenumber, (l_tax < 0.03, l_returnflag = 'N', l_quantity, -(l_orderkey * 10 + l_linenumber))) AS id FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
 def best_samples(t):
     """W05, W06."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import aggregates, ordering, predicates, state
+from ..operators import aggregates, ordering, predicates, rules, state
 from . import pipelines
 from .registry import query
 
@@ -134,6 +134,29 @@ def spoken_rules(t):
     return t.documents.select("doc_id", F.sha2(F.coalesce(spoken, F.lit("")), 256).alias("spoken"), F.coalesce((F.length(spoken) - F.length("text")).cast("bigint"), F.lit(0)).alias("longer"))
 
 
+DICTIONARY = r"""rules AS (SELECT DISTINCT w AS find, 'q' || reverse(w) || 'qx' AS speak FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) WHERE w NOT LIKE 'q%'),
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pM\pN'']+|[^\pL\pM\pN'']+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\pL\pM\pN'']+|[^\pL\pM\pN'']+'), 1) AS i FROM documents)"""
+
+
+def dictionary(t):
+    """A rule for each word of four letters or more of the benchmark."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("find")).where("find NOT LIKE 'q%'").distinct()
+    return words.select(F.xxhash64("find").alias("id"), "find", F.concat(F.lit("q"), F.reverse("find"), F.lit("qx")).alias("speak_as"))
+
+
+@query(f"WITH {DICTIONARY} SELECT d.doc_id, coalesce(sha256(string_agg(coalesce(speak, tok), '' ORDER BY i)), sha256('')) AS spoken, count(DISTINCT find) AS n_rules FROM documents d LEFT JOIN tokens USING (doc_id) LEFT JOIN rules ON lower(tok) = find GROUP BY d.doc_id")
+def dictionary_spoken(t):
+    """A dictionary of many rules, as a table, over all documents."""
+    found = rules.apply_rule_table(t.documents.select("doc_id", "text"), "doc_id", "text", dictionary(t))
+    return found.select("doc_id", F.sha2(F.coalesce("spoken", F.lit("")), 256).alias("spoken"), F.size("applied").cast("bigint").alias("n_rules"))
+
+
+@query(f"WITH {DICTIONARY}, hits AS (SELECT lower(tok) AS find, count(DISTINCT doc_id) AS texts FROM tokens GROUP BY 1) SELECT find, coalesce(texts, 0) AS texts FROM rules LEFT JOIN hits USING (find)")
+def dictionary_hits(t):
+    """How many documents each rule of a dictionary matches."""
+    return rules.rule_counts(t.documents, "text", dictionary(t)).select("find", "texts")
+
+
 @query("SELECT b.doc_id FROM documents b JOIN labels l ON b.doc_id = l.doc_id WHERE l.quality = 0 AND b.doc_id > 20 ORDER BY b.doc_id LIMIT 50")
 def review_page(t):
     """Keyset page of marked rows; filtered before the limit."""

@@ -189,6 +189,21 @@ def preset_patches(t):
     return bindings.preset_patch(rows.withColumn("settings_hash", hashing.settings_hash(settings)), "calm").select("o_orderkey", "preset", "settings_hash")
 
 
+@query(
+    "SELECT o_orderkey, sha256('{\"Zeta\":[{\"a\":' || o_custkey || ',\"b\":null}],\"alpha\":{\"deep\":{\"x\":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'null' END || ',\"y\":\"' || o_orderpriority || '\"}},\"map\":{\"a\":' || o_orderkey || ',\"b\":null}}') AS settings_hash, true AS same FROM orders"
+)
+def canonical_settings(t):
+    """Nested settings in two orders of fields, with nulls, have one hash, and text that says the same has it too."""
+    part, key = F.struct(F.lit(None).cast("int").alias("b"), F.col("o_custkey").alias("a")), F.col("o_orderkey")
+    flag = F.when(key % 2 == 0, True).alias("x")
+    words = F.create_map(F.lit("b"), F.lit(None).cast("bigint"), F.lit("a"), key)
+    one = F.struct(words.alias("map"), F.struct(F.struct(F.col("o_orderpriority").alias("y"), flag).alias("deep")).alias("alpha"), F.array(part).alias("Zeta"))
+    two = F.struct(F.array(F.struct(F.col("o_custkey").alias("a"), F.lit(None).cast("int").alias("b"))).alias("Zeta"), F.struct(F.struct(flag, F.col("o_orderpriority").alias("y")).alias("deep")).alias("alpha"), words.alias("map"))
+    rows = t.orders.select("o_orderkey", one.alias("one"), two.alias("two"))
+    a, b = (hashing.settings_hash(F.col(c), rows.schema[c].dataType) for c in ("one", "two"))
+    return rows.select("o_orderkey", a.alias("settings_hash"), ((a == b) & (a == hashing.settings_hash(F.col("one")))).alias("same"))
+
+
 def resources(t):
     """Parts as an index of resources: brands by type."""
     codes = list(binary.TYPES)[:4]

@@ -187,7 +187,8 @@ def sip_salt(ids: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def sip_index(speaker: pd.Series, project: pd.Series, salt: pd.Series, size: pd.Series) -> pd.Series:
-    """SipHash-1-3 of speaker, project and salt, modulo the size of a pool; null for an empty one."""
+    """SipHash-1-3 of speaker, project and salt, modulo the size of a pool; null for an empty one. Give no nulls: pandas
+    would turn a batch that holds one into floating point, which loses the last bits of all."""
     some = size.fillna(0).to_numpy(np.int64) > 0
     out = pd.Series([None] * len(size), dtype="Int32")
     if some.any():

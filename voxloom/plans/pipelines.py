@@ -136,7 +136,8 @@ def assign_voices(speakers: DataFrame, profiles: DataFrame, pools: DataFrame, do
     joined = speakers.join(salted(profiles, "_profiles"), keys, "left").join(salted(pools, "_pools"), keys, "left")
     kinds = speakers.select(*LIKENESS).distinct()
     joined = joined.join(best_donors(kinds, donors), list(LIKENESS), "left") if fallback else joined.withColumns({"donor": F.lit(None).cast("bigint"), "score": F.lit(None).cast("int")})
-    pick = lambda name: F.get(name, hashing.sip_index(F.col("id").cast("bigint"), F.lit(project).cast("bigint"), F.col(f"{name}_salt"), F.size(name)))
+    # no nulls go to the hash: a batch that holds one would turn all its numbers into floating point
+    pick = lambda name: F.get(name, hashing.sip_index(F.coalesce(F.col("id").cast("bigint"), F.lit(0)), F.lit(project).cast("bigint"), F.coalesce(f"{name}_salt", F.lit(0)), F.when(F.col(name).isNull(), 0).otherwise(F.size(name))))
     picked = joined.withColumns({"_profile": pick("_profiles"), "_pool": pick("_pools")})
     source = F.when(F.col("explicit").isNotNull(), "override").when(F.col("_profile").isNotNull(), "profile").when(F.col("_pool").isNotNull(), "pool").when(F.col("donor").isNotNull(), "fallback").otherwise("none")
     told = picked.withColumn("source", source)

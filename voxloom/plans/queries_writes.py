@@ -103,12 +103,61 @@ def lost_references(t):
     return harvest_tables(t, True, True)[1]
 
 
+SETTLED = """WITH x AS (SELECT o_orderkey AS k, o_custkey AS speaker, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS strref, CASE WHEN o_orderkey % 11 > 0 THEN 's' || (o_orderkey % 3) END AS sound, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'approved' END AS decision, o_orderkey % 4 <> 1 AS filed FROM orders),
+old AS (SELECT *, k AS id FROM x WHERE k % 2 = 0), new AS (SELECT *, k + 1000000 AS id FROM x WHERE k % 3 > 0 AND speaker % 5 > 0 AND decision = 'approved' AND filed),
+ref AS (SELECT (speaker + k % 2) % 400 AS binding, k AS sample, max(k % 13) AS place FROM x WHERE k % 4 = 0 OR k % 4 = 3 GROUP BY 1, 2), b AS (SELECT c_custkey AS id, c_custkey AS speaker, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 2 END AS primary_, CASE c_custkey % 4 WHEN 0 THEN 'pending' ELSE 'ready' END AS status FROM customer),
+gone AS (SELECT * FROM old WHERE {whole} OR speaker % 5 > 0 AND speaker IN (SELECT speaker FROM x WHERE k % 3 > 0)),
+linked AS (SELECT binding, n.id AS sample, max(place) AS place FROM ref JOIN gone ON sample = gone.id JOIN (SELECT speaker, strref, sound, min(id) AS id FROM new GROUP BY ALL) n ON n.speaker = gone.speaker AND n.strref IS NOT DISTINCT FROM gone.strref AND n.sound IS NOT DISTINCT FROM gone.sound GROUP BY 1, 2),
+fresh AS (SELECT binding, sample, place FROM ref WHERE sample NOT IN (SELECT id FROM gone) UNION ALL SELECT binding, sample, place FROM linked),
+heads AS (SELECT binding, arg_min(sample, (place, sample)) AS head FROM fresh WHERE binding IN (SELECT binding FROM linked) GROUP BY 1)"""
+
+
+def settled(t, whole):
+    k = F.col("o_orderkey")
+    x = t.orders.select(
+        k.alias("id"), F.col("o_custkey").alias("speaker"), F.when(k % 5 > 0, k % 7).alias("strref"), F.when(k % 11 > 0, F.concat(F.lit("s"), (k % 3).cast("string"))).alias("sound"),
+        F.when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("decision"), F.when(k % 4 != 1, "file").alias("path"),
+    )
+    brought = x.where("id % 3 > 0 AND speaker % 5 > 0")
+    old, new = x.where("id % 2 = 0"), brought.withColumn("id", F.col("id") + 1_000_000)
+    references = x.where("id % 4 = 0 OR id % 4 = 3").groupBy(((F.col("speaker") + F.col("id") % 2) % 400).alias("binding"), F.col("id").alias("sample")).agg(F.max(F.col("id") % 13).alias("place"))
+    c = F.col("c_custkey")
+    made = t.customer.select(c.alias("id"), c.alias("speaker"), F.when(c % 3 > 0, c * 2).alias("primary"), F.when(c % 4 == 0, "pending").otherwise("ready").alias("status"))
+    clips = t.orders.select(k.alias("id"), (F.col("o_custkey") % 600).alias("binding"), F.lit("done").alias("status"), F.col("o_orderpriority").alias("fingerprint"))
+    pools = t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("donor"))
+    return writes.settle_harvest(old, new, made, references, clips, pools, brought.select("speaker"), whole)
+
+
+@query(SETTLED.replace("{whole}", "true") + " SELECT binding, sample, place FROM fresh")
+def linked_references(t):
+    """References after a full harvest, linked anew by speaker, string and sound."""
+    return settled(t, True)["reference"].select("binding", "sample", "place")
+
+
+@query(SETTLED.replace("{whole}", "true") + " SELECT b.id, CASE WHEN head IS NOT NULL THEN head WHEN primary_ NOT IN (SELECT id FROM gone) THEN primary_ END AS head, CASE WHEN head IS NOT NULL OR coalesce(primary_ IN (SELECT id FROM gone), false) THEN 'pending' ELSE status END AS status FROM b LEFT JOIN heads ON b.id = heads.binding")
+def pending_bindings(t):
+    """Bindings after a full harvest."""
+    return settled(t, True)["binding"].select("id", F.col("primary").alias("head"), "status")
+
+
+@query(SETTLED.replace("{whole}", "false") + ", f AS (SELECT b.*, head, status <> 'pending' AND speaker % 5 > 0 AND speaker IN (SELECT speaker FROM x WHERE k % 3 > 0) OR coalesce(primary_ IN (SELECT id FROM gone), false) AS falls FROM b LEFT JOIN heads ON b.id = heads.binding) SELECT id, CASE WHEN head IS NOT NULL THEN head WHEN NOT falls THEN primary_ END AS head, CASE WHEN head IS NOT NULL OR falls THEN 'pending' ELSE status END AS status FROM f")
+def pending_bindings_in_part(t):
+    """Bindings after a partial harvest."""
+    return settled(t, False)["binding"].select("id", F.col("primary").alias("head"), "status")
+
+
+@query(SETTLED.replace("{whole}", "false") + " SELECT o_orderkey AS id, CASE WHEN heads.binding IS NULL THEN 'done' ELSE 'pending' END AS status, CASE WHEN heads.binding IS NULL THEN o_orderpriority END AS fingerprint FROM orders LEFT JOIN heads ON o_custkey % 600 = heads.binding")
+def pending_generations(t):
+    """Clips whose binding a partial harvest linked anew."""
+    return settled(t, False)["generation"].select("id", "status", "fingerprint")
+
+
 @query("SELECT c_custkey AS id, c_name AS manifest FROM customer UNION ALL SELECT max(c_custkey) + 1, '{\"lines\":' || (SELECT count(*) FROM orders) || '}' FROM customer")
 def recorded_export(t):
     """An audit table with one row more."""
     exports = t.customer.select(F.col("c_custkey").alias("id"), F.lit(1).alias("project_id"), F.lit(2).alias("fingerprint_id"), F.col("c_name").alias("manifest"), F.lit("pack").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    n = t.orders.count()
-    return writes.record_export(exports, 1, 2, F.to_json(F.struct(F.lit(n).alias("lines"))), "pack", F.lit("2024-01-02").cast("timestamp")).select("id", "manifest")
+    n = t.orders.agg(F.count("*").alias("n")).scalar()  # a subquery: nothing runs while the plan is made
+    return writes.record_export(exports, 1, 2, F.to_json(F.struct(n.alias("lines"))), "pack", F.lit("2024-01-02").cast("timestamp")).select("id", "manifest")
 
 
 @query("WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END AS find, CASE WHEN s_suppkey % 3 = 0 THEN 'tag' ELSE 'word' END AS kind, s_suppkey % 5 <> 0 AS enabled, s_suppkey % 4 = 0 AS own FROM supplier JOIN nation ON s_nationkey = n_nationkey), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lower(find), kind ORDER BY own DESC, id) = 1) SELECT id, find, kind, row_number() OVER (ORDER BY length(find) DESC, id)::INT AS place FROM k WHERE enabled")

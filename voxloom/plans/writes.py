@@ -72,6 +72,43 @@ def persist_harvest(samples: DataFrame, harvested: DataFrame, speakers: DataFram
     return kept, lost.select("binding").distinct()
 
 
+def settle_harvest(
+    before: DataFrame, after: DataFrame, bindings: DataFrame, references: DataFrame, generations: DataFrame, pools: DataFrame, speakers: DataFrame, authoritative: bool
+) -> dict[str, DataFrame]:
+    """The tables reference, binding, generation and pool as a harvest leaves them, when samples have new ids.
+
+    ``before`` and ``after`` (id, speaker, strref, sound, decision, path) are the samples, ``speakers`` (speaker) those that
+    the harvest brought; a full one (``authoritative``) counts for all. ``references`` (binding, sample, place) to samples
+    that went are linked anew to the least approved sample with a file of the same speaker, string and sound, null equal
+    to null, or go with them. ``bindings`` (id, speaker, primary, status) that are linked anew get the first of their
+    references as primary and are pending, as are all their ``generations`` (id, binding, status, fingerprint), which lose
+    their fingerprint. Others that were not pending lose their primary and become pending if it went, or, in a partial
+    harvest, if they belong to a speaker that it brought. A full harvest clears ``pools``.
+    """
+    gone = before.select(F.col("id").alias("_id"), "speaker", "strref", "sound")
+    if not authoritative:
+        gone = gone.join(speakers.select("speaker").distinct(), "speaker", "left_semi")
+    usable = after.where("decision = 'approved' AND path IS NOT NULL").groupBy("speaker", "strref", "sound").agg(F.min("id").alias("_fresh"))
+    touched = references.join(gone, F.col("sample") == F.col("_id"))
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    linked = touched.alias("a").join(usable.alias("b"), same("speaker") & same("strref") & same("sound"))
+    linked = linked.groupBy("binding", F.col("_fresh").alias("sample")).agg(F.max("place").alias("place"))
+    kept = references.join(gone, F.col("sample") == F.col("_id"), "left_anti").select("binding", "sample", "place")
+    fresh = kept.unionByName(linked)
+    first = fresh.join(linked.select("binding").distinct(), "binding", "left_semi").groupBy(F.col("binding").alias("_b")).agg(F.min(F.struct("place", "sample"))["sample"].alias("_first"))
+    lost = gone.select(F.col("_id").alias("_p"), F.lit(True).alias("_lost")).distinct()
+    brought = speakers.select(F.col("speaker").alias("_s"), F.lit(not authoritative).alias("_brought")).distinct()
+    told = bindings.join(first, F.col("id") == F.col("_b"), "left").join(lost, F.col("primary") == F.col("_p"), "left").join(brought, F.col("speaker") == F.col("_s"), "left")
+    linked_anew, lost_it = F.col("_b").isNotNull(), F.coalesce("_lost", F.lit(False))
+    falls = lost_it | (F.coalesce("_brought", F.lit(False)) & (F.col("status") != "pending"))
+    primary = F.when(linked_anew, F.col("_first")).when(~falls, F.col("primary"))
+    status = F.when(linked_anew | falls, "pending").otherwise(F.col("status"))
+    settled = told.select("id", "speaker", primary.alias("primary"), status.alias("status"))
+    again = generations.join(first.select("_b"), F.col("binding") == F.col("_b"), "left")
+    made = again.select("id", "binding", F.when(F.col("_b").isNotNull(), "pending").otherwise(F.col("status")).alias("status"), F.when(F.col("_b").isNull(), F.col("fingerprint")).alias("fingerprint"))
+    return {"reference": fresh, "binding": settled, "generation": made, "pool": pools.limit(0) if authoritative else pools}
+
+
 def gap_fill_voiced(lines: DataFrame, groups: DataFrame, speakers: DataFrame) -> DataFrame:
     """voiced lines of the given speakers (speaker) whose audio may serve as a reference: of certain attribution, with
     a sound of the game's own, and not shared between voices."""

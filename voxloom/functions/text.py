@@ -251,7 +251,8 @@ def map_cues(c: Column, tags: Mapping[str, str] = CUE_TAGS) -> Column:
         return F.when(p.rlike(r"^\*[^*]*\*$"), cue).when(p.rlike(r"^\[[^\]]*\]$"), F.lit(" ")).otherwise(p)
 
     joined = F.array_join(F.transform(pieces, spoken), "")
-    return F.when(annotation_only(t), F.lit("")).otherwise(collapse(F.regexp_replace(joined, "(?U)\\s*\u0001", "")))
+    mapped = collapse(F.regexp_replace(joined, "(?U)\\s*\u0001", ""))
+    return F.when(annotation_only(t), F.lit("")).when(~t.rlike("[*\\[\u0001]"), collapse(t)).otherwise(mapped)
 
 
 def strip_cues(c: Column) -> Column:
@@ -331,9 +332,15 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda w: w != "")
 
 
+#: What a spelling that unfriendly_token finds holds in any case: three of one letter, ``ssz``, a syllable three times, six
+#: consonants, or three parts that begin alike.
+_SUSPECT = r"([a-z])\1\1|ssz|(ha|he|ho|ah|wa)\2\2|[a-z&&[^aeiouy]]{6}|([^\s-])[^\s-]*-+\3[^\s-]*-+\3"
+
+
 def unfriendly_spelling(c: Column) -> Column:
-    """T29."""
-    return F.exists(words_of(c), unfriendly_token)
+    """T29. One pass over the text finds the words that hold a suspect run; only these are judged."""
+    words = F.regexp_extract_all(ascii_lower(collapse(c)), F.lit(rf"(?<![^ ])(?=[^ ]*?(?:{_SUSPECT}))[^ ]+"), F.lit(0))
+    return F.exists(words, unfriendly_token)
 
 
 def spoken_words(c: Column) -> Column:
@@ -349,7 +356,7 @@ def same_words(source: Column, other: Column) -> Column:
     return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda p, q: (p == q) | (unfriendly_token(p) & ~unfriendly_token(q))), lambda ok: ok)
 
 
-#: Options of command lines that don't belong in dialogue.
+# Options of command lines that don't belong in dialogue.
 COMMAND_MARKERS = ("--db", "--line", "--text", "--project", "--batch", "--limit", "--after")
 
 
@@ -369,7 +376,7 @@ def artifact_reason(c: Column, markers: Sequence[str] = COMMAND_MARKERS) -> Colu
 def audit_mask(source: Column, mapped: Column, tags: Mapping[str, str] = CUE_TAGS) -> Column:
     """The audit bits of a text and what the cue mapper makes of it."""
     bit = lambda on, name: F.when(_bool(on), F.lit(AUDIT_BITS[name])).otherwise(F.lit(0))
-    found, t = cues(source), trim(source)
+    found, t = F.when(source.contains("*"), cues(source)).otherwise(F.array().cast("array<string>")), trim(source)
     open_star = unterminated_asterisk(t)
     risky = F.exists(found, lambda x: cue_risk(x, tags))
     flags = [

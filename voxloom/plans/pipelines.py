@@ -14,7 +14,8 @@ from ..operators import aggregates, ranking
 def corpus_audit(lines: DataFrame, ident: str, key: str, column: str = "text") -> DataFrame:
     """One row for each distinct trimmed text: its least id and key, count, hash, mapped text, audit mask and flags."""
     unique = aggregates.unique_texts(lines, ident, key, column)
-    mapped = unique.withColumn("mapped", text.map_cues(F.col("text")))
+    # a generator hands its result on as it is; a projection would be merged into all expressions that use it
+    mapped = unique.select("*", F.explode(F.array(text.map_cues(F.col("text")))).alias("mapped"))
     audited = mapped.withColumn("mask", text.audit_mask(F.col("text"), F.col("mapped")))
     return audited.withColumn("text_hash", hashing.text_hash(F.col("text"))).withColumn("flags", text.mask_labels(F.col("mask"), text.AUDIT_BITS)).withColumn("attention", text.needs_attention(F.col("mask")))
 

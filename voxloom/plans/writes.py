@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import predicates, ranking, state
@@ -128,8 +128,8 @@ def enabled_rules(user: DataFrame, defaults: DataFrame) -> DataFrame:
     """The rules (id, find, kind, speak_as, enabled) in force: a user's rule shadows the default with its find (in any
     case) and kind, even if it is off; enabled ones with their place, the longest first."""
     keyed = ranking.first_source([t.withColumn("_find", F.lower("find")) for t in (user, defaults)], ["_find", "kind"], [F.col("id")])
-    order = Window.partitionBy(F.lit(0)).orderBy(F.length("find").desc(), "id")  # rules are a list that people write
-    return keyed.where("enabled").drop("_find").withColumn("place", F.row_number().over(order))
+    sized = keyed.where("enabled").drop("_find").withColumn("_shorter", -F.length("find"))
+    return state.number_rows(sized, ["_shorter", "id"], "place").drop("_shorter").withColumn("place", F.col("place").cast("int"))
 
 
 def export_rules(rules: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def references(samples: DataFrame, binding: str = "binding") -> DataFrame:
 def follow(bindings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Bindings where each (speaker, target) follows, but for pairs that would go round or lack a bound target.
 
-    Pairs of one call are judged with all of them in force; of pairs of one speaker the least target counts.
+    Pairs of one call are judged together (see graph.closes_ring); of pairs of one speaker the least target counts.
     """
     once = pairs.groupBy("speaker").agg(F.min("target").alias("target"))
     fine = graph.closes_ring(bindings, once).where("NOT cycle").select("speaker", "target")

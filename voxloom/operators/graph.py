@@ -167,14 +167,25 @@ def would_cycle(bindings: DataFrame, pairs: DataFrame, most: int = MOST_HOPS) ->
 
 
 def closes_ring(bindings: DataFrame, pairs: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """(speaker, target, cycle) of pairs that are to be followed together: cycle where, with all of them in force, the
-    target's chain goes round or is longer than ``most`` hops. What passes stays sound when the others are left out, as
-    the chain of a pair that passes holds only pairs that pass."""
-    fresh = pairs.select("speaker", F.lit("follow").alias("source"), F.col("target").alias("follows"))
-    old = bindings.select("speaker", "source", "follows").join(fresh.select("speaker"), "speaker", "left_anti")
-    told = _told(Chains(old.unionByName(fresh)), most).select(F.col("speaker").alias("_s"), "status")
-    bad = F.coalesce(F.col("status").isin("cycle", "depth"), F.lit(False)) | (F.col("speaker") == F.col("target"))
-    return pairs.select("speaker", "target").join(told, F.col("target") == F.col("_s"), "left").select("speaker", "target", bad.alias("cycle"))
+    """(speaker, target, cycle) of pairs that are to be followed together, one for each speaker.
+
+    With all of them in force, the pairs of speakers on a ring are refused, and the others are judged again without them,
+    until no pair is on a ring; then those are refused whose target's chain goes round all the same or is longer than
+    ``most`` hops. So several pairs never close a ring, and a pair that only led into one is kept.
+    """
+    left = durable(pairs.select("speaker", "target"))
+    while True:
+        fresh = left.select("speaker", F.lit("follow").alias("source"), F.col("target").alias("follows"))
+        old = bindings.select("speaker", "source", "follows").join(fresh.select("speaker"), "speaker", "left_anti")
+        told = _told(Chains(old.unionByName(fresh)), most)
+        on_ring = told.where("kind = 'ring' AND hops = 0").select("speaker")
+        kept = durable(left.join(on_ring, "speaker", "left_anti"))
+        if kept.count() == left.count():
+            break
+        left = kept
+    unsound = told.where("status IN ('cycle', 'depth')").select(F.col("speaker").alias("target"))
+    fine = left.join(unsound, "target", "left_anti").select(F.col("speaker").alias("_s"), F.col("target").alias("_t"))
+    return pairs.select("speaker", "target").join(fine, (F.col("speaker") == F.col("_s")) & (F.col("target") == F.col("_t")), "left").select("speaker", "target", F.col("_s").isNull().alias("cycle"))
 
 
 def voice_changed(snapshot_profile: Column, snapshot_sample: Column, profile: Column, sample: Column, ready: Column, fingerprint: Column) -> Column:

@@ -36,9 +36,11 @@ def _key(find: Column) -> Column:
 
 
 def whole_words(find: Column) -> Column:
-    """The pattern of a rule, as functions.text.whole_word has it for a constant."""
+    """A pattern that matches what functions.text.whole_word does for a constant. The word itself comes first, so that
+    what is before and after is only looked at where it stands."""
     quoted = F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit(r"(?iu)(?<![\p{IsAlphabetic}\p{N}'])"), quoted, F.lit(r"(?![\p{IsAlphabetic}\p{N}'])"))
+    letter = r"[\p{IsAlphabetic}\p{N}']"
+    return F.concat(F.lit("(?iu)"), quoted, F.lit(f"(?!{letter})(?<!{letter}"), quoted, F.lit(")"))
 
 
 def _few(df: DataFrame, most: int) -> DataFrame:
@@ -81,10 +83,15 @@ def apply_rule_table(rows: DataFrame, ident: str, column: str, rules: DataFrame)
     called = durable(asked.groupBy("_id").agg(F.sort_array(F.collect_set("rule")).alias("_rules")))
     found = rows.join(_few(called, BROADCAST_TEXTS), F.col(ident).eqNullSafe(F.col("_id")), "left").drop("_id")
     start = F.struct(F.col(column).alias("text"), F.array().cast(f"array<{rules.schema['id'].dataType.simpleString()}>").alias("applied"))
-    step = lambda now, r: F.struct(
-        F.regexp_replace(now["text"], r["pattern"], r["put"]).alias("text"),
-        F.when(F.coalesce(F.regexp_like(now["text"], r["pattern"]), F.lit(False)), F.array_append(now["applied"], r["id"])).otherwise(now["applied"]).alias("applied"),
-    )
+
+    def step(now: Column, r: Column) -> Column:
+        """The text after a rule, which has matched if it changed the text, or else if it is found there."""
+        told = F.transform(F.array(F.regexp_replace(now["text"], r["pattern"], r["put"])), lambda after: F.struct(
+            after.alias("text"),
+            F.when(F.coalesce((after != now["text"]) | F.regexp_like(now["text"], r["pattern"]), F.lit(False)), F.array_append(now["applied"], r["id"])).otherwise(now["applied"]).alias("applied"),
+        ))
+        return F.get(told, 0)
+
     folded = F.when(F.col("_rules").isNull(), start).otherwise(F.aggregate("_rules", start, step))
     return found.withColumn("_done", folded).select(*rows.columns, F.col("_done.text").alias("spoken"), F.col("_done.applied").alias("applied"))
 

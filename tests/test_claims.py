@@ -194,3 +194,38 @@ def test_sessions_end_after_a_gap(spark, zone):
         assert sorted((r.user_id, r.n) for r in incremental.sessions(events).collect()) == [(1, 1), (1, 3), (2, 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+# ---- larger tables
+
+
+def oracle(spark, name, tables):
+    """Rows of a query, and of its SQL, over tables given as frames."""
+    import tempfile
+
+    import duckdb
+
+    import __spark_entry__
+
+    folder, engine = tempfile.mkdtemp(prefix="run-", dir="/tmp"), duckdb.connect()
+    for table, frame in tables.items():
+        frame.write.parquet(f"{folder}/{table}.parquet")
+        engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = __spark_entry__.queries()[name](spark, folder)
+    want = engine.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=str), sorted(want, key=str)
+
+
+def suppliers(spark, keys):
+    return spark.createDataFrame([(k, f"Supplier#{k:09d}", k % 25) for k in keys], "s_suppkey long, s_name string, s_nationkey int")
+
+
+def test_companions_meet_one_line_of_each_sound(spark):
+    lines = spark.createDataFrame([("D1", "A", k) for k in range(3, 2003)] + [("d1", "a", None), ("D1", "B", None), ("d2", "a", 2), ("d2", " ", 1), ("d9", "a", 0)], "dialogue string, sound string, strref long")
+    companions = spark.createDataFrame([(f"d{d}", c) for c in range(40) for d in (1, 2) if d == 1 or c < 2] + [("D1", 0)], "dialogue string, creature long")
+    found = bindings.companion_sources(lines, companions)
+    assert rows(found.select("creature", "sound", "strref", "dialogue")) == sorted([(c, "a", 2 if c < 2 else 3, "d2" if c < 2 else "d1") for c in range(40)] + [(c, "b", None, "d1") for c in range(40)])
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    lines = spark.createDataFrame([(k, k % 100, ("1-URGENT", "5-LOW")[k % 2]) for k in range(1000)], "o_orderkey long, o_custkey long, o_orderpriority string")
+    got, want = oracle(spark, "companion_sources", {"orders": lines, "supplier": suppliers(spark, range(1, 120))})
+    assert got == want and len(got) == 119

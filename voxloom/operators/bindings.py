@@ -161,10 +161,21 @@ def suspicious_overrides(overrides: DataFrame, after: int, limit: int) -> DataFr
 
 
 def companion_sources(lines: DataFrame, companions: DataFrame) -> DataFrame:
-    """Voiced lines of companions' dialogues, each sound once for each creature, the lowest strref first."""
-    voiced = lines.where(F.coalesce(trim(F.col("sound")), F.lit("")) != "").withColumn("dialogue", F.lower("dialogue"))
-    found = voiced.join(companions.select(F.lower("dialogue").alias("dialogue"), "creature"), "dialogue").withColumn("sound", F.lower("sound"))
-    return ranking.top(found, ["creature", "sound"], [F.col("strref")])
+    """Voiced lines of companions' dialogues, each sound once for each creature, the lowest strref first.
+
+    A dialogue's lines are brought down to one for each sound before companions meet them, so the join makes a row for each
+    companion and sound, however many lines a dialogue has and companions share it. A null strref comes last.
+    """
+    voiced = lines.where(F.coalesce(trim(F.col("sound")), F.lit("")) != "").withColumns({"dialogue": F.lower("dialogue"), "sound": F.lower("sound")})
+    found = _lowest(voiced, ["dialogue", "sound"]).join(companions.select(F.lower("dialogue").alias("dialogue"), "creature").distinct(), "dialogue")
+    return _lowest(found, ["creature", "sound"])
+
+
+def _lowest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the lowest strref of each key, aggregated before the shuffle."""
+    by = F.struct(F.col("strref").isNull().alias("none"), "strref")
+    further = [F.min_by(c, by).alias(c) for c in rows.columns if c not in keys and c != "strref"]
+    return rows.groupBy(*keys).agg(F.min("strref").alias("strref"), *further).select(rows.columns)
 
 
 def preset_patch(settings: DataFrame, preset: str) -> DataFrame:

@@ -229,3 +229,9 @@ def test_companions_meet_one_line_of_each_sound(spark):
     lines = spark.createDataFrame([(k, k % 100, ("1-URGENT", "5-LOW")[k % 2]) for k in range(1000)], "o_orderkey long, o_custkey long, o_orderpriority string")
     got, want = oracle(spark, "companion_sources", {"orders": lines, "supplier": suppliers(spark, range(1, 120))})
     assert got == want and len(got) == 119
+
+
+def test_names_of_large_keys(spark):
+    keys = [0, 1, 35, 36, 1295, 1296, 1297, 46655, 46656, 60466175, 60466176, 60466177]
+    got, want = oracle(spark, "names_and_keys", {"supplier": suppliers(spark, keys)})
+    assert got == want and [r[3] for r in sorted(got)] == ["00000", "00001", "0000Z", "00010", "000ZZ", "00100", "00101", "00ZZZ", "01000", "ZZZZZ", "00000", "00001"]

@@ -67,7 +67,7 @@ def excerpts(t):
     return t.conversations.select("conv_id", "turn", text.excerpt(F.col("text"), 40).alias("excerpt"), text.search_form(F.col("text")).alias("search_form"))
 
 
-@query(r"SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) AS stem, CASE WHEN s_nationkey = 0 THEN 'ungrouped:' || s_suppkey ELSE s_nationkey || ':' || (s_suppkey % 3) END AS identity, right(lpad(upper(CASE WHEN s_suppkey < 36 THEN substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', s_suppkey::INT + 1, 1) ELSE substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey // 36)::INT + 1, 1) || substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (s_suppkey % 36)::INT + 1, 1) END), 5, '0'), 5) AS name FROM supplier")
+@query(r"SELECT s_suppkey, lower(regexp_replace(s_name, '[0-9]+$', '')) AS stem, CASE WHEN s_nationkey = 0 THEN 'ungrouped:' || s_suppkey ELSE s_nationkey || ':' || (s_suppkey % 3) END AS identity, array_to_string(list_transform([1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (greatest(s_suppkey, 0) // p % 36)::INT + 1, 1)), '') AS name FROM supplier")
 def names_and_keys(t):
     """T42, T46, H06."""
     return t.supplier.select("s_suppkey", text.stem(F.col("s_name")).alias("stem"), text.identity_key(F.when(F.col("s_nationkey") != 0, F.col("s_nationkey")), F.col("s_suppkey") % 3, F.col("s_suppkey")).alias("identity"), hashing.base36(F.col("s_suppkey"), 5).alias("name"))

@@ -235,3 +235,11 @@ def test_names_of_large_keys(spark):
     keys = [0, 1, 35, 36, 1295, 1296, 1297, 46655, 46656, 60466175, 60466176, 60466177]
     got, want = oracle(spark, "names_and_keys", {"supplier": suppliers(spark, keys)})
     assert got == want and [r[3] for r in sorted(got)] == ["00000", "00001", "0000Z", "00010", "000ZZ", "00100", "00101", "00ZZZ", "01000", "ZZZZZ", "00000", "00001"]
+
+
+def test_no_name_where_no_suffix_is_free(spark):
+    got, want = oracle(spark, "unique_names", {"supplier": suppliers(spark, range(1, 5300)), "nation": spark.createDataFrame([(k,) for k in range(25)], "n_nationkey int")})
+    assert got == want and sum(name is None for _, name in got) == 5299 - 4 * 1295
+    lines, none = spark.createDataFrame([(7, k) for k in range(1300)], "strref long, id long"), spark.createDataFrame([], "name string")
+    names = [r.name for r in hashing.unique_names(lines, none, order=["id"]).orderBy("id").collect()]
+    assert names[0] == "Z0000700" and names[1295] == "Z00007ZZ" and names[1296:] == [None] * 4

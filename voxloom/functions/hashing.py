@@ -34,8 +34,9 @@ def stable_index(n: Column, *keys: Column) -> Column:
 
 
 def base36(c: Column, width: int) -> Column:
-    """Upper-case base 36, the last ``width`` digits."""
-    return F.right(F.lpad(F.conv(F.greatest(c.cast("bigint"), F.lit(0)).cast("string"), 10, 36), 13, "0"), F.lit(width))
+    """Upper-case base 36, the last ``width`` digits; negative numbers count as 0, null stays null."""
+    number = F.when(c.isNotNull(), F.greatest(c.cast("bigint"), F.lit(0)))
+    return F.right(F.lpad(F.conv(number.cast("string"), 10, 36), 13, "0"), F.lit(width))
 
 
 def is_generated_name(c: Column) -> Column:

@@ -20,6 +20,8 @@ from ..functions.text import ascii_lower
 from ..shipping import ship
 
 NONE = 0xFFFFFFFF
+#: Rows, and bytes of files, that are decoded before they go back to Spark as one batch: small files share one.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 # Resource type codes by file extension.
 TYPES = {"bmp": 0x001, "wav": 0x004, "dlg": 0x3F3, "2da": 0x3F4, "cre": 0x3F1, "ids": 0x3F0, "itm": 0x3ED, "spl": 0x3EE, "bcs": 0x3EF, "are": 0x3F2, "sto": 0x3F6}
 AUDIO = ("wav", "ogg", "acm")
@@ -47,7 +49,7 @@ def extension(code: Column) -> Column:
 
 
 def _decode(files: DataFrame, decode: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
-    """A row (path, *fields) for each record that ``decode`` finds in each file."""
+    """A row (path, *fields) for each record that ``decode`` finds in each file; files without a record give none."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -55,16 +57,27 @@ def _decode(files: DataFrame, decode: Callable[[bytes], Iterable[tuple]], schema
     spark_schema = _parse_datatype_string(f"path string, {schema}")
     target = to_arrow_schema(spark_schema)
 
+    def packed(paths, rows):
+        for i in range(0, len(rows), BATCH_ROWS):
+            columns = [paths[i : i + BATCH_ROWS], *zip(*rows[i : i + BATCH_ROWS], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
     def run(batches):
+        paths, rows, held = [], [], 0
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = content.as_py()
                 try:
-                    rows = [(path, *r) for r in decode(content.as_py())]
+                    found = list(decode(raw))
                 except (Rejected, struct.error):
                     continue
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), target, strict=True)], schema=target)
+                paths += [path] * len(found)
+                rows += found
+                held += len(raw)
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield from packed(paths, rows)
+                    paths, rows, held = [], [], 0
+        yield from packed(paths, rows)
 
     return files.select("path", "content").mapInArrow(run, spark_schema)
 
@@ -94,6 +107,13 @@ def _table(raw: bytes, offset: int, count: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(raw, dtype, count, offset)
 
 
+def _records(raw: bytes, offset: int, count: int, kind: struct.Struct) -> Iterable[tuple]:
+    """As _table, in plain numbers; for tables of a few records, where an array costs more than it saves."""
+    if offset + count * kind.size > len(raw):
+        raise Rejected("table exceeds the file")
+    return kind.iter_unpack(raw[offset : offset + count * kind.size])
+
+
 def _name(raw: bytes) -> str:
     """Up to the first NUL, trimmed, lower case."""
     return raw.split(b"\0")[0].decode("latin-1").strip().lower()
@@ -103,8 +123,8 @@ _KEY_ARCHIVE = np.dtype([("length", "<u4"), ("name_at", "<u4"), ("name_length",
 _KEY_RESOURCE = np.dtype([("name", "S8"), ("type", "<u2"), ("locator", "<u4")])
 _MEMBER = np.dtype([("locator", "<u4"), ("offset", "<u4"), ("size", "<u4"), ("type", "<u2"), ("unknown", "<u2")])
 _STRING = np.dtype([("flags", "<u2"), ("sound", "S8"), ("volume", "<u4"), ("pitch", "<u4"), ("offset", "<u4"), ("length", "<u4")])
-_STATE = np.dtype([("text", "<u4"), ("first", "<u4"), ("count", "<u4"), ("trigger", "<u4")])
-_TRANSITION = np.dtype([("flags", "<u4"), ("text", "<u4"), ("journal", "<u4"), ("trigger", "<u4"), ("action", "<u4"), ("next", "S8"), ("next_state", "<u4")])
+_STATE = struct.Struct("<4I")  # text, first, count, trigger
+_TRANSITION = struct.Struct("<5I8sI")  # flags, text, journal, trigger, action, next, next_state
 
 
 def decode_key(raw: bytes):
@@ -186,12 +206,11 @@ def scan_strings(files: DataFrame) -> DataFrame:
 def decode_dialogue(raw: bytes):
     _signature(raw, "DLG")
     n_states, states_at, n_transitions, transitions_at = struct.unpack_from("<4I", raw, 8)
-    some = lambda v: None if int(v) == NONE else int(v)
-    for i, s in enumerate(_table(raw, states_at, n_states, _STATE)):
-        yield "state", i, some(s["text"]), int(s["first"]), int(s["count"]), None, None, None, int(s["trigger"]) != NONE
-    for i, t in enumerate(_table(raw, transitions_at, n_transitions, _TRANSITION)):
-        flags, ends = int(t["flags"]), bool(int(t["flags"]) & 8)
-        yield "transition", i, int(t["text"]) if flags & 1 else None, None, None, flags, None if ends else _name(t["next"]) or None, None if ends else int(t["next_state"]), bool(flags & 2)
+    for i, (text, first, count, trigger) in enumerate(_records(raw, states_at, n_states, _STATE)):
+        yield "state", i, None if text == NONE else text, first, count, None, None, None, trigger != NONE
+    for i, (flags, text, _, _, _, following, state) in enumerate(_records(raw, transitions_at, n_transitions, _TRANSITION)):
+        ends = bool(flags & 8)
+        yield "transition", i, text if flags & 1 else None, None, None, flags, None if ends else _name(following) or None, None if ends else state, bool(flags & 2)
 
 
 def scan_dialogues(files: DataFrame) -> DataFrame:

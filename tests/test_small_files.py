@@ -2,6 +2,7 @@ import struct
 
 import pyarrow as pa
 
+import __spark_entry__
 from voxloom.sources import binary
 
 
@@ -33,3 +34,15 @@ def test_small_dialogues_share_a_batch(spark):
     found = binary.scan_dialogues(Decoded(spark, [("a", whole), ("b", cut)] * 300))
     rows = [("a", "state", 0, 5, 0, 1, None, None, None, False), ("a", "transition", 0, 7, None, None, 3, "d1", 2, True), ("a", "transition", 1, None, None, None, 8, None, None, False)]
     assert found.rows() == rows * 300 and len(found.made) == 1
+
+
+def test_creatures_are_dealt_and_share_a_batch(spark, tmp_path):
+    customers = spark.createDataFrame([(k, k % 25) for k in range(1, 2001)], "c_custkey long, c_nationkey int").coalesce(1)
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    found = __spark_entry__.queries()["creature_records"](spark, str(tmp_path))
+    assert "Exchange hashpartitioning(c_custkey" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.long_name_strref for r in found.select("long_name_strref").collect()) == list(range(1, 2001))
+    raw = bytearray(0x2D4)
+    raw[:8] = b"CRE V1.0"
+    made = Decoded(spark, [(f"c{k}", bytes(raw)) for k in range(500)])
+    assert len(binary.scan_creatures(made).rows()) == 500 and len(made.made) == 1

@@ -102,8 +102,9 @@ def dialogue_records(t):
     "CASE WHEN c_custkey % 2 = 0 THEN [c_custkey + 5, 9] ELSE [9] END AS sound_slots FROM customer"
 )
 def creature_records(t):
-    """A creature record for each customer."""
+    """A creature record for each customer; customers are dealt first, as a small table is read by a task or two."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
+    customers = t.customer.select(k, n).repartition(k)
     number = lambda v, w=4: encode.little(v, w)
     none = F.lit(binary.NONE)
     kit = F.unhex(F.lpad(F.hex(k * 65537 % 4294967296), 8, "0"))
@@ -116,7 +117,7 @@ def creature_records(t):
             (0x2CC, 8, encode.padded(F.when(n > 0, F.concat(F.lit("D"), n.cast("string"))).otherwise(""), 8)),
         ],
     )
-    found = binary.scan_creatures(_files(t.customer, F.concat(F.lit("c"), k.cast("string")), content))
+    found = binary.scan_creatures(_files(customers, F.concat(F.lit("c"), k.cast("string")), content))
     return found.select("path", "long_name_strref", "short_name_strref", "sex", "race", "class", "kit", "dialog_resref", "sound_slots")
 
 

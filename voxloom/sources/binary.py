@@ -224,7 +224,7 @@ def decode_creature(raw: bytes):
     if raw[4:8] != b"V1.0" or len(raw) < 0x2D4:
         raise Rejected("not a whole V1.0 creature")
     strref = lambda at: next((v for v in struct.unpack_from("<I", raw, at) if v != NONE), None)
-    slots = [v for v in struct.unpack_from("<100I", raw, 0xA4) if v not in (0, NONE)]
+    slots = [v for v in struct.unpack_from("<100I", raw, 0xA4) if v and v != NONE]
     byte = lambda at: raw[at]
     yield strref(8), strref(0xC), byte(0x237), byte(0x275), byte(0x271), byte(0x272), byte(0x273), byte(0x274), byte(0x270), byte(0x27B), struct.unpack_from(">I", raw, 0x244)[0], _name(raw[0x2CC:0x2D4]) or None, slots
 

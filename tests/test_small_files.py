@@ -25,6 +25,17 @@ class Decoded:
         return [tuple(r.values()) for b in self.made for r in b.to_pylist()]
 
 
+def test_small_tables_share_a_batch(spark):
+    files = [(f"p{k}", b"2DA V1.0\n**\nA B\n" + b"x 1\n" * (k % 3) if k % 7 else b"no") for k in range(1000)]
+    found = binary.scan_tables(Decoded(spark, files))
+    assert found.rows() == [(f"p{k}", i, "x", c, v) for k in range(1000) if k % 7 for i in range(k % 3) for c, v in (("A", "1"), ("B", "**"))]
+    assert len(found.made) == 1
+    large = binary.scan_tables(Decoded(spark, [("p", b"2DA V1.0\n**\nA B\n" + b"x 1 2\n" * 30_000)] * 2))
+    assert len(large.rows()) == 120_000 and max(b.num_rows for b in large.made) == binary.BATCH_ROWS
+    long = [("p", b"2DA V1.0\n**\nA\nx " + b"y" * binary.BATCH_BYTES)] * 3
+    assert len(binary.scan_tables(Decoded(spark, long)).made) == 3
+
+
 def test_small_dialogues_share_a_batch(spark):
     none = binary.NONE
     state, way = struct.pack("<4I", 5, 0, 1, none), struct.pack("<5I8sI", 3, 7, 0, none, none, b"D1\0x", 2)

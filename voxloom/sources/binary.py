@@ -244,8 +244,11 @@ def decode_table(raw: bytes):
     if len(lines) < 3 or lines[0][0].upper() != "2DA":
         raise Rejected("not a table")
     default, columns = lines[1][0], lines[2]
-    for k, (label, *cells) in enumerate(lines[3:]):
-        for column, cell in zip(columns, cells + [default] * (len(columns) - len(cells)), strict=False):
+    for k, line in enumerate(lines[3:]):
+        label, cells = line[0], line[1:]
+        if len(cells) < len(columns):
+            cells += [default] * (len(columns) - len(cells))
+        for column, cell in zip(columns, cells, strict=False):
             yield k, label, column, cell
 
 

@@ -65,3 +65,16 @@ def test_no_rules_and_no_texts(spark):
     rows = spark.createDataFrame([(1, "the cat")], "id long, body string")
     assert [tuple(r) for r in rules.apply_rule_table(rows, "id", "body", none).collect()] == [(1, "the cat", "the cat", [])]
     assert rules.apply_rule_table(rows.limit(0), "id", "body", none).collect() == []
+
+
+def test_plain_words_are_counted_without_a_pattern(spark, monkeypatch):
+    monkeypatch.setattr(rules, "whole_words", lambda find: F.lit("(?!)"))  # a pattern that matches nothing
+    rows = spark.createDataFrame([("The the THE cat-dog",), ("dog's dog",), ("thee",), (None,)], "body string")
+    table = spark.createDataFrame([(1, "the"), (2, "Dog"), (3, "dog's"), (4, "no")], "id long, find string")
+    assert {r.id: r.texts for r in rules.rule_counts(rows, "body", table).collect()} == {1: 1, 2: 2, 3: 1, 4: 0}
+
+
+def test_other_words_are_counted_by_pattern(spark):
+    rows = spark.createDataFrame([("stra\u00dfe STRASSE",), ("strasse",), ("\u212aay kay",), ("\u212aay",), ("a cat",), ("A  cat",)], "body string")
+    table = spark.createDataFrame([(1, "strasse"), (2, "stra\u00dfe"), (3, "kay"), (4, "a cat")], "id long, find string")
+    assert {r.id: r.texts for r in rules.rule_counts(rows, "body", table).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}

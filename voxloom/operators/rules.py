@@ -24,9 +24,19 @@ def _folded(word: Column) -> Column:
     return F.lower(F.upper(F.replace(word, F.lit("İ"), F.lit("i"))))
 
 
+def _pieces(text: Column) -> Column:
+    """The distinct words of a text, and its other characters but spaces."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD + r"|[^\p{IsAlphabetic}\p{N}'\s]"), F.lit(0)))
+
+
 def _keys(text: Column) -> Column:
-    """What a text can be found by: its words, and its other characters but spaces."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD + r"|[^\p{IsAlphabetic}\p{N}'\s]"), F.lit(0)), _folded))
+    """What a text can be found by: its pieces, folded."""
+    return F.array_distinct(F.transform(_pieces(text), _folded))
+
+
+def _held(column: Column) -> Column:
+    """A generator hands its result on as it is; a projection would be merged into all expressions that use it."""
+    return F.explode(F.array(column))
 
 
 def _key(find: Column) -> Column:
@@ -52,7 +62,7 @@ def _index(rules: DataFrame) -> DataFrame:
     found = F.trim("find")
     literal = F.replace(F.replace("speak_as", F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     rank = F.struct((-F.length(found)).alias("length"), "id")
-    return durable(rules.where(found != "").select("id", found.alias("find"), "speak_as", _key(found).alias("key"), whole_words(found).alias("pattern"), literal.alias("put"), rank.alias("rank")))
+    return durable(rules.where(found != "").select("id", found.alias("find"), "speak_as", _key(found).alias("key"), whole_words(found).alias("pattern"), literal.alias("put"), rank.alias("rank"), found.rlike("^[A-Za-z0-9']+$").alias("plain")))
 
 
 def _reached(index: DataFrame) -> DataFrame:
@@ -97,8 +107,18 @@ def apply_rule_table(rows: DataFrame, ident: str, column: str, rules: DataFrame)
 
 
 def rule_counts(rows: DataFrame, column: str, rules: DataFrame) -> DataFrame:
-    """For each rule (id, find) how many rows' texts it matches, 0 included; one scan whatever the number of rules."""
+    """For each rule (id, find) how many rows' texts it matches, 0 included; one scan whatever the number of rules.
+
+    A rule that is one word of ASCII letters matches a text that holds the word, in any case, in ASCII: that is known by the
+    word alone. Only other rules and words are tried as patterns on the text.
+    """
     index = _index(rules.select("id", "find", F.lit("").alias("speak_as")))
-    asked = rows.select(F.col(column).alias("_text"), F.explode(_keys(F.col(column))).alias("key")).join(_few(index.select("key", "id", "pattern"), BROADCAST_RULES), "key")
-    counted = asked.where(F.regexp_like("_text", "pattern")).groupBy("id").agg(F.count("*").alias("texts"))
+    cut = rows.select(F.col(column).alias("_text"), _held(_pieces(F.col(column))).alias("_pieces"))
+    ascii_ = F.filter("_pieces", lambda x: F.octet_length(x) == F.length(x))
+    sure = cut.select("_text", "_pieces", _held(F.array_distinct(F.transform(ascii_, _folded))).alias("_sure"))
+    others = F.array_except(F.array_distinct(F.transform("_pieces", _folded)), F.col("_sure"))
+    told = lambda keys, known: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(known).alias("sure")))
+    exploded = sure.select("_text", F.explode(F.concat(told(F.col("_sure"), True), told(others, False))).alias("_k")).select("_text", "_k.key", "_k.sure")
+    asked = exploded.join(_few(index.select("key", "id", "pattern", "plain"), BROADCAST_RULES), "key")
+    counted = asked.where(F.when(F.col("sure") & F.col("plain"), True).otherwise(F.regexp_like("_text", "pattern"))).groupBy("id").agg(F.count("*").alias("texts"))
     return rules.select("id", "find").join(counted.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "find", F.coalesce("texts", F.lit(0)).alias("texts"))

@@ -78,3 +78,13 @@ def test_other_words_are_counted_by_pattern(spark):
     rows = spark.createDataFrame([("stra\u00dfe STRASSE",), ("strasse",), ("\u212aay kay",), ("\u212aay",), ("a cat",), ("A  cat",)], "body string")
     table = spark.createDataFrame([(1, "strasse"), (2, "stra\u00dfe"), (3, "kay"), (4, "a cat")], "id long, find string")
     assert {r.id: r.texts for r in rules.rule_counts(rows, "body", table).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+
+
+def test_rules_of_one_word_are_folded_over_words_not_texts(spark, monkeypatch):
+    table = [(1, "the", "thee"), (2, "cat", "a-b, c"), (3, "dog", "")]
+    rows = spark.createDataFrame([(1, " The cat;the dog. "), (2, "cat"), (2, "the dog"), (None, "cat the"), (3, "thee")], "id long, body string")
+    want = sorted(((r.id, *plain(r.body, table)) for r in rows.collect()), key=str)
+    # a pattern that matches a word alone, and none within a text
+    monkeypatch.setattr(rules, "whole_words", lambda find: F.concat(F.lit("(?iu)^"), find, F.lit("$")))
+    got = rules.apply_rule_table(rows, "id", "body", spark.createDataFrame(table, "id long, find string, speak_as string"))
+    assert sorted(((r.id, r.spoken, r.applied) for r in got.collect()), key=str) == want

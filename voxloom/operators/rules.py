@@ -16,6 +16,8 @@ from ..cuts import durable
 
 #: Rules, or texts with rules, that are looked up by broadcast; a rule takes some 100 bytes.
 BROADCAST_RULES, BROADCAST_TEXTS = 100_000, 20_000
+#: Parts in which a text's words that rules change are kept by hash, as Spark looks a key up by trying all keys of a map.
+MAPS = 32
 WORD = r"[\p{IsAlphabetic}\p{N}']+"
 
 
@@ -62,13 +64,13 @@ def _index(rules: DataFrame) -> DataFrame:
     found = F.trim("find")
     literal = F.replace(F.replace("speak_as", F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     rank = F.struct((-F.length(found)).alias("length"), "id")
-    return durable(rules.where(found != "").select("id", found.alias("find"), "speak_as", _key(found).alias("key"), whole_words(found).alias("pattern"), literal.alias("put"), rank.alias("rank"), found.rlike("^[A-Za-z0-9']+$").alias("plain")))
+    return durable(rules.where(found != "").select("id", found.alias("find"), "speak_as", _key(found).alias("key"), whole_words(found).alias("pattern"), literal.alias("put"), rank.alias("rank"), found.rlike(f"^{WORD}$").alias("alone"), found.rlike("^[A-Za-z0-9']+$").alias("plain")))
 
 
 def _reached(index: DataFrame) -> DataFrame:
     """(key, rule): the rules that a key calls, itself or through words that an earlier rule of these puts in."""
     words = _few(durable(index.select(F.col("rank").alias("from"), F.explode(_keys(F.col("speak_as"))).alias("key"))), BROADCAST_RULES)
-    rule = F.struct("rank", "id", "pattern", "put")
+    rule = F.struct("rank", "id", "pattern", "put", "alone")
     steps = durable(words.join(index.select("key", rule.alias("rule")), "key").where(F.col("from") < F.col("rule.rank")).select("from", "rule").distinct())
     reached = fresh = durable(index.select("key", rule.alias("rule")))
     while not steps.isEmpty():
@@ -80,30 +82,61 @@ def _reached(index: DataFrame) -> DataFrame:
     return reached
 
 
-def apply_rule_table(rows: DataFrame, ident: str, column: str, rules: DataFrame) -> DataFrame:
-    """``rows`` with ``spoken``, the text of ``column`` after all ``rules`` (id, find, speak_as), and ``applied``,
-    the ids of those that matched, in order.
-
-    Longest find first, then least id. ``ident`` names the rows; rows that share an id, or have none, get right results
-    all the same, as candidates are tried again on each text. A null text stays null. The plan does not grow with the
-    rules. Texts are only shuffled if more of them have candidates than can be looked up by broadcast.
-    """
-    reached = _few(_reached(_index(rules)), BROADCAST_RULES)
-    asked = rows.select(F.col(ident).alias("_id"), F.explode(_keys(F.col(column))).alias("key")).join(reached, "key")
-    called = durable(asked.groupBy("_id").agg(F.sort_array(F.collect_set("rule")).alias("_rules")))
-    found = rows.join(_few(called, BROADCAST_TEXTS), F.col(ident).eqNullSafe(F.col("_id")), "left").drop("_id")
-    start = F.struct(F.col(column).alias("text"), F.array().cast(f"array<{rules.schema['id'].dataType.simpleString()}>").alias("applied"))
+def _fold(rules: Column, text: Column, kind: str) -> Column:
+    """A struct of ``text`` after ``rules``, in order, and of ``applied``: rank and id of those that matched."""
+    start = F.struct(text.alias("text"), F.array().cast(f"array<{kind}>").alias("applied"))
 
     def step(now: Column, r: Column) -> Column:
         """The text after a rule, which has matched if it changed the text, or else if it is found there."""
         told = F.transform(F.array(F.regexp_replace(now["text"], r["pattern"], r["put"])), lambda after: F.struct(
             after.alias("text"),
-            F.when(F.coalesce((after != now["text"]) | F.regexp_like(now["text"], r["pattern"]), F.lit(False)), F.array_append(now["applied"], r["id"])).otherwise(now["applied"]).alias("applied"),
+            F.when(F.coalesce((after != now["text"]) | F.regexp_like(now["text"], r["pattern"]), F.lit(False)), F.array_append(now["applied"], r["rank"])).otherwise(now["applied"]).alias("applied"),
         ))
         return F.get(told, 0)
 
-    folded = F.when(F.col("_rules").isNull(), start).otherwise(F.aggregate("_rules", start, step))
-    return found.withColumn("_done", folded).select(*rows.columns, F.col("_done.text").alias("spoken"), F.col("_done.applied").alias("applied"))
+    return F.aggregate(rules, start, step)
+
+
+def apply_rule_table(rows: DataFrame, ident: str, column: str, rules: DataFrame) -> DataFrame:
+    """``rows`` with ``spoken``, the text of ``column`` after all ``rules`` (id, find, speak_as), and ``applied``,
+    the ids of those that matched, in order.
+
+    Longest find first, then least id. ``ident`` names the rows; rows that share an id, or have none, get right results
+    all the same, as only a text's own words count. A null text stays null. The plan does not grow with the rules. Texts
+    are only shuffled if more of them have candidates than can be looked up by broadcast.
+
+    Rules whose finds are one word each act on every word of a text by itself: what such a rule puts in stands between the
+    same characters, which are no letters, so it never makes a word with them. So these rules are folded once over each
+    distinct word of all texts, and texts are put together from what became of their words. A text that calls a rule of
+    several words, or of other characters, has all its rules folded over it as a whole.
+    """
+    reached = durable(_reached(_index(rules)))
+    kind = reached.schema["rule"].dataType["rank"].dataType.simpleString()
+    called = durable(reached.groupBy("key").agg(F.sort_array(F.collect_set("rule")).alias("_all"), F.bool_and("rule.alone").alias("alone")))
+    asked = rows.select(F.col(ident).alias("_id"), F.explode(_pieces(F.col(column))).alias("word")).withColumn("key", _folded(F.col("word")))
+    known = _few(called.select("key", "alone"), BROADCAST_RULES)
+    words = durable(asked.select("key", "word").join(known, "key").distinct())  # as many as rules, in the cases they come in
+    folded = words.join(called.select("key", "_all"), "key").select("word", "key", "alone", F.when(F.col("alone"), _fold(F.col("_all"), F.col("word"), kind)).alias("told"))
+    hits = asked.select("_id", "word").join(_few(durable(folded), BROADCAST_RULES), "word")
+    became = F.when(F.col("alone"), F.struct("word", "told"))
+    of_rows = durable(hits.groupBy("_id").agg(F.collect_set(became).alias("_words"), F.bool_and("alone").alias("_alone"), F.collect_set("key").alias("_keys")))
+    mixed = of_rows.where("NOT _alone").select("_id", F.explode("_keys").alias("key")).join(called.select("key", "_all"), "key")
+    whole = mixed.select("_id", F.explode("_all").alias("rule")).groupBy("_id").agg(F.sort_array(F.collect_set("rule")).alias("_rules"))
+    part = lambda word: F.pmod(F.hash(word), F.lit(MAPS))
+    in_part = lambda k: F.filter("_words", lambda x: part(x["word"]) == k)
+    by_part = F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda k: F.map_from_entries(in_part(k)))
+    simple = of_rows.where("_alone").select(F.col("_id"), by_part.alias("_map"), F.lit(None).cast(whole.schema["_rules"].dataType).alias("_rules"))
+    some = simple.unionByName(whole.select("_id", F.lit(None).cast(simple.schema["_map"].dataType).alias("_map"), "_rules"))
+    found = rows.join(_few(durable(some), BROADCAST_TEXTS), F.col(ident).eqNullSafe(F.col("_id")), "left").drop("_id")
+    # words and what stands before each; after the last there is no word
+    parts = F.arrays_zip(F.split(F.col(column), WORD, -1).alias("before"), F.regexp_extract_all(column, F.lit(WORD), F.lit(0)).alias("word"))
+    looked = F.transform(parts, lambda x: F.struct(x["before"].alias("before"), x["word"].alias("word"), F.when(x["word"].isNotNull(), F.element_at(F.get("_map", part(x["word"])), x["word"])).alias("told")))
+    seen = found.withColumn("_seen", _held(F.when(F.col("_map").isNotNull(), looked)))
+    text = F.array_join(F.transform("_seen", lambda x: F.concat(x["before"], F.coalesce(x["told"]["text"], x["word"], F.lit("")))), "")
+    ranks = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("_seen", lambda x: x["told"].isNotNull()), lambda x: x["told"]["applied"]))))
+    plain = F.struct(F.col(column).alias("text"), F.array().cast(f"array<{kind}>").alias("applied"))
+    done = F.when(F.col("_rules").isNotNull(), _fold(F.col("_rules"), F.col(column), kind)).when(F.col("_map").isNotNull() & F.col(column).isNotNull(), F.struct(text.alias("text"), ranks.alias("applied"))).otherwise(plain)
+    return seen.withColumn("_done", _held(done)).select(*rows.columns, F.col("_done.text").alias("spoken"), F.transform("_done.applied", lambda x: x["id"]).alias("applied"))
 
 
 def rule_counts(rows: DataFrame, column: str, rules: DataFrame) -> DataFrame:

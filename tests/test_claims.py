@@ -243,3 +243,24 @@ def test_no_name_where_no_suffix_is_free(spark):
     lines, none = spark.createDataFrame([(7, k) for k in range(1300)], "strref long, id long"), spark.createDataFrame([], "name string")
     names = [r.name for r in hashing.unique_names(lines, none, order=["id"]).orderBy("id").collect()]
     assert names[0] == "Z0000700" and names[1295] == "Z00007ZZ" and names[1296:] == [None] * 4
+
+
+def test_voices_of_large_pools_are_looked_up_by_place(spark):
+    speakers = spark.createDataFrame([(k, k % 3, 0, 0, 0, None) for k in range(300)], "id long, sex long, race long, category long, class long, explicit long")
+    pool = spark.createDataFrame([(0, 0, 0, list(range(1000, 6000))), (1, 0, 0, [])], "sex long, race long, category long, members array<long>")
+    other = spark.createDataFrame([(0, 0, 0, [1]), (1, 0, 0, list(range(77)))], pool.schema)
+    donors = spark.createDataFrame([(9, 2, 0, 0, 0)], "id long, sex long, race long, category long, class long")
+    found = pipelines.assign_voices(speakers, pool, other, donors)
+
+    def pick(members, speaker):
+        salt = hashing.siphash([np.array([m], np.int64).view(np.uint64) for m in members])
+        words = [np.array([w], np.int64).view(np.uint64) for w in (speaker, 1)]
+        return members[int(hashing.siphash([*words, salt])[0] % np.uint64(len(members)))]
+
+    got = {r.id: (r.source, r.profile, r.donor) for r in found.collect()}
+    assert len(got) == 300 and {v[0] for v in got.values()} == {"profile", "pool", "fallback"}
+    for k in range(0, 30, 3):
+        assert got[k] == ("profile", pick(list(range(1000, 6000)), k), None)
+        assert got[k + 1] == ("pool", None, pick(list(range(77)), k + 1))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(_profile" not in plan and "posexplode" in plan

@@ -133,13 +133,17 @@ def assign_voices(speakers: DataFrame, profiles: DataFrame, pools: DataFrame, do
     have a row for each (sex, race, category) with an array ``members``; an empty one counts as none.
     """
     keys = ["sex", "race", "category"]
-    salted = lambda t, name: t.where(F.size("members") > 0).select(*keys, F.col("members").alias(name), hashing.sip_salt("members").alias(f"{name}_salt"))
-    joined = speakers.join(salted(profiles, "_profiles"), keys, "left").join(salted(pools, "_pools"), keys, "left")
+    some = lambda t: t.where(F.size("members") > 0)
+    salted = lambda t, name: some(t).select(*keys, F.size("members").alias(f"{name}_size"), hashing.sip_salt("members").alias(f"{name}_salt"))
+    joined = speakers.join(salted(profiles, "_profile"), keys, "left").join(salted(pools, "_pool"), keys, "left")
     kinds = speakers.select(*LIKENESS).distinct()
     joined = joined.join(best_donors(kinds, donors), list(LIKENESS), "left") if fallback else joined.withColumns({"donor": F.lit(None).cast("bigint"), "score": F.lit(None).cast("int")})
     # no nulls go to the hash: a batch that holds one would turn all its numbers into floating point
-    pick = lambda name: F.get(name, hashing.sip_index(F.coalesce(F.col("id").cast("bigint"), F.lit(0)), F.lit(project).cast("bigint"), F.coalesce(f"{name}_salt", F.lit(0)), F.when(F.col(name).isNull(), 0).otherwise(F.size(name))))
-    picked = joined.withColumns({"_profile": pick("_profiles"), "_pool": pick("_pools")})
+    place = lambda name: hashing.sip_index(F.coalesce(F.col("id").cast("bigint"), F.lit(0)), F.lit(project).cast("bigint"), F.coalesce(f"{name}_salt", F.lit(0)), F.coalesce(f"{name}_size", F.lit(0)))
+    # members are looked up by their place, so that no speaker carries its pool's whole array through a shuffle
+    picked = joined.withColumns({"_profile_at": place("_profile"), "_pool_at": place("_pool")})
+    for t, name in ((profiles, "_profile"), (pools, "_pool")):
+        picked = picked.join(some(t).select(*keys, F.posexplode("members").alias(f"{name}_at", name)), [*keys, f"{name}_at"], "left")
     source = F.when(F.col("explicit").isNotNull(), "override").when(F.col("_profile").isNotNull(), "profile").when(F.col("_pool").isNotNull(), "pool").when(F.col("donor").isNotNull(), "fallback").otherwise("none")
     told = picked.withColumn("source", source)
     is_ = lambda s: F.col("source") == s

@@ -69,8 +69,9 @@ def assigned_voices(t):
     profiles = t.part.where("p_size % 4 = 0").groupBy((size % 3).alias("sex"), (size % 25).alias("race"), (size % 5).alias("category")).agg(F.sort_array(F.collect_list("p_partkey")).alias("members"))
     found = pipelines.assign_voices(speakers, profiles, pools, donors).join(speakers, "id")
     keys = ["sex", "race", "category"]
-    told = found.join(profiles.withColumnRenamed("members", "_a"), keys, "left").join(pools.withColumnRenamed("members", "_b"), keys, "left")
-    member = F.when(F.col("source") == "profile", F.array_contains("_a", F.col("profile"))).when(F.col("source") == "pool", F.array_contains("_b", F.col("donor"))).otherwise(True)
+    held = lambda t, member, there: t.select(*keys, F.explode("members").alias(member)).distinct().withColumn(there, F.lit(True))
+    told = found.join(held(profiles, "profile", "_a"), [*keys, "profile"], "left").join(held(pools, "donor", "_b"), [*keys, "donor"], "left")
+    member = F.when(F.col("source") == "profile", F.coalesce("_a", F.lit(False))).when(F.col("source") == "pool", F.coalesce("_b", F.lit(False))).otherwise(True)
     return told.select("id", "source", F.when(F.col("source") == "fallback", F.col("donor")).alias("donor"), "score", member.alias("member"))
 
 

@@ -264,3 +264,17 @@ def test_voices_of_large_pools_are_looked_up_by_place(spark):
         assert got[k + 1] == ("pool", None, pick(list(range(77)), k + 1))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "get(_profile" not in plan and "posexplode" in plan
+
+
+def test_pairs_without_a_gap_meet_in_no_join_of_steps(spark, monkeypatch):
+    from voxloom.operators import graph
+
+    bound = spark.createDataFrame([(k, "follow" if k < 20 else "own", k + 1 if k < 20 else None) for k in range(21)], "speaker long, source string, follows long")
+    pairs = spark.createDataFrame([(-1, k) for k in range(21)] + [(20 - k, 20 - 2 * k) for k in range(9)] + [(k, 20) for k in range(20)], "speaker long, target long")
+    kept, real = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: kept.append(real(df)) or kept[-1])
+    got = rows(graph.would_cycle(bound, pairs))
+    longer = lambda t: 20 - t > 8
+    assert got == sorted((s, t, s == t or longer(t) or 0 <= t <= s) for s, t in [tuple(r) for r in pairs.collect()])
+    walked = [df.count() for df in kept if "gap" in df.columns]
+    assert len(walked) == 5 and walked[0] == 50 and set(walked[1:]) == {4}

@@ -156,11 +156,15 @@ def would_cycle(bindings: DataFrame, pairs: DataFrame, most: int = MOST_HOPS) ->
     met = ahead.join(own, F.col("speaker") == F.col("_o"), "left").drop("_o")
     # the speaker is on the chain if the target gets to it in the hops that it is ahead of it
     gap = F.when((F.col("end") == F.col("own_end")) & F.col("status").isin("own", "missing"), F.col("hops") - F.col("own_hops"))
-    now = met.withColumn("gap", F.when(gap >= 0, gap)).withColumn("at", F.col("target"))
+    now = durable(met.withColumn("gap", F.when(gap >= 0, gap)).withColumn("at", F.col("target")).select("speaker", "target", "status", "absent", "gap", "at"))
+    # only pairs that go on are joined, at each digit; the others would all meet in one task, under a null key
+    still, walking = now.where("gap IS NULL OR gap = 0"), now.where("gap > 0")
     for k in range(most.bit_length()):
         step = chains.jumps(k).select(F.col("speaker").alias("_s"), F.col("at").alias("_at"))
-        takes = F.coalesce(F.col("gap").bitwiseAND(F.lit(1 << k)) > 0, F.lit(False))
-        now = now.join(step, F.when(takes, F.col("at")) == F.col("_s"), "left").withColumn("at", F.when(takes, F.col("_at")).otherwise(F.col("at"))).drop("_s", "_at")
+        takes = F.col("gap").bitwiseAND(F.lit(1 << k)) > 0
+        moved = walking.where(takes).join(step, F.col("at") == F.col("_s"), "left").withColumn("at", F.col("_at")).select(walking.columns)
+        walking = durable(moved.unionByName(walking.where(~takes)))
+    now = still.unionByName(walking)
     on_way = F.col("gap").isNotNull() & (F.col("at") == F.col("speaker")) | (F.col("absent") == F.col("speaker"))
     cycle = (F.col("speaker") == F.col("target")) | F.coalesce(F.col("status").isin("cycle", "depth"), F.lit(False)) | F.coalesce(on_way, F.lit(False))
     return now.select("speaker", "target", cycle.alias("cycle"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import bpe, decontamination, language_id, line_dedup, minhash, simhash
+from voxloom.llm import bpe, decontamination, language_id, line_dedup, simhash, simhash_sets
 from voxloom.llm.common import table, written
 
 
@@ -33,10 +33,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over 5-word shingles, the one with the least id stays.
 
-    Null, empty and wordless texts are copies of each other. A null id comes last, ties go to the least hash of the text,
-    and rows that repeat an id and a text stay once.
+    SimHash fingerprints propose the pairs; their sets of shingles decide. Null, empty and wordless texts are copies of
+    each other. A null id comes last, ties go to the least hash of the text, and rows that repeat an id and a text stay
+    once.
     """
-    return simhash.keep_first(docs, minhash.minhash_components(docs, words=5, percent=80))
+    return simhash.keep_first(docs, simhash_sets.set_components(docs, words=5, percent=80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

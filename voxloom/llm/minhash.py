@@ -160,9 +160,9 @@ def _by_sketch(rows: pa.RecordBatch, percent: int) -> Callable[[np.ndarray, np.n
     return near
 
 
-def _by_set(rows: pa.RecordBatch, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def exact_test(rows: pa.RecordBatch, percent: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Passes what ``near`` passes if the sets (column shingles) are alike."""
     ends, values = rows.column("shingles").offsets.to_numpy(), rows.column("shingles").values.to_numpy()
-    near = _by_sketch(rows, percent)
 
     def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         passed = near(i, j)
@@ -173,6 +173,10 @@ def _by_set(rows: pa.RecordBatch, percent: int) -> Callable[[np.ndarray, np.ndar
     return exact
 
 
+def _by_set(rows: pa.RecordBatch, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return exact_test(rows, percent, _by_sketch(rows, percent))
+
+
 def _by_cell(cells: DataFrame, linked: Callable[[pa.RecordBatch], pa.RecordBatch], order: tuple[str, ...]) -> DataFrame:
     """(a, b) of ``linked`` for the rows of each cell; a partition carries over only its last cell."""
     spark = cells.sparkSession

@@ -7,7 +7,7 @@ null to null unless it says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,6 +93,11 @@ def _bool(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often body uses it; a null value is passed on."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of A to Z alone, as in tables whose collation is ASCII."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -229,19 +234,27 @@ def cue_removed(c: Column) -> Column:
 def cues(c: Column) -> Column:
     """The trimmed insides of cues, without those that differ from an earlier one only in ASCII case."""
     found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\*([^*]*)\*"), F.lit(1)), trim), lambda x: x != "")
-    folded = F.transform(found, ascii_lower)
-    return F.filter(found, lambda x, i: F.array_position(folded, ascii_lower(x)) == i + 1)
+    # equal forms side by side, the earliest first, in time that does not grow with the square of the cues
+    folded = let(found, lambda f: F.sort_array(F.transform(f, lambda x, i: F.struct(ascii_lower(x).alias("form"), i.alias("i"), x.alias("cue")))))
+    first = let(folded, lambda f: F.filter(f, lambda x, k: (k == 0) | (F.get(f, k - 1)["form"] != x["form"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["cue"].alias("cue")))), lambda x: x["cue"])
 
 
 def annotation_only(c: Column) -> Column:
     """True for a text that is one ``<...>`` from end to end, with something other than a token inside."""
-    t = trim(c)
+    return let(trim(c), _annotation)
+
+
+def _annotation(t: Column) -> Column:
     return t.startswith("<") & t.endswith(">") & (F.length(t) >= 2) & ~t.rlike(f"^<{TOKEN}>$")
 
 
 def map_cues(c: Column, tags: Mapping[str, str] = CUE_TAGS) -> Column:
     """Cues become tags set against what comes before, are removed, or are spoken as emphasis; ``[...]`` goes."""
-    t = trim(c)
+    return let(trim(c), lambda t: _map_cues(t, tags))
+
+
+def _map_cues(t: Column, tags: Mapping[str, str]) -> Column:
     pieces = F.regexp_extract_all(t, F.lit(MARKS + r"|[^*\[]+|[*\[]"), F.lit(0))
 
     def spoken(p: Column) -> Column:
@@ -252,13 +265,12 @@ def map_cues(c: Column, tags: Mapping[str, str] = CUE_TAGS) -> Column:
 
     joined = F.array_join(F.transform(pieces, spoken), "")
     mapped = collapse(F.regexp_replace(joined, "(?U)\\s*\u0001", ""))
-    return F.when(annotation_only(t), F.lit("")).when(~t.rlike("[*\\[\u0001]"), collapse(t)).otherwise(mapped)
+    return F.when(_annotation(t), F.lit("")).when(~t.rlike("[*\\[\u0001]"), collapse(t)).otherwise(mapped)
 
 
 def strip_cues(c: Column) -> Column:
     """The text without cues and ``[...]``."""
-    t = trim(c)
-    return F.when(annotation_only(t), F.lit("")).otherwise(collapse(F.regexp_replace(t, MARKS, " ")))
+    return let(trim(c), lambda t: F.when(_annotation(t), F.lit("")).otherwise(collapse(F.regexp_replace(t, MARKS, " "))))
 
 
 def speakable(c: Column) -> Column:
@@ -268,7 +280,12 @@ def speakable(c: Column) -> Column:
 
 def speakable_dialogue(c: Column) -> Column:
     """Something is left to speak when cues are stripped."""
-    return speakable(strip_cues(c))
+    return _bool(let(trim(c), _speakable_dialogue))
+
+
+def _speakable_dialogue(t: Column) -> Column:
+    # spaces do not count, so they need not be collapsed
+    return ~_annotation(t) & speakable(F.when(t.rlike(r"[*\[]"), F.regexp_replace(t, MARKS, " ")).otherwise(t))
 
 
 def elongated(c: Column) -> Column:
@@ -303,7 +320,11 @@ def tag_misplaced(c: Column) -> Column:
 
 def interpretive(c: Column) -> Column:
     """Starts with hmm, hmph or ``hm ``."""
-    return ascii_lower(trim(c)).rlike(r"^(hmm|hmph|hm )")
+    return _interpretive(trim(c))
+
+
+def _interpretive(t: Column) -> Column:
+    return ascii_lower(F.substring(t, 1, 4)).rlike(r"^(hmm|hmph|hm )")
 
 
 # ---- spelling
@@ -333,13 +354,17 @@ def words_of(c: Column) -> Column:
 
 
 #: What a spelling that unfriendly_token finds holds in any case: three of one letter, ``ssz``, a syllable three times, six
-#: consonants, or three parts that begin alike.
-_SUSPECT = r"([a-z])\1\1|ssz|(ha|he|ho|ah|wa)\2\2|[a-z&&[^aeiouy]]{6}|([^\s-])[^\s-]*-+\3[^\s-]*-+\3"
+#: consonants, or two hyphens.
+_SUSPECT = r"([a-z])\1\1|ssz|(ha|he|ho|ah|wa)\2\2|[bcdfghjklmnpqrstvwxz]{6}|-[^ ]*?-"
 
 
 def unfriendly_spelling(c: Column) -> Column:
     """T29. One pass over the text finds the words that hold a suspect run; only these are judged."""
-    words = F.regexp_extract_all(ascii_lower(collapse(c)), F.lit(rf"(?<![^ ])(?=[^ ]*?(?:{_SUSPECT}))[^ ]+"), F.lit(0))
+    return _unfriendly_spelling(collapse(c))
+
+
+def _unfriendly_spelling(c: Column) -> Column:
+    words = F.regexp_extract_all(ascii_lower(c), F.lit(rf"(?<![^ ])(?=[^ ]*?(?:{_SUSPECT}))[^ ]+"), F.lit(0))
     return F.exists(words, unfriendly_token)
 
 
@@ -374,18 +399,22 @@ def artifact_reason(c: Column, markers: Sequence[str] = COMMAND_MARKERS) -> Colu
 
 
 def audit_mask(source: Column, mapped: Column, tags: Mapping[str, str] = CUE_TAGS) -> Column:
-    """The audit bits of a text and what the cue mapper makes of it."""
+    """The audit bits of a text and what the cue mapper makes of it, white space collapsed as map_cues does."""
+    found = F.when(source.contains("*"), cues(source)).otherwise(F.array().cast("array<string>"))
+    return let(F.struct(trim(source).alias("t"), found.alias("found")), lambda x: _audit_mask(x["t"], x["found"], mapped, tags))
+
+
+def _audit_mask(t: Column, found: Column, mapped: Column, tags: Mapping[str, str]) -> Column:
     bit = lambda on, name: F.when(_bool(on), F.lit(AUDIT_BITS[name])).otherwise(F.lit(0))
-    found, t = F.when(source.contains("*"), cues(source)).otherwise(F.array().cast("array<string>")), trim(source)
     open_star = unterminated_asterisk(t)
     risky = F.exists(found, lambda x: cue_risk(x, tags))
     flags = [
         bit(open_star, "unterminated_asterisk"), bit(risky, "spoken_stage_direction"), bit(mapped.contains("[") & tag_misplaced(mapped), "placement_candidate"),
-        bit((F.size(found) == 0) & ~open_star & interpretive(t), "interpretive_candidate"), bit(unfriendly_spelling(mapped), "tts_unfriendly_spelling"),
+        bit((F.size(found) == 0) & ~open_star & _interpretive(t), "interpretive_candidate"), bit(_unfriendly_spelling(mapped), "tts_unfriendly_spelling"),
     ]
-    mask = reduce(lambda a, b: a.bitwiseOR(b), flags)
     clean = F.when(F.size(found) == 0, AUDIT_BITS["plain_ok"]).otherwise(AUDIT_BITS["mapped_ok"])
-    return F.when(~speakable_dialogue(t), AUDIT_BITS["non_speakable"]).when(mask == 0, clean).otherwise(mask)
+    mask = let(reduce(lambda a, b: a.bitwiseOR(b), flags), lambda m: F.when(m == 0, clean).otherwise(m))
+    return F.when(~_bool(_speakable_dialogue(t)), AUDIT_BITS["non_speakable"]).otherwise(mask)
 
 
 def needs_attention(mask: Column) -> Column:

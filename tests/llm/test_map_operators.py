@@ -1,6 +1,10 @@
+import gc
 import hashlib
 import random
+import tracemalloc
+import weakref
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -102,6 +106,33 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
 
 
+def test_bundle_of_very_many_trigrams_takes_little_memory():
+    """More distinct trigrams than are kept; their vectors are never floats all at once."""
+    space, rng = language_id.LetterSpace(), random.Random(4)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz \u00e9\u0436", k=200_000))
+    found, counts = space.trigrams(text)
+    assert len(found) > language_id.KEPT_TRIGRAMS and space.kept.nbytes <= 16 << 20
+    want = sum(counts[i : i + 1000].astype(float) @ space.bind(found[i : i + 1000]) for i in range(0, len(found), 1000))
+    tracemalloc.start()
+    got = [space.bundle(text)[0] for _ in range(2)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((v == want / np.sqrt((want * want).sum())).all() for v in got)
+    assert space.n == language_id.KEPT_TRIGRAMS and most < 16 << 20
+
+
+def test_a_worker_holds_the_model_of_one_stage():
+    """Workers go on to the next stage; what the last one looked up in must not stay beside what this one does."""
+    make = [language_id._space, lambda: bpe.tokenizer(bpe.vocabulary_path()), lambda: decontamination._windows(part)]
+    part = decontamination.Part(SimpleNamespace(value=[("a", "one two three")]))
+    for one in make:
+        held = weakref.ref(one())
+        assert one() is held()
+        make[make.index(one) - 1]()
+        gc.collect()
+        assert held() is None
+
+
 # ---- quality classifier
 
 

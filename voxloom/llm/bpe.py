@@ -12,7 +12,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, models
 
-from .common import kind, map_batches, table, texts
+from .common import kind, map_batches, only_model, table, texts
 
 #: Words that a worker remembers, and characters of the longest of them; beyond that number it forgets all and goes on.
 REMEMBERED, LONGEST = 120_000, 64
@@ -118,9 +117,8 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
 def tokenizer(path: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path)
+    return only_model(f"tokenizer {path}", lambda: ForcedBoundaryBPE(path))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
+T = TypeVar("T")
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory however long the texts are.
 BATCH_BYTES = 8 << 20
 
@@ -81,14 +83,37 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(bound, str(BATCH_BYTES))
 
 
+_model: dict[str, object] = {}
+
+
+def only_model(name: str, make: Callable[[], T]) -> T:
+    """What ``make`` makes, once for each name; a worker holds one model at a time.
+
+    Spark uses a worker again for the stages that follow, so without this it would hold the models of all of them.
+    """
+    if name not in _model:
+        _model.clear()
+        give_back()
+        _model[name] = make()
+    return _model[name]
+
+
+def give_back() -> None:
+    """Give memory that is free, but still a worker's, back to the machine."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches, one call of ``work`` for each."""
+    """mapInArrow with bounded batches, one call of ``work`` for each. A worker that waits for its next task gives back
+    what it does not use."""
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from work(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

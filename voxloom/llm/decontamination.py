@@ -13,7 +13,6 @@ united as ranges of words before anything is derived from it, so the result does
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 from math import isqrt
 
 import ahocorasick
@@ -23,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, kind, map_batches, table, texts, two_hashes, written
+from .common import broadcast_if_few, kind, map_batches, only_model, table, texts, two_hashes, written
 
 WINDOW = 10
 #: Words of benchmark in one automaton, which takes a worker about 0.2 kB each; see the README for figures.
@@ -163,16 +162,9 @@ class Part:
     def __init__(self, told: Broadcast):
         self.told, self.token = told, uuid.uuid4().hex
 
-    def __hash__(self) -> int:
-        return hash(self.token)
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Part) and other.token == self.token
-
-
-@lru_cache(1)
 def _windows(part: Part) -> Windows:
-    return Windows(part.told.value)
+    return only_model(f"windows {part.token}", lambda: Windows(part.told.value))
 
 
 def pieces(benchmark: DataFrame, piece_words: int = PIECE_WORDS, n: int = WINDOW) -> DataFrame:

@@ -7,16 +7,16 @@ normalised vectors of its training texts. A text gets the language whose prototy
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, kind, map_batches, table, texts
+from .common import id_bucket, kind, map_batches, only_model, table, texts
 
 DIMENSIONS, SYMBOLS, KEPT_TRIGRAMS = 1024, 64, 16384
+#: Trigrams of a text that are turned into floats and summed at once.
+SUMMED_TRIGRAMS = 512
 #: Texts' vectors are added up in whole multiples of 1 / UNIT, so that sums do not depend on the order of rows.
 UNIT = 1 << 24
 #: Training texts taken for each language; a sample by hash of about this many rows.
@@ -34,7 +34,7 @@ class LetterSpace:
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
         self.placed = [np.roll(letters, k, axis=1) for k in (2, 1, 0)]
         self.slot = np.full(SYMBOLS**3, -1, np.int32)
-        self.kept = np.empty((KEPT_TRIGRAMS, dimensions), np.float32)
+        self.kept = np.empty((KEPT_TRIGRAMS, dimensions), np.int8)
         self.n = 0
         #: Symbol of each code point: 0 for what is no letter, 1 to 26 for a to z, other letters share the rest by hash.
         self.symbol = np.zeros(0x110000, np.uint8)
@@ -42,9 +42,12 @@ class LetterSpace:
         self.symbol[other] = 27 + (other * 2654435761 >> 7) % (SYMBOLS - 27)
         self.symbol[97:123] = np.arange(1, 27)
 
-    def bind(self, trigrams: np.ndarray) -> np.ndarray:
+    def _signs(self, trigrams: np.ndarray) -> np.ndarray:
         a, b, c = trigrams // SYMBOLS**2, trigrams // SYMBOLS % SYMBOLS, trigrams % SYMBOLS
-        return (self.placed[0][a] * self.placed[1][b] * self.placed[2][c]).astype(np.float32)
+        return self.placed[0][a] * self.placed[1][b] * self.placed[2][c]
+
+    def bind(self, trigrams: np.ndarray) -> np.ndarray:
+        return self._signs(trigrams).astype(np.float32)
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct trigrams of a text over letters and single gaps, and their counts; empty if it has no letter."""
@@ -60,25 +63,26 @@ class LetterSpace:
         found, counts = self.trigrams(text)
         if not len(found):
             return None, 0
-        new = found[self.slot[found] < 0][: KEPT_TRIGRAMS - self.n]
-        self.kept[self.n : self.n + len(new)] = self.bind(new)
-        self.slot[new] = np.arange(self.n, self.n + len(new))
-        self.n += len(new)
         # sums of whole numbers, exact in floats of this width whatever the order of the trigrams
         exact = np.float32 if counts.sum() < 1 << 24 else np.float64
-        slots, weights = self.slot[found], counts.astype(exact)
-        known = slots >= 0
-        total = weights[known] @ self.kept[slots[known]]
-        rest = np.flatnonzero(~known)
-        for i in range(0, len(rest), 4096):
-            total = total + weights[rest[i : i + 4096]] @ self.bind(found[rest[i : i + 4096]])
+        weights, total = counts.astype(exact), np.zeros(self.kept.shape[1], exact)
+        for i in range(0, len(found), SUMMED_TRIGRAMS):
+            some = found[i : i + SUMMED_TRIGRAMS]
+            new = some[self.slot[some] < 0]
+            bound, room = self._signs(new), KEPT_TRIGRAMS - self.n
+            slots = np.arange(self.n, self.n + len(new[:room]))
+            self.kept[slots], self.slot[new[:room]] = bound[:room], slots
+            self.n += len(slots)
+            at = self.slot[some]
+            vectors = self.kept[at]
+            vectors[at < 0] = bound[room:]
+            total += weights[i : i + SUMMED_TRIGRAMS] @ vectors.astype(exact)
         total = total.astype(np.float64)
         return total / max(float(np.sqrt((total * total).sum())), 1e-9), int(counts.sum())
 
 
-@lru_cache(1)
 def _space() -> LetterSpace:
-    return LetterSpace()
+    return only_model("letters", LetterSpace)
 
 
 def learn_languages(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:

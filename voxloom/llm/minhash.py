@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import bounded_batches, broadcast_if_few, durable, kind, map_batches, table, texts, written
+from .common import bounded_batches, broadcast_if_few, durable, give_back, kind, map_batches, table, texts, written
 from .components import connected_components
 from .simhash import _LOWER
 
@@ -200,6 +200,8 @@ def _by_cell(cells: DataFrame, linked: Callable[[pa.RecordBatch], pa.RecordBatch
                 rest.append(batch)
         if rest:
             yield linked(pa.concat_batches(rest))
+        del rest
+        give_back()
 
     return cells.repartition("cell").sortWithinPartitions("cell", *order).mapInArrow(run, "a long, b long")
 
